@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pyarrow as pa
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 # Elements and marks by which parts of a page are told apart.
@@ -134,7 +135,11 @@ def parse_page(text: str | None, base: str = "") -> dict:
     }
 
 
-@arrow_udf("title string, text string, links array<string>, images array<struct<url: string, alt: string>>")
+_IMAGE = T.StructType().add("url", T.StringType()).add("alt", T.StringType())
+_PARTS = T.StructType().add("title", T.StringType()).add("text", T.StringType()).add("links", T.ArrayType(T.StringType())).add("images", T.ArrayType(_IMAGE))
+
+
+@arrow_udf(_PARTS)
 def page_parts(text: pa.Array, base: pa.Array) -> pa.Array:
     """:func:`parse_page` of columns."""
     got = [parse_page(t, b) for t, b in zip(text.to_pylist(), base.to_pylist())]
@@ -163,7 +168,7 @@ def decode_page(raw: bytes | None, charset: str | None) -> str | None:
     return raw.decode("latin-1")
 
 
-@arrow_udf("string")
+@arrow_udf(T.StringType())
 def page_text(raw: pa.Array, charset: pa.Array) -> pa.Array:
     """:func:`decode_page` of columns."""
     return pa.array([decode_page(r, c) for r, c in zip(raw.to_pylist(), charset.to_pylist())], pa.string())

@@ -8,6 +8,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from .urls import _c, url_host
@@ -39,13 +40,13 @@ def normalize_blocks(col: Column | str) -> Column:
     return strip(F.regexp_replace(s, "\n{3,}", "\n\n"))
 
 
-@arrow_udf("string")
+@arrow_udf(T.StringType())
 def unescape_html(col: pa.Array) -> pa.Array:
     """Character references resolved."""
     return pa.array([None if v is None else html.unescape(v) if "&" in v else v for v in col.to_pylist()], pa.string())
 
 
-@arrow_udf("string")
+@arrow_udf(T.StringType())
 def nfc(col: pa.Array) -> pa.Array:
     """Canonical composition, for which there is no built-in function."""
     return pa.array([None if v is None else v if v.isascii() else unicodedata.normalize("NFC", v) for v in col.to_pylist()], pa.string())

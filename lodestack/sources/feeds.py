@@ -29,6 +29,11 @@ def _first(e: ET.Element, *names: str) -> str:
     return ""
 
 
+def _absolute(base: str, href: str) -> str:
+    """A link as it stands if it is absolute, else resolved against the feed."""
+    return href if re.match(r"[A-Za-z][A-Za-z0-9+.\-]*:", href) else urljoin(base, href)
+
+
 def _plain(text: str) -> str:
     return " ".join(html.unescape(re.sub(r"<[^>]*>", " ", html.unescape(text))).split())
 
@@ -39,10 +44,10 @@ def _link(e: ET.Element, base: str) -> str:
     for want in (lambda r, t: r == "alternate" and t in ("text/html", "application/xhtml+xml"), lambda r, t: r == "alternate", lambda r, t: True):
         for rel, kind, href in typed:
             if want(rel, kind):
-                return urljoin(base, href.strip())
+                return _absolute(base, href.strip())
     text = next(("".join(c.itertext()).strip() for c in links if "".join(c.itertext()).strip()), "")
     if text:
-        return urljoin(base, text)
+        return _absolute(base, text)
     guid = next((c for c in e if _name(c) == "guid" and c.get("isPermaLink", "true").lower() != "false"), None)
     ident = (guid.text or "").strip() if guid is not None else ""
     about = next((v for k, v in e.attrib.items() if k.rsplit("}", 1)[-1] == "about"), "")
