@@ -18,12 +18,12 @@ ZWNJ, ZWJ = "‌", "‍"
 
 # --- fixed values -------------------------------------------------------------------
 # Letters of other scripts that look like Latin ones.
-GREEK_AS_LATIN = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγικνορυχ", "ABEZHIKMNOPTYXayiкvopux".replace("к", "k"), strict=True))
+GREEK_AS_LATIN = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγικνορυχ", "ABEZHIKMNOPTYXayikvopux", strict=True))
 CYRILLIC_AS_LATIN = dict(zip("АВЕКМНОРСТУХЅІЈаеорсухѕіјһԁԛԝӏ", "ABEKMHOPCTYXSIJaeopcyxsijhdqwl", strict=True))
 # Latin letters that look like Russian ones.
 LATIN_AS_CYRILLIC = dict(zip("ABEKMHOPCTYXaeopcyx", "АВЕКМНОРСТУХаеорсух", strict=True))
 GREEK_AS_CYRILLIC = dict(zip("ΑΒΕΗΚΜΟΡΤΧο", "АВЕНКМОРТХо", strict=True))
-LATIN_AS_GREEK = {v: k for k, v in GREEK_AS_LATIN.items() if k in "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοv"}
+LATIN_AS_GREEK = {v: k for k, v in GREEK_AS_LATIN.items() if k in "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνο"}
 # Ideographs that look like katakana.
 IDEOGRAPH_AS_KATAKANA = dict(zip("一工口八卜力夕二", "ーエロハトカタニ", strict=True))
 # Radicals without a decomposition in Unicode that look like ideographs.

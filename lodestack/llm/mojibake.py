@@ -159,6 +159,7 @@ _ODD = (
     (re.compile("[A-Za-zÀ-ÿ](?=[Ѐ-ӿ])|[Ѐ-ӿ](?=[A-Za-zÀ-ÿ])"), 1.0),
     (re.compile("(?<=[A-Za-z])[¤¦¨¬¯±´µ¶¸¹¼¾‚ƒ„†‡ˆ‰](?=[A-Za-z])"), 1.5),
     (re.compile(f"(?<![{_CJK}])[{_CJK}](?![{_CJK}])"), 1.6),
+    (re.compile(f"(?<=[a-z])[{_CJK}]{{1,3}}(?=[a-z])"), 2.0),
     (re.compile("(?<=[A-Za-z])[’‘“”„«»–](?=[A-ZÀ-Þ])|(?<![A-Za-zÀ-ÿ ])[À-ÿ](?![A-Za-zÀ-ÿ ])"), 1.0),
     (re.compile("[À-ÿ]{3}"), 1.5),
     (re.compile("(?<=[а-яё])€|—(?=[А-яЁё])|•(?=[A-Za-z^_])|(?<=[a-z])»(?= )"), 1.5),
@@ -223,6 +224,7 @@ _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 #: What an operation costs; valid UTF-8 is rarely a coincidence.
 _STEP = {"utf-8": 0.3, "unescape": 0.3}
 _OTHER_STEP = 1.0
+_MOST_CREDIT = 3.0
 
 
 def apply(text: str, path: tuple) -> str | None:
@@ -288,7 +290,10 @@ def search(text: str) -> tuple[str, float, float, tuple]:
             if h in seen:
                 continue
             seen.add(h)
-            paid = spent + (_STEP.get(op[1]) or (_OTHER_STEP if spent < 0.9 else 3 * _OTHER_STEP))
+            if op[1] in _STEP:  # the more sequences were valid UTF-8, the less it is a coincidence
+                paid = spent + _STEP[op[1]] - min(_MOST_CREDIT, 0.4 * (len(state) - len(new)))
+            else:
+                paid = spent + (_OTHER_STEP if all(o[1] in _STEP for o in path) else 3 * _OTHER_STEP)
             k = cost(new) + paid
             tick += 1
             if k < least:
