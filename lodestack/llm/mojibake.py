@@ -161,6 +161,8 @@ _ODD = (
     (re.compile(f"(?<![{_CJK}])[{_CJK}](?![{_CJK}])"), 1.6),
     (re.compile(f"(?<=[a-z])[{_CJK}]{{1,3}}(?=[a-z])"), 2.0),
     (re.compile("(?<=[A-Za-z])[’‘“”„«»–](?=[A-ZÀ-Þ])|(?<![A-Za-zÀ-ÿ ])[À-ÿ](?![A-Za-zÀ-ÿ ])"), 1.0),
+    (re.compile(r"(?<=n)ít\b|(?<=[Tt])ís\b"), 2.0),
+    (re.compile("В(?=[«»·©°§£])|‹(?=[a-zà-ÿ])"), 1.5),
     (re.compile("[À-ÿ]{3}"), 1.5),
     (re.compile("(?<=[а-яё])€|—(?=[А-яЁё])|•(?=[A-Za-z^_])|(?<=[a-z])»(?= )"), 1.5),
     (re.compile("(?<![A-Za-zÀ-ÿ])[à-ÿ](?=[A-Z])|(?<=[,.!?])[À-ÿ]|(?<= )[ìîíóñÐ](?= )"), 1.5),
@@ -199,7 +201,7 @@ _NORMAL = f"\n\t\r -~{_TYPOGRAPHY}{_ACCENTED}{_ACCENTED.upper()}А-яЁё{_CJK}
 #: Anything that occurs in garbled text and seldom in sound text.
 _SUSPECT = re.compile(
     f"[^{_NORMAL}]|[Â-ß][{_CONT}]|[à-ï][{_CONT}]{{2}}|[{_LO}][À-ÖØ-ÞŒŠŸŽ]|[а-яё][А-ЯЁ]"
-    f"|[À-ÿ]{{3}}|[а-яё]€|—[А-яЁё]|(?<![A-Za-zÀ-ÿ])[à-ÿ][A-Z]|[,.!?][À-ÿ]|[A-Za-zÀ-ÿ][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-zÀ-ÿ]|[{_ideographs({0})}]|[{_ideographs({2})}]{{2}}"
+    f"|В[«»·©°§£]|‹[a-zà-ÿ]|nít\\b|[Tt]ís\\b|[À-ÿ]{{3}}|[а-яё]€|—[А-яЁё]|(?<![A-Za-zÀ-ÿ])[à-ÿ][A-Z]|[,.!?][À-ÿ]|[A-Za-zÀ-ÿ][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-zÀ-ÿ]|[{_ideographs({0})}]|[{_ideographs({2})}]{{2}}"
     r"|&(?:[A-Za-z]{2,8}|#\d{2,6}|#[xX][0-9A-Fa-f]{2,5});|\\u[0-9a-fA-F]{4}"
 )
 _CYRILLIC = re.compile("[А-яЁё]{3,}")
@@ -310,11 +312,16 @@ _DAMAGE = re.compile("[\ufffd\x80-\x9f\ue000-\uf8ff]")
 _RUN = re.compile("[^\x00-\x7f]+")
 
 
+#: Single readings as UTF-8, which are so common that they are tried before a search.
+_FIRST = tuple(((wrong, "utf-8"),) for wrong in WRONG)
+
+
 def _repair_line(line: str, known: list) -> tuple[str, bool]:
-    for path in known:
-        got = apply(line, path)
-        if got is not None and got != line and calm(got):
-            return got, True
+    if "\ufffd" not in line:
+        for path in (*known, *_FIRST):
+            got = apply(line, path)
+            if got is not None and got != line and calm(got):
+                return got, True
     best, least, first, path = search(line)
     gain = first - least
     if gain >= MIN_GAIN and least <= 0.75 * first or gain >= 0.3 * MIN_GAIN and calm(best):
