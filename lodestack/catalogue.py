@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import html, json, quality, text, times, urls
-from .operators import diversity, identity, latest, merge, render, sampling, search, snapshot
+from .operators import checks, diversity, identity, latest, lookup, merge, render, sampling, search, snapshot
 from .plans import refresh
 from .runtime import table, tune
-from .sources import bookmarks, feeds
+from .sources import bookmarks, feeds, providers
 
 NOW = "2026-10-01 00:00:00"
 ARCHIVE = ("canonical_item", "comment_revision", "resource_revision", "page_fetch", "payload", "fetch_capture", "documents")
@@ -565,6 +565,68 @@ def event_windows(spark, d):
     return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "events")
 
 
+@query("""WITH c AS (SELECT DISTINCT comment_revision_id, json_extract_string(metadata_json, '$.user') AS user, star_count FROM comment_revision), u AS (SELECT user, max(star_count) AS stars FROM c WHERE user IS NOT NULL AND star_count > 50 GROUP BY user)
+SELECT DISTINCT c.comment_revision_id, coalesce(u.stars, 0) AS stars FROM c LEFT JOIN u ON c.user = u.user WHERE c.user IS NOT NULL""")
+def looked_up_stars(spark, d):
+    """Comments with a count looked up by user, nought where there is none."""
+    c = table(spark, d, "comment_revision").select("comment_revision_id", json.text_at("metadata_json", "$.user").alias("user"), "star_count").where("user is not null").distinct()
+    known = c.where("star_count > 50").select("user", F.col("star_count").alias("stars"))
+    return lookup.with_default(c.select("comment_revision_id", "user"), known, "user", "stars", 0).select("comment_revision_id", "stars").distinct()
+
+
+@query(f"""WITH s AS ({_STATES}),
+o AS (SELECT source_id, source, updated_at, excerpt, comment FROM s WHERE source <> 'rss' QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY updated_at, excerpt, comment) = 1),
+n AS (SELECT source_id, source, updated_at, excerpt, comment FROM s WHERE source <> 'raindrop' QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY updated_at DESC, excerpt DESC, comment DESC) = 1),
+a AS (SELECT split_part(coalesce(o.source_id, n.source_id), '-', 1) AS kind, CASE WHEN o.source_id IS NULL THEN 'insert' WHEN n.source_id IS NULL THEN 'keep' WHEN o.excerpt = n.excerpt AND o.comment = n.comment AND o.updated_at = n.updated_at THEN 'unchanged' ELSE 'update' END AS action FROM o FULL JOIN n ON o.source_id = n.source_id)
+SELECT CASE WHEN kind IN ('rss', 'hatena') THEN kind ELSE 'other' END AS kind, count(*) AS processed, count(*) FILTER (action = 'insert') AS "insert", count(*) FILTER (action = 'update') AS "update", count(*) FILTER (action = 'unchanged') AS unchanged, count(*) FILTER (action = 'keep') AS keep, count(*) FILTER (action = 'delete') AS "delete" FROM a GROUP BY 1""")
+def run_report(spark, d):
+    """What a merge did, by source."""
+    old, new = _two_states(spark, d)
+    got = merge.upsert(old, new, ["source_id"], ["excerpt", "comment", "updated_at"])
+    kind = F.substring_index("source_id", "-", 1)
+    return lookup.outcome_report(got.withColumn("kind", F.when(kind.isin("rss", "hatena"), kind).otherwise("other")), ["kind"])
+
+
+@query("""SELECT 'captures without their payload' AS "check", count(*) AS violations FROM (SELECT DISTINCT fetch_capture_id, http_payload_id FROM fetch_capture) WHERE http_payload_id IS NOT NULL AND http_payload_id NOT IN (SELECT payload_id FROM payload)
+UNION ALL SELECT 'captures without their revision', count(*) FROM (SELECT DISTINCT fetch_capture_id, resource_revision_id FROM fetch_capture) WHERE resource_revision_id IS NOT NULL AND resource_revision_id NOT IN (SELECT resource_revision_id FROM resource_revision)
+UNION ALL SELECT 'deliveries of an item', count(*) FROM (SELECT source_id FROM canonical_item GROUP BY source_id HAVING count(*) > 1)
+UNION ALL SELECT 'items in several states', count(*) FROM (SELECT source_id FROM canonical_item GROUP BY source_id HAVING count(DISTINCT concat_ws('|', coalesce(excerpt, ''), coalesce(comment, ''), coalesce(updated_at, ''))) > 1)""")
+def constraint_report(spark, d):
+    captures = table(spark, d, "fetch_capture").select("fetch_capture_id", "http_payload_id", "resource_revision_id").distinct()
+    items = _states(spark, d)
+    return checks.report({
+        "captures without their payload": checks.dangling(captures, "http_payload_id", table(spark, d, "payload"), "payload_id"),
+        "captures without their revision": checks.dangling(captures, "resource_revision_id", table(spark, d, "resource_revision"), "resource_revision_id"),
+        "deliveries of an item": checks.repeated_keys(items, ["source_id"]),
+        "items in several states": checks.conflicting_rows(items, "source_id", ["excerpt", "comment", "updated_at"]),
+    })
+
+
+@query(f"""WITH a AS (SELECT source_id, max(title) AS title FROM canonical_item WHERE source = 'hatena' GROUP BY 1), b AS (SELECT source_id, max(title) AS title FROM canonical_item WHERE source <> 'raindrop' GROUP BY 1)
+SELECT coalesce(a.source_id, b.source_id) AS source_id, coalesce(CASE WHEN a.source_id IS NOT NULL THEN a.title ELSE b.title END, '') AS title, CASE WHEN a.source_id IS NOT NULL THEN 'first' ELSE 'second' END AS source FROM a FULL JOIN b ON a.source_id = b.source_id""")
+def union_of_sources(spark, d):
+    """Two overlapping sources as one; the first wins."""
+    one = lambda df, name: providers.as_item(df.groupBy("source_id").agg(F.max("title").alias("title")), source=F.lit(name), source_id=F.col("source_id"), title=F.col("title"))
+    a, b = _items(spark, d).where("source = 'hatena'"), _items(spark, d).where("source <> 'raindrop'")
+    return providers.union_sources([one(a, "first"), one(b, "second")]).select("source_id", "title", "source")
+
+
+@query(f"""SELECT source_id, source, coalesce(url, '') AS url, coalesce(title, '') AS title, coalesce(created_at, '') AS created_at, coalesce(lower(regexp_extract(trim(url), '{_URL}', 2)), '') AS domain FROM (SELECT DISTINCT source_id, source, url, title, created_at FROM canonical_item)""")
+def metadata_round_trip(spark, d):
+    """Items as maps of their fields, and back."""
+    i = _items(spark, d).select("source_id", "source", "url", "title", "created_at").distinct().withColumns({c: F.lit("") for c in ("excerpt", "comment", "updated_at", "item_type")})
+    back = providers.from_metadata(providers.metadata(i), "raindrop").select("source_id", "source", "url", "title", "created_at")
+    return back.withColumn("domain", F.coalesce(urls.url_host("url"), F.lit("")))
+
+
+@query("""SELECT resource_id, (row_number() OVER (PARTITION BY resource_id ORDER BY first) - 1)::INT AS position, url FROM (SELECT resource_id, trim(url) AS url, min(page_fetch_id) AS first FROM page_fetch WHERE trim(url) <> '' GROUP BY ALL)""")
+def replaced_children(spark, d):
+    """URLs that each resource was fetched under, in order of first appearance."""
+    batch = table(spark, d, "page_fetch").groupBy("resource_id", "url").agg(F.min("page_fetch_id").alias("first"))
+    none = batch.limit(0).select("resource_id", "url", F.lit(0).alias("position"))
+    return merge.replace_children(none, batch, "resource_id", "url", [F.col("first")]).select("resource_id", "position", "url")
+
+
 # --- pages, feeds, exports -----------------------------------------------------------------------
 
 

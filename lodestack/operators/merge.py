@@ -10,7 +10,7 @@ import shutil
 import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .latest import latest_by_key
@@ -69,6 +69,20 @@ def orphans(blobs: DataFrame, key: str, references: list[tuple[DataFrame, str]])
     return blobs.join(used.distinct(), key, "left_anti")
 
 
+def replace_children(children: DataFrame, batch: DataFrame, parent: str, value: str, order: list[Column]) -> DataFrame:
+    """Child rows (parent, value, position) after the batch replaced those of its parents.
+
+    Blank values are dropped, of equal ones in a parent the first stays, and positions count
+    from 0.  Parents that the batch lacks keep their children.
+    """
+    rows = batch.withColumn(value, F.trim(value)).where(F.coalesce(value, F.lit("")) != "")
+    w = Window.partitionBy(parent, value).orderBy(*order)
+    first = rows.withColumn("__i", F.row_number().over(w)).where("__i = 1")
+    new = first.withColumn("position", (F.row_number().over(Window.partitionBy(parent).orderBy(*order)) - 1).cast("int")).select(parent, value, "position")
+    kept = children.select(parent, value, "position").join(batch.select(parent).distinct(), parent, "left_anti")
+    return kept.unionByName(new)
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """Replaces a table on a shared file system: written aside first, then put in its place."""
     new = f"{path}.{uuid.uuid4().hex}"

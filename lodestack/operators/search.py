@@ -43,3 +43,24 @@ def search(index: DataFrame, docs: DataFrame, key: str, field: str, term: str) -
         return docs.where(hit).select(key)
     found = index.where((F.col("field") == field) & F.col("gram").isin(grams)).groupBy(key).agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(grams))
     return docs.join(found, key, "left_semi").where(hit).select(key)
+
+
+def rebuild(docs: DataFrame, key: str, fields: list[str], path: str, generation: int, force: bool = False) -> bool:
+    """Writes the index of a generation of the documents; an index of that generation stays.
+
+    The new index is written aside and put in place at once, its generation beside it.
+    """
+    from .merge import write_table
+
+    spark = docs.sparkSession
+    mark = f"{path}.generation"
+    if not force:
+        try:
+            if spark.read.text(mark).first()[0] == str(generation):
+                return False
+        except Exception as e:  # noqa: BLE001
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    write_table(build_index(docs, key, fields).repartition("gram").sortWithinPartitions("gram"), path)
+    spark.createDataFrame([(str(generation),)], "value string").coalesce(1).write.mode("overwrite").text(mark)
+    return True

@@ -198,3 +198,56 @@ def test_shared_resources(spark):
     items = spark.createDataFrame([("a", "https://X.test/"), ("b", "https://x.test/"), ("a", "https://X.test/")], "k string, u string")
     assert rows(identity.shared_resources(items, "k", "u")) == [("https://x.test/", 2, 2, "a")]
     assert items.select(urls.content_key("u")).distinct().count() == 1
+
+
+def test_lookup_defaults_and_stars(spark):
+    from lodestack.operators import lookup
+
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "k string")
+    vals = spark.createDataFrame([("a", 3), ("a", 5), ("b", None)], "k string, n int")
+    assert rows(lookup.with_default(df, vals, "k", "n", 0)) == [("a", 5), ("b", 0), (None, 0)]
+    s = spark.createDataFrame([([(None,), (3,), (0,)], [([(2,)],), ([(None,)],)]), (None, None)], "p array<struct<count: int>>, c array<struct<stars: array<struct<count: int>>>>")
+    assert [r[0] for r in s.select(lookup.star_total(F.col("p"), F.col("c"))).collect()] == [8, 0]
+    batch = spark.createDataFrame([("a", 1), ("b", 2), ("c", None), ("d", 4)], "k string, n int")
+    state = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "k string, n int")
+    assert [r["k"] for r in lookup.changed_counts(batch, state, "k", "n").orderBy("k").collect()] == ["b", "c", "d"]
+    r = spark.createDataFrame([("x", 2.0, 4.0), ("x", 1.0, 0.0), ("x", None, 4.0), ("y", 1.0, -1.0)], "g string, p double, w double")
+    assert rows(lookup.ratio(r, ["g"], F.col("p"), F.col("w"))) == [("x", 0.5, 1)]
+
+
+def test_checks(spark):
+    from lodestack.operators import checks
+
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), ("b", 2), ("c", None)], "k string, v int")
+    assert rows(checks.repeated_keys(df, ["k"])) == [("a", 2), ("b", 2)]
+    assert rows(checks.conflicting_rows(df, "k", ["v"])) == [("b", 2)]
+    assert checks.dangling(df, "v", spark.createDataFrame([(1,)], "id int"), "id").count() == 1
+    assert rows(checks.report({"x": df, "y": df.limit(0)})) == [("x", 5), ("y", 0)]
+
+
+def test_migrations(spark):
+    from lodestack.operators import migrate
+
+    caps = spark.createDataFrame([("r", "1", None, "2026-01-02", "b"), ("r", "2", "p", "2026-01-01", "a")], "resource_id string, n string, http_payload_id string, fetched_at string, fetch_capture_id string")
+    com = spark.createDataFrame([("r", i, None, f"c{i:02}") for i in range(25)], "resource_id string, star_count int, posted_at string, comment_revision_id string")
+    out = migrate.migrate({"fetch_capture": caps, "comment_revision": com}, 1, 4)
+    assert [r["n"] for r in out["fetch_capture"].collect()] == ["2"] and out["fetch_capture"].first()["consecutive_failures"] == 0
+    assert out["comment_revision"].count() == 20 and out["comment_revision"].agg(F.min("star_count")).first()[0] == 5
+    with pytest.raises(ValueError):
+        migrate.migrate({}, 5, 4)
+    with pytest.raises(ValueError):
+        migrate.migrate({}, 3, 99)
+
+
+def test_replace_children(spark):
+    old = spark.createDataFrame([("a", "x", 0), ("b", "y", 0)], "p string, u string, position int")
+    batch = spark.createDataFrame([("a", " z ", 1), ("a", "", 2), ("a", "w", 3), ("a", "z", 4), ("a", None, 5)], "p string, u string, i int")
+    assert rows(merge.replace_children(old, batch, "p", "u", [F.col("i")])) == [("a", "w", 1), ("a", "z", 0), ("b", "y", 0)]
+
+
+def test_rebuild_once_a_generation(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "abcd")], "i int, t string")
+    path = str(tmp_path / "index")
+    assert search.rebuild(docs, "i", ["t"], path, 1) and not search.rebuild(docs, "i", ["t"], path, 1)
+    assert search.rebuild(docs, "i", ["t"], path, 2) and search.rebuild(docs, "i", ["t"], path, 2, force=True)
+    assert sorted(r["gram"] for r in spark.read.parquet(path).collect()) == ["abc", "bcd"]

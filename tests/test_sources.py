@@ -82,3 +82,29 @@ def test_streak_stream_equals_batch(spark, tmp_path):
     for x in spark.table("streaks").collect():
         got.setdefault(x["k"], []).append(x["streak"])
     assert all(want[k] in v for k, v in got.items()) and set(got) == set(want)
+
+
+def test_paged_source(spark, tmp_path):
+    import json as js
+
+    from lodestack.sources import paged
+
+    pages = {"q-0": 3, "q-1": 3, "q-2": 1, "q-3": 3, "r-0": 0}
+    for name, n in pages.items():
+        (tmp_path / f"{name}.json").write_text(js.dumps({"items": [{"id": f"{name}-{i}"} for i in range(n)]}))
+    got = paged.read_pages(spark, str(tmp_path), page_size=3).collect()
+    assert [(r["query"], r["page"], r["pos"]) for r in sorted(got)] == [("q", 0, 0), ("q", 0, 1), ("q", 0, 2), ("q", 1, 0), ("q", 1, 1), ("q", 1, 2), ("q", 2, 0)]
+    assert js.loads(got[0]["body"])["id"].startswith("q-")
+
+
+def test_providers(spark):
+    from lodestack.sources import providers
+
+    a = providers.as_item(spark.createDataFrame([("1", "A")], "i string, t string"), source=F.lit("x"), source_id=F.col("i"), title=F.col("t"))
+    b = providers.as_item(spark.createDataFrame([("1", "B"), ("2", None)], "i string, t string"), source=F.lit("y"), source_id=F.col("i"), title=F.col("t"))
+    assert sorted((r["source_id"], r["title"], r["source"], r["tags"]) for r in providers.union_sources([a, b]).collect()) == [("1", "A", "x", []), ("2", "", "y", [])]
+    assert {r["title"] for r in providers.union_sources([a, b], first_wins=False).collect()} == {"B", ""}
+    back = providers.from_metadata(providers.metadata(a), "none").first()
+    assert (back["source"], back["title"], back["url"]) == ("x", "A", "")
+    talk = spark.createDataFrame([("r", '{"count":2,"eid":"e","bookmarks":[{"user":"u","tags":["t"],"timestamp":"s","comment":"hi"},{"user":"v","comment":""}]}'), ("s", "{broken")], "resource_id string, body string")
+    assert [(r["user"], r["comment"], r["entry_id"]) for r in providers.discussion(talk).collect()] == [("u", "hi", "e")]
