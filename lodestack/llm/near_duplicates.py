@@ -14,6 +14,7 @@ minhash agree in 60 % of the places, at which the same scheme works.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,20 +37,23 @@ MIN_AGREEMENT = MIN_SIMILARITY - 5 * (MIN_SIMILARITY * (1 - MIN_SIMILARITY) / PL
 
 _rng = np.random.default_rng(20)
 _WEIGHTS = _rng.integers(1, 2**63, RUN, dtype=np.uint64) | np.uint64(1)
-_MULT = _rng.integers(1, 2**63, PLACES, dtype=np.uint64) | np.uint64(1)
-_ADD = _rng.integers(0, 2**63, PLACES, dtype=np.uint64)
-_DROP = {ord(c): None for c in " \t\r\n"}
-_LOWER = {ord(c): ord(c) + 32 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+_SALTS = _rng.integers(0, 2**63, (SEGMENTS, SYMBOLS), dtype=np.uint64)
+_WIDTH = np.uint64(2**64 // PLACES + 1)
+_OWN = np.arange(PLACES, dtype=np.uint64)
+_BINS = _OWN * _WIDTH
+_UPPER = re.compile("[A-Z]+")
 
 
 def normal(title: str | None, content: str) -> str:
     """Title and content as they are compared: without white space, A-Z in lower case."""
-    return f"{title or ''}\n{content}".translate(_DROP).translate(_LOWER)
+    t = f"{title or ''}{content}"
+    for white in " \t\r\n":
+        t = t.replace(white, "")
+    return t.lower() if t.isascii() else _UPPER.sub(lambda m: m.group().lower(), t)
 
 
-def grams(text: str) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct runs of RUN code points; none in a shorter text."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+def _hashes(points: np.ndarray) -> np.ndarray:
+    """64-bit hashes of all runs of RUN code points."""
     n = len(points) - RUN + 1
     if n < 1:
         return np.empty(0, np.uint64)
@@ -59,28 +63,54 @@ def grams(text: str) -> np.ndarray:
         h ^= h >> np.uint64(31)
     h *= np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
-    return np.unique(h)
+    return h
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def grams(text: str) -> np.ndarray:
+    """Sorted hashes of the distinct runs of a text; none in one shorter than RUN."""
+    return np.unique(_hashes(_points(text)))
+
+
+def grams_of(texts: list[str]) -> Iterator[np.ndarray]:
+    """:func:`grams` of several texts, hashed in one go; runs over their borders are left out."""
+    h = _hashes(_points("".join(texts)))
+    at = 0
+    for t in texts:
+        g = h[at : max(at, at + len(t) - RUN + 1)].copy()
+        at += len(t)
+        g.sort()
+        yield g[np.concatenate([[True], g[1:] != g[:-1]])] if len(g) else g
 
 
 def signature(g: np.ndarray) -> np.ndarray:
-    """PLACES minhash symbols of 16 bits; zeros for a text without runs."""
+    """PLACES minhash symbols of 16 bits; zeros for a text without runs.
+
+    The hash range is cut into PLACES bins, and the least hash of a bin gives its symbol, so
+    every run is looked at once.  An empty bin takes the next one's, marked by the distance.
+    """
     if not len(g):
         return np.zeros(PLACES, np.uint16)
-    low = np.full(PLACES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(g), 4096):  # whole texts, in blocks
-        np.minimum(low, (g[i : i + 4096, None] * _MULT + _ADD).min(0), out=low)
-    low ^= low >> np.uint64(32)
-    return ((low * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)).astype(np.uint16)
+    at = np.searchsorted(g, _BINS)
+    least = g[at % len(g)]
+    away = (least // _WIDTH - _OWN) % np.uint64(PLACES)
+    h = (least + away * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return ((h * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(48)).astype(np.uint16)
 
 
-def variants(sig: np.ndarray) -> list[int]:
-    """Keys of the one-wildcard variants of every segment."""
-    out = []
-    for s in range(SEGMENTS):
-        part = sig[s * SYMBOLS : (s + 1) * SYMBOLS]
-        for hole in range(SYMBOLS):
-            out.append(xxhash.xxh64_intdigest(bytes((s, hole)) + np.delete(part, hole).tobytes()) - (1 << 63))
-    return out
+def variants(sigs: np.ndarray) -> np.ndarray:
+    """Keys of the one-wildcard variants of every segment, a row a signature."""
+    parts = sigs.reshape(len(sigs), SEGMENTS, SYMBOLS).astype(np.uint64)
+    out = np.empty((len(sigs), SEGMENTS, SYMBOLS), np.uint64)
+    for hole in range(SYMBOLS):
+        left = np.delete(parts, hole, axis=2)  # four symbols of 16 bits, one key of 64
+        key = left[:, :, 0] << np.uint64(48) | left[:, :, 1] << np.uint64(32) | left[:, :, 2] << np.uint64(16) | left[:, :, 3]
+        out[:, :, hole] = (key ^ _SALTS[:, hole]) * np.uint64(0x9E3779B97F4A7C15)
+    return out.reshape(len(sigs), -1).view(np.int64)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -94,11 +124,9 @@ def _signed(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            classes, sigs = [], []
-            for title, content in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                t = normal(title, content)
-                classes.append(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")))
-                sigs.append(signature(grams(t)).tobytes())
+            texts = [normal(t, c) for t, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            classes = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts]
+            sigs = [signature(g).tobytes() for i in range(0, len(texts), 64) for g in grams_of(texts[i : i + 64])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(classes, pa.binary()), pa.array(sigs, pa.binary())], names=["rev_id", "class", "sig"])
 
     return texts.mapInArrow(run, "rev_id string, class binary, sig binary")
@@ -107,8 +135,9 @@ def _signed(texts: DataFrame) -> DataFrame:
 def _variant_rows(classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [variants(np.frombuffer(s, np.uint16)) for s in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["class", "keys"])
+            keys = variants(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, PLACES))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * PLACES), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["class", "keys"])
 
     return classes.select("class", "sig").mapInArrow(run, "class binary, keys array<long>").select("class", F.explode("keys").alias("key"))
 
@@ -130,10 +159,19 @@ def _verified(pairs: DataFrame) -> DataFrame:
     """Pairs (a, b, title_a, content_a, title_b, content_b) with their exact similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[bytes, np.ndarray] = {}  # a text meets several others in a row
+
+        def of(c: bytes, title: str | None, content: str) -> np.ndarray:
+            if c not in memo:
+                if len(memo) >= 1000:
+                    memo.clear()
+                memo[c] = grams(normal(title, content))
+            return memo[c]
+
         for batch in batches:
             a, b, s = [], [], []
             for ca, cb, ta, xa, tb, xb in zip(*(c.to_pylist() for c in batch.columns)):
-                v = similarity(grams(normal(ta, xa)), grams(normal(tb, xb)))
+                v = similarity(of(ca, ta, xa), of(cb, tb, xb))
                 if v >= MIN_SIMILARITY:
                     a.append(ca)
                     b.append(cb)
