@@ -211,7 +211,7 @@ def _swapped(text: str) -> bool:
     """Whether the letters of Cyrillic words are those of another text's code page."""
     words = _CYRILLIC.findall(text)
     letters = sum(map(len, words))
-    return letters >= 3 and sum(_COST[c.lower()] for w in words for c in w) > (0.52 if letters > 30 else 0.62) * letters
+    return letters >= 5 and sum(_COST[c.lower()] for w in words for c in w) > (0.52 if letters > 30 else 0.62) * letters
 
 
 def calm(text: str) -> bool:
@@ -316,6 +316,24 @@ _RUN = re.compile("[^\x00-\x7f]+")
 _FIRST = tuple(((wrong, "utf-8"),) for wrong in WRONG)
 
 
+#: The most frequent other readings, for callers that need a guess and no search.
+_USUAL = (
+    (("windows-1252", "utf-8"), ("windows-1252", "utf-8")), (("windows-1252", "cp1251"),), (("cp1251", "koi8-r"),), (("koi8-r", "cp1251"),), (("windows-1252", "koi8-r"),),
+    (("latin-1", "cp932"),), (("windows-1252", "cp932"),), (("windows-1252", "euc_jp"),), (("cp932", "euc_jp"),), (("mac-roman", "windows-1252"),), (("mac-cyrillic", "cp1251"),), (("cp437", "windows-1252"),), (("cp850", "windows-1252"),),
+)
+
+
+def quick(line: str) -> str:
+    """A line as the first usual reading of it that looks sound; itself if there is none."""
+    if line.isascii() or calm(line) or "\ufffd" in line:
+        return line
+    for path in (*_FIRST, *_USUAL):
+        got = apply(line, path)
+        if got is not None and got != line and calm(got):
+            return got
+    return line
+
+
 def _repair_line(line: str, known: list) -> tuple[str, bool]:
     if "\ufffd" not in line:
         for path in (*known, *_FIRST):
