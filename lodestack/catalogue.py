@@ -333,7 +333,7 @@ def unique_tags(spark, d):
 
 
 @query(rf"""WITH t AS (SELECT DISTINCT unnest(tags) AS tag FROM canonical_item)
-SELECT tag, regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace({_strip_sql('tag')}, '^#+', '')), '{_W}+', '-', 'g'), '[^\p{{L}}\p{{N}}\p{{M}}_/\-]', '', 'g'), '^[-/]+|[-/]+$', '', 'g') AS normal FROM t WHERE tag IS NOT NULL""")
+SELECT tag, regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace({_strip_sql('tag')}, '^#+', '')), '{_W}+', '-', 'g'), '[^\p{{L}}\p{{N}}_/\-\x{{3040}}-\x{{30FF}}\x{{3400}}-\x{{9FFF}}]', '', 'g'), '^[-/]+|[-/]+$', '', 'g') AS normal FROM t WHERE tag IS NOT NULL""")
 def normal_tags(spark, d):
     tags = _items(spark, d).select(F.explode("tags").alias("tag")).where("tag is not null").distinct()
     return tags.select("tag", text.normalize_tag("tag").alias("normal"))
@@ -352,12 +352,13 @@ def bracket_comments(spark, d):
 _FILE = r"regexp_replace(regexp_replace(regexp_replace(nfc_normalize(coalesce(title, '')), '[^\p{L}\p{M}\p{N} \-_.]', ' ', 'g'), ' +', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g')"
 
 
-@query(rf"""WITH f AS (SELECT DISTINCT source_id, CASE WHEN {_FILE} = '' THEN 'untitled' ELSE {_FILE} END AS n FROM canonical_item),
-s AS (SELECT source_id, CASE WHEN regexp_full_match(lower(regexp_extract(n, '^([^.]*)', 1)), 'con|prn|aux|nul|com[1-9]|lpt[1-9]') THEN '_' || n ELSE n END AS n FROM f)
-SELECT source_id, n AS name, regexp_replace(substr(n, 1, 60), '[ .]+$', '') || ' - ' || source_id || '.md' AS note FROM s""")
+@query(rf"""WITH f AS (SELECT DISTINCT source_id, coalesce(nullif(title, ''), nullif(url, ''), 'Untitled') AS title FROM (SELECT source_id, title, min(url) AS url FROM canonical_item GROUP BY ALL)), g AS (SELECT source_id, {_FILE} AS n FROM f),
+s AS (SELECT source_id, CASE WHEN regexp_full_match(upper(n), 'CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9]') THEN n || '_' ELSE n END AS n FROM g)
+SELECT source_id, n AS name, coalesce(nullif(regexp_replace(substr(coalesce(nullif(n, ''), 'Untitled'), 1, 60), '[ .]+$', ''), ''), 'Untitled') || ' - ' || source_id || '.md' AS note FROM s""")
 def note_names(spark, d):
-    rows = _items(spark, d).select("source_id", "title").distinct()
-    return rows.select("source_id", text.file_name("title").alias("name"), text.note_name("title", "source_id").alias("note"))
+    rows = _items(spark, d).groupBy("source_id", "title").agg(F.min("url").alias("url"))
+    shown = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.nullif(F.col("url"), F.lit("")), F.lit("Untitled"))
+    return rows.select("source_id", text.file_name(shown).alias("name"), text.note_name("title", "source_id", F.col("url")).alias("note"))
 
 
 def _documents(spark, d) -> DataFrame:
@@ -399,19 +400,21 @@ def render_actions(spark, d):
 # --- texts ------------------------------------------------------------------------------------
 
 _LEN = lambda x: f"length(regexp_replace(coalesce({x}, ''), '{_W}+', '', 'g'))::BIGINT"
+_BARE = lambda x: f"regexp_replace(coalesce({x}, ''), '{_W}+', '', 'g')"
 _LOST = lambda x: f"(length(coalesce({x}, '')) - length(replace(coalesce({x}, ''), '�', '')))::BIGINT"
 
 
 @query(f"""WITH p AS (SELECT DISTINCT page_fetch_id, text, title FROM page_fetch), q AS (SELECT *, {_LEN('text')} AS n, {_LOST('text')} AS lost FROM p)
-SELECT page_fetch_id, n AS length, lost, n >= 200 AND lost < n * 0.001 AS sure, CASE WHEN n = 0 THEN true WHEN lost >= n * 0.001 THEN true WHEN n >= 40 AND coalesce(title, '') <> '' AND contains(coalesce(text, ''), title) THEN false WHEN n < 80 THEN true ELSE false END AS render FROM q""")
+SELECT page_fetch_id, n AS length, lost, n >= 200 AND lost / greatest(length(coalesce(text, '')), 1) < 0.001 AS sure,
+CASE WHEN coalesce(text, '') = '' THEN true WHEN lost / greatest(length(text), 1) >= 0.001 THEN true WHEN n >= 40 AND {_BARE('title')} <> '' AND contains({_BARE('text')}, {_BARE('title')}) THEN false WHEN n < 80 THEN true ELSE false END AS render FROM q""")
 def text_quality(spark, d):
     p = table(spark, d, "page_fetch").select("page_fetch_id", "text", "title").distinct()
     return p.select("page_fetch_id", quality.compact_length("text").alias("length"), quality.lost_characters("text").alias("lost"), quality.high_confidence("text").alias("sure"), quality.needs_rendering("text", F.lit(""), "title").alias("render"))
 
 
 @query(f"""WITH p AS (SELECT resource_id, max(page_fetch_id) AS id, arg_max(coalesce(text, ''), page_fetch_id) AS a FROM page_fetch GROUP BY 1), r AS (SELECT resource_id, arg_max(coalesce(content_markdown, ''), resource_revision_id) AS b FROM resource_revision GROUP BY 1),
-j AS (SELECT resource_id, a, b, ({_LEN('a')} >= 200 AND {_LOST('a')} < {_LEN('a')} * 0.001) AS sa, ({_LEN('b')} >= 200 AND {_LOST('b')} < {_LEN('b')} * 0.001) AS sb FROM p JOIN r USING (resource_id))
-SELECT resource_id, CASE WHEN (sb, -{_LOST('b')}, {_LEN('b')}) > (sa, -{_LOST('a')}, {_LEN('a')}) THEN sha256(b) ELSE sha256(a) END AS best, {_LEN('a')} < 120 AND {_LEN('b')} >= 500 AND {_LEN('b')} >= {_LEN('a')} * 3 AS prefer_recall FROM j""")
+j AS (SELECT resource_id, a, b, ({_LEN('a')} >= 200 AND {_LOST('a')} / greatest(length(a), 1) < 0.001) AS sa, ({_LEN('b')} >= 200 AND {_LOST('b')} / greatest(length(b), 1) < 0.001) AS sb FROM p JOIN r USING (resource_id))
+SELECT resource_id, CASE WHEN (sb, -{_LOST('b')}, {_LEN('b')}) > (sa, -{_LOST('a')}, {_LEN('a')}) THEN sha256(b) ELSE sha256(a) END AS best, CASE WHEN a = '' THEN b <> '' ELSE {_LEN('a')} < 120 AND {_LEN('b')} >= 500 AND {_LEN('b')} >= {_LEN('a')} * 3 END AS prefer_recall FROM j""")
 def better_text(spark, d):
     p = table(spark, d, "page_fetch").groupBy("resource_id").agg(F.max_by(F.coalesce("text", F.lit("")), "page_fetch_id").alias("a"))
     r = table(spark, d, "resource_revision").groupBy("resource_id").agg(F.max_by(F.coalesce("content_markdown", F.lit("")), "resource_revision_id").alias("b"))
@@ -463,13 +466,14 @@ def stratified_sample(spark, d):
     return sampling.stratified(docs, "source", [F.col("doc_id")], 700).select("doc_id", "source")
 
 
-_GEN = "('article', 'blog', 'link', 'news', 'web', 'まとめ', 'あとで読む')"
+_GEN = "('article', 'bookmark', 'news', 'web', 'あとで読む', '未分類')"
+_WORDS = f"list_transform(regexp_extract_all(coalesce(title, ''), '{diversity.TITLE_WORDS}', 1), lambda t: lower(t))"
 _TOPICS = rf"""base AS (SELECT DISTINCT source_id, tags, title, url, excerpt FROM canonical_item), one AS (SELECT * FROM base QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY length(coalesce(excerpt, '')) DESC, coalesce(excerpt, '') DESC, url) = 1),
-tagged AS (SELECT DISTINCT source_id, lower(regexp_replace({_strip_sql('t')}, '^#+', '')) AS topic FROM (SELECT source_id, unnest(tags) AS t FROM one) WHERE t IS NOT NULL),
+tagged AS (SELECT DISTINCT source_id, regexp_replace(regexp_replace(lower({_strip_sql('t')}), '^#+', ''), '{_W}+', '-', 'g') AS topic FROM (SELECT source_id, unnest(tags) AS t FROM one) WHERE t IS NOT NULL),
 from_tags AS (SELECT * FROM tagged WHERE topic <> '' AND topic NOT IN {_GEN}),
-words AS (SELECT source_id, unnest(regexp_extract_all(lower(coalesce(title, '')), '([\p{{L}}\p{{N}}ー]{{3,}})', 1)) AS topic, generate_subscripts(regexp_extract_all(lower(coalesce(title, '')), '([\p{{L}}\p{{N}}ー]{{3,}})', 1), 1) AS i FROM one WHERE source_id NOT IN (SELECT source_id FROM from_tags)),
-firsts AS (SELECT source_id, topic, min(i) AS i FROM words GROUP BY ALL), from_title AS (SELECT source_id, topic FROM firsts QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY i) <= 3),
-from_host AS (SELECT source_id, regexp_replace(lower(regexp_extract(trim(url), '{_URL}', 2)), '^www\.', '') AS topic FROM one WHERE source_id NOT IN (SELECT source_id FROM from_tags UNION SELECT source_id FROM from_title)),
+words AS (SELECT source_id, unnest({_WORDS}) AS topic, generate_subscripts({_WORDS}, 1) AS i FROM one WHERE source_id NOT IN (SELECT source_id FROM from_tags)),
+firsts AS (SELECT source_id, topic, min(i) AS i FROM words WHERE topic NOT IN {_GEN} GROUP BY ALL), from_title AS (SELECT source_id, topic FROM firsts QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY i) <= 3),
+from_host AS (SELECT source_id, regexp_replace(coalesce(nullif(lower(regexp_extract(trim(url), '{_URL}', 2)), ''), 'unknown'), '^www\.', '') AS topic FROM one WHERE source_id NOT IN (SELECT source_id FROM from_tags UNION SELECT source_id FROM from_title)),
 topics AS (SELECT * FROM from_tags UNION ALL SELECT * FROM from_title UNION ALL SELECT * FROM from_host)"""
 
 

@@ -10,18 +10,18 @@ import pyarrow as pa
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-# Elements and marks by which parts of a page are told apart.
-SKIPPED = frozenset("script style noscript template svg nav footer aside form iframe".split())
-SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search".split())
-SKIPPED_MARKS = frozenset("ad ads advert advertisement sidebar breadcrumb breadcrumbs cookie related share social comments".split())
-CONTENT_MARKS = frozenset("article content entry post body main story".split())
-BLOCKS = frozenset("p div section article main header h1 h2 h3 h4 h5 h6 ul ol li table tr blockquote pre br hr dt dd figure figcaption".split())
+# Elements, roles and names by which parts of a page are told apart.
+SKIPPED = frozenset("aside canvas dialog footer form header nav noscript script style svg template".split())
+SKIPPED_ROLES = frozenset("banner complementary contentinfo navigation".split())
+SKIPPED_NAMES = frozenset("ad ads advert advertisement banner comment comments consent cookie footer header nav navigation promo recommend related reply share sidebar social sponsored".split())
+CONTENT_NAMES = frozenset("article content entry main post story".split())
+BLOCKS = frozenset("article blockquote br dd div dt figcaption h1 h2 h3 h4 h5 h6 li main p pre section td th tr".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-PIXELS = frozenset("pixel tracker tracking beacon spacer".split())
+NO_CONTENT_IMAGE = re.compile(r"(?:^|[-_\s])(?:ad|ads|advert|advertisement|banner|promo|sponsor|tracking|pixel)(?:$|[-_\s])")
 
 
 def _tokens(attrs: dict) -> set[str]:
-    return set(re.split(r"[\s_\-]+", f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower())) - {""}
+    return set(re.findall("[a-z0-9]+", " ".join(attrs.get(k) or "" for k in ("class", "id", "role")).lower()))
 
 
 class _Region:
@@ -64,10 +64,10 @@ class PageParser(HTMLParser):
         if self.hidden_at:
             return
         marks = _tokens(a)
-        if tag in SKIPPED or (a.get("role") or "").lower() in SKIPPED_ROLES or marks & SKIPPED_MARKS:
+        if tag in SKIPPED or (a.get("role") or "").lower() in SKIPPED_ROLES or marks & SKIPPED_NAMES:
             self.hidden_at = self.depth
             return
-        rank = 3 if tag == "article" else 2 if tag == "main" else 1 if marks & CONTENT_MARKS and tag in ("div", "section") else 0
+        rank = 3 if tag == "article" else 2 if tag == "main" else 1 if marks & CONTENT_NAMES else 0
         if rank:
             self.open.append(_Region(rank, self.depth))
 
@@ -87,8 +87,8 @@ class PageParser(HTMLParser):
     def handle_data(self, data):
         if self.in_title:
             self.title_parts.append(data)
-        elif not self.hidden_at:
-            self._text(data)
+        elif not self.hidden_at and data.strip():
+            self._text(data.strip())
 
     def _text(self, data: str) -> None:
         for r in self.open:
@@ -100,19 +100,18 @@ class PageParser(HTMLParser):
         if not src:
             return
         url = urljoin(self.base, src.strip())
-        small = all((a.get(k) or "").isdigit() and int(a[k]) <= 10 for k in ("width", "height"))
-        words = set(re.split(r"[^a-z0-9]+", url.lower())) | _tokens(a)
-        if small or words & (PIXELS | {"ad", "ads", "advert"}):
+        small = all((a.get(k) or "").isdigit() and 0 < int(a[k]) <= 10 for k in ("width", "height"))
+        if small or NO_CONTENT_IMAGE.search(" ".join(a.get(k) or "" for k in ("class", "id", "role", "aria-label")).lower()):
             return
         for r in self.open:
             r.images.append((url, (a.get("alt") or "").strip()))
 
     def region(self) -> _Region:
-        found = [r for r in self.closed + self.open[1:] if "".join(r.parts).strip()]
+        found = [r for r in self.closed + self.open[1:] if " ".join(r.parts).strip()]
         if not found:
             return self.everything
         rank = max(r.rank for r in found)
-        return max((r for r in found if r.rank == rank), key=lambda r: len(tidy("".join(r.parts))))
+        return max((r for r in found if r.rank == rank), key=lambda r: len(tidy(" ".join(r.parts))))
 
 
 def tidy(text: str) -> str:
@@ -129,7 +128,7 @@ def parse_page(text: str | None, base: str = "") -> dict:
     r = p.region()
     return {
         "title": " ".join("".join(p.title_parts).split()),
-        "text": re.sub(r"\n{2,}", "\n", tidy("".join(r.parts))),
+        "text": re.sub(r"\n{2,}", "\n", tidy(" ".join(r.parts))),
         "links": list(dict.fromkeys(p.links)),
         "images": [{"url": u, "alt": a} for u, a in dict(reversed(r.images)).items()][::-1] if r.images else [],
     }

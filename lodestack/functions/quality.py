@@ -22,20 +22,26 @@ def lost_characters(text: Column | str) -> Column:
     return (F.length(t) - F.length(F.replace(t, F.lit(REPLACEMENT), F.lit("")))).cast("long")
 
 
+def _share_lost(text: Column | str) -> Column:
+    t = F.coalesce(_c(text), F.lit(""))
+    return lost_characters(text) / F.greatest(F.length(t), F.lit(1))
+
+
 def high_confidence(text: Column | str, least: int = 200, lost: float = 0.001) -> Column:
     """Long enough and hardly any character lost."""
-    n = compact_length(text)
-    return (n >= least) & (lost_characters(text) < n * F.lit(lost))
+    return (compact_length(text) >= least) & (_share_lost(text) < lost)
 
 
 def needs_rendering(text: Column | str, html: Column | str, title: Column | str) -> Column:
     """Whether a page has to be rendered before its text can be had."""
-    n, t = compact_length(text), F.coalesce(_c(title), F.lit(""))
-    shell = F.coalesce(_c(html), F.lit("")).rlike(r"""(?i)<(?:div|main)[^>]+id=["']?(?:root|app|__next|__nuxt)\b""")
+    t = F.coalesce(_c(text), F.lit(""))
+    n = compact_length(text)
+    bare = lambda c: F.regexp_replace(F.coalesce(_c(c), F.lit("")), f"[{WHITE}]+", "")
+    shell = F.coalesce(_c(html), F.lit("")).rlike("""(?i)<(?:div|main)[^>]+id=["'](?:app|root|__next|__nuxt)["']""")
     return (
-        F.when(n == 0, True)
-        .when(lost_characters(text) >= n * F.lit(0.001), True)
-        .when((n >= 40) & (t != "") & F.contains(F.coalesce(_c(text), F.lit("")), t), False)
+        F.when(t == "", True)
+        .when(_share_lost(text) >= 0.001, True)
+        .when((n >= 40) & (bare(title) != "") & F.contains(bare(text), bare(title)), False)
         .when(n < 80, True)
         .otherwise((n < 200) & shell)
     )
@@ -44,7 +50,8 @@ def needs_rendering(text: Column | str, html: Column | str, title: Column | str)
 def prefer_recall(precise: Column | str, recall: Column | str) -> Column:
     """Whether the lenient extraction is so much longer that it has to be taken."""
     p, r = compact_length(precise), compact_length(recall)
-    return (p < 120) & (r >= 500) & (r >= p * 3)
+    empty = F.coalesce(_c(precise), F.lit("")) == ""
+    return F.when(empty, F.coalesce(_c(recall), F.lit("")) != "").otherwise((p < 120) & (r >= 500) & (r >= p * 3))
 
 
 def quality_score(text: Column | str) -> Column:

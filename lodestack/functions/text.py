@@ -53,10 +53,10 @@ def nfc(col: pa.Array) -> pa.Array:
 
 
 def normalize_tag(col: Column | str) -> Column:
-    """A tag for notes: lower case, hyphens for spaces, no leading ``#``, no other signs than ``-`` and ``/``."""
+    """A tag for notes: lower case, hyphens for spaces, no leading ``#``; letters, digits, kana, ideographs, ``_-/`` only."""
     s = F.lower(F.regexp_replace(strip(col), "^#+", ""))
     s = F.regexp_replace(s, f"[{WHITE}]+", "-")
-    s = F.regexp_replace(s, "[^\\p{L}\\p{N}\\p{M}_/\\-]", "")
+    s = F.regexp_replace(s, "[^\\p{L}\\p{N}_/\\-\\u3040-\\u30FF\\u3400-\\u9FFF]", "")
     return F.regexp_replace(s, "^[-/]+|[-/]+$", "")
 
 
@@ -87,18 +87,35 @@ def bracket_rest(col: Column | str) -> Column:
     return strip(F.regexp_replace(F.coalesce(_c(col), F.lit("")), r"^\s*(?:\[[^\[\]]+\]\s*)*", ""))
 
 
-def file_name(col: Column | str, fallback: str = "untitled") -> Column:
-    """A portable file name: letters, marks, digits, `` -_.`` only, single spaces, no device names."""
+def file_name(col: Column | str) -> Column:
+    """A portable file name: letters, marks, digits, `` -_.`` only, single spaces, no device names.
+
+    Empty for what has none of these.
+    """
     s = F.regexp_replace(nfc(F.coalesce(_c(col), F.lit(""))), "[^\\p{L}\\p{M}\\p{N} \\-_.]", " ")
     s = F.regexp_replace(F.regexp_replace(s, " +", " "), "^[ .]+|[ .]+$", "")
-    s = F.when(s == "", fallback).otherwise(s)
-    return F.when(F.lower(F.regexp_extract(s, r"^([^.]*)", 1)).rlike(r"^(?:con|prn|aux|nul|com[1-9]|lpt[1-9])$"), F.concat(F.lit("_"), s)).otherwise(s)
+    return F.when(F.upper(s).rlike("^(?:CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$"), F.concat(s, F.lit("_"))).otherwise(s)
+
+
+def note_name(title: Column | str, ident: Column | str, link: Column | None = None, length: int = 60) -> Column:
+    """File name of a note: the start of its title, or else of its link, then its id."""
+    shown = F.coalesce(F.nullif(_c(title), F.lit("")), F.nullif(link, F.lit("")) if link is not None else F.lit(None).cast("string"), F.lit("Untitled"))
+    base = F.regexp_replace(F.substring(F.coalesce(F.nullif(file_name(shown), F.lit("")), F.lit("Untitled")), 1, length), "[ .]+$", "")
+    return F.concat(F.coalesce(F.nullif(base, F.lit("")), F.lit("Untitled")), F.lit(" - "), _c(ident), F.lit(".md"))
 
 
-def note_name(title: Column | str, ident: Column | str, length: int = 60) -> Column:
-    """File name of a note: the start of its title, then its id."""
-    head = F.regexp_replace(F.substring(file_name(title), 1, length), "[ .]+$", "")
-    return F.concat(head, F.lit(" - "), _c(ident), F.lit(".md"))
+def feed_folder_path(layout: str, route: Column, folder: Column, month: Column) -> Column:
+    """Where a feed's note goes below its provider: by route, feed, year and month, as the layout says.
+
+    ``month`` is ``YYYY/MM`` or null for undated entries.
+    """
+    if layout == "flat":
+        return F.lit("")
+    parts = [F.nullif(safe_relative_path(route), F.lit(""))] if layout.startswith("route/") else []
+    parts.append(F.coalesce(F.nullif(safe_relative_path(folder), F.lit("")), F.lit("RSS Feed")))
+    if "year" in layout:
+        parts.append(F.coalesce(month if "month" in layout else F.substring(month, 1, 4), F.lit("_undated")))
+    return F.concat_ws("/", *parts)
 
 
 def safe_relative_path(col: Column | str) -> Column:
@@ -113,9 +130,16 @@ def yaml_scalar(col: Column | str) -> Column:
     return F.concat(F.lit('"'), F.replace(s, F.lit("\n"), F.lit("\\n")), F.lit('"'))
 
 
-def front_matter(fields: dict[str, Column]) -> Column:
-    """YAML front matter of text fields; null and empty ones are left out."""
+def front_matter(fields: dict[str, Column], lists: dict[str, Column] | None = None, plain: dict[str, Column] | None = None) -> Column:
+    """YAML front matter of text, lists of text, and plain numbers or booleans.
+
+    Null and empty text is left out, and so are nulls of the other kinds; an empty list is ``[]``.
+    """
     lines = [F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"{k}: "), yaml_scalar(c))) for k, c in fields.items()]
+    for k, c in (lists or {}).items():
+        items = F.array_join(F.transform(c, lambda v: F.concat(F.lit("\n  - "), yaml_scalar(v))), "")
+        lines.append(F.when(c.isNotNull(), F.when(F.size(c) > 0, F.concat(F.lit(f"{k}:"), items)).otherwise(F.lit(f"{k}: []"))))
+    lines += [F.when(c.isNotNull(), F.concat(F.lit(f"{k}: "), c.cast("string"))) for k, c in (plain or {}).items()]
     return F.concat_ws("\n", F.lit("---"), *lines, F.lit("---"))
 
 
@@ -139,10 +163,11 @@ def put_block(note: Column | str, block: Column | str, begin: str, end: str) ->
     new = F.concat(F.lit(begin + "\n"), strip(block), F.lit("\n" + end))
     body = F.coalesce(_c(note), F.lit(""))
     i = F.locate(begin, body)
-    j = F.locate(end, body)
-    replaced = F.concat(F.substr(body, F.lit(1), i - 1), new, F.substr(body, j + len(end)))
-    appended = F.concat_ws("\n\n", F.nullif(strip(body), F.lit("")), new)
-    return F.when((i > 0) & (j > i), replaced).otherwise(appended)
+    rest = F.substr(body, i)
+    j = F.locate(end, rest)
+    replaced = F.concat(F.substr(body, F.lit(1), i - 1), new, F.substr(rest, j + len(end)))
+    appended = F.concat_ws("\n\n", F.nullif(F.regexp_replace(body, f"[{WHITE}]+$", ""), F.lit("")), new)
+    return strip(F.when((i > 0) & (j > 0), replaced).otherwise(appended))
 
 
 def clip(col: Column | str, length: int, marker: str = "") -> Column:

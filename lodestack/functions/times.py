@@ -16,6 +16,7 @@ def parse_instant(value: Column | str) -> Column:
     s = F.trim(_c(value))
     iso = F.try_to_timestamp(F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?)?$"), s))
     mail = F.regexp_replace(F.regexp_replace(s, r"^[A-Za-z]{3},\s*", ""), r"\s(?:GMT|UT|UTC|Z)$", " +0000")
+    mail = F.regexp_replace(mail, r"(\d{2}:\d{2}:\d{2})$", "$1 +0000")
     mail = F.when(mail.rlike(r"^\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4}$"), mail)
     return F.coalesce(iso, F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss Z")))
 

@@ -52,8 +52,12 @@ def feed_source_id(feed_url: Column | str, native: Column | str, digits: int = 2
 
 
 def default_feed_folder(url: Column | str) -> Column:
-    """A folder name for a feed without one: its host, less a leading www. or feeds."""
-    return F.regexp_replace(url_host(url), r"^(?:www|feeds?)\.", "")
+    """A folder name for a feed without one: its host, and the name of its file if that says something."""
+    host = F.coalesce(F.nullif(url_host(url), F.lit("")), F.lit("RSS Feed"))
+    leaf = F.regexp_extract(F.regexp_replace(F.regexp_extract(F.trim(_c(url)), URL_PATTERN, 4), "/+$", ""), "([^/]*)$", 1)
+    dull = F.lower(leaf).isin("", "feed", "rss", "atom", "index.xml", "feed.xml", "rss.xml", "atom.xml")
+    stem = F.regexp_replace(leaf, r"\.[^.]*$", "")
+    return F.when(dull | (stem == ""), host).otherwise(F.concat(host, F.lit(" - "), stem))
 
 
 def safe_to_fetch(url: Column | str) -> Column:

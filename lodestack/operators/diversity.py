@@ -5,20 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import WHITE, strip
 from ..functions.urls import url_host
 
-#: Tags that say nothing about a topic.
-GENERIC = ("article", "blog", "link", "news", "web", "まとめ", "あとで読む")
+# Tags that say nothing about a topic.
+GENERIC = ("article", "bookmark", "news", "web", "あとで読む", "未分類")
+# What counts as a word of a title.
+TITLE_WORDS = r"([A-Za-z][A-Za-z0-9.+#-]{2,}|[一-龯ァ-ヶー]{2,12})"
 
 
 def topics(tags: Column, title: Column, url: Column, most: int = 3) -> Column:
     """Topics of a record: its tags, else the first words of its title, else its host."""
-    plain = F.transform(F.filter(F.coalesce(tags, F.array().cast("array<string>")), lambda t: t.isNotNull()), lambda t: F.lower(F.regexp_replace(strip(t), "^#+", "")))
-    from_tags = F.array_distinct(F.filter(plain, lambda t: (t != "") & ~t.isin(*GENERIC)))
-    words = F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit(r"([\p{L}\p{N}ー]{3,})"), 1)
-    from_title = F.slice(F.array_distinct(words), 1, most)
-    host = F.regexp_replace(F.coalesce(url_host(url), F.lit("")), r"^www\.", "")
+    given = F.filter(F.coalesce(tags, F.array().cast("array<string>")), lambda t: t.isNotNull())
+    plain = F.transform(given, lambda t: F.regexp_replace(F.regexp_replace(F.lower(strip(t)), "^#+", ""), f"[{WHITE}]+", "-"))
+    useful = lambda words: F.array_distinct(F.filter(words, lambda t: (t != "") & ~t.isin(*GENERIC)))
+    from_tags = useful(plain)
+    words = F.transform(F.regexp_extract_all(F.coalesce(title, F.lit("")), F.lit(TITLE_WORDS), 1), F.lower)
+    from_title = F.slice(useful(words), 1, most)
+    host = F.regexp_replace(F.coalesce(F.nullif(url_host(url), F.lit("")), F.lit("unknown")), r"^www\.", "")
     return F.when(F.size(from_tags) > 0, from_tags).when(F.size(from_title) > 0, from_title).otherwise(F.array(host))
 
 

@@ -27,9 +27,10 @@ def migrate(tables: Tables, version: int, target: int) -> Tables:
     """Tables brought from one version to another; going back, or over a gap, fails."""
     if version > target:
         raise ValueError(f"version {version} is newer than {target}")
+    missing = [v for v in range(version, target) if v not in STEPS]
+    if missing:
+        raise ValueError(f"no step from version {missing[0]}")
     for v in range(version, target):
-        if v not in STEPS:
-            raise ValueError(f"no step from version {v}")
         tables = STEPS[v](dict(tables))
     return tables
 

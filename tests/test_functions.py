@@ -68,10 +68,19 @@ def test_bracket_comment(spark):
 
 
 def test_names_and_paths(spark):
-    assert [one(spark, t, text.file_name) for t in ("a/b: c?", "con", "…", "é", None, "CON.txt")] == ["a b c", "_con", "untitled", "é", "untitled", "_CON.txt"]
+    assert [one(spark, t, text.file_name) for t in ("a/b: c?", "con", "…", "é", None, "CON.txt")] == ["a b c", "con_", "", "é", "", "CON.txt"]
     assert one(spark, "../a\\./b//c/..", text.safe_relative_path) == "a/b/c"
     df = spark.createDataFrame([("t" * 70, "id1")], "t string, i string")
     assert df.select(text.note_name("t", "i")).first()[0] == "t" * 60 + " - id1.md"
+    assert df.select(text.note_name(F.lit("…"), "i"), text.note_name(F.lit(None).cast("string"), "i", F.lit("https://a.test/"))).first()[:] == ("Untitled - id1.md", "https a.test - id1.md")
+    where = lambda layout, month: df.select(text.feed_folder_path(layout, F.lit("tech/../ai"), F.lit("My feed"), F.lit(month).cast("string"))).first()[0]
+    assert (where("flat", "2026/01"), where("feed", "2026/01"), where("feed/year", "2026/01"), where("route/feed/year/month", "2026/01"), where("feed/year/month", None)) == ("", "My feed", "My feed/2026", "tech/ai/My feed/2026/01", "My feed/_undated")
+
+
+def test_front_matter(spark):
+    df = spark.createDataFrame([('a "b"', None, ["x", "y"], [], True, 3)], "t string, e string, l array<string>, m array<string>, b boolean, n int")
+    got = df.select(text.front_matter({"title": F.col("t"), "e": F.col("e")}, {"l": F.col("l"), "m": F.col("m")}, {"b": F.col("b"), "n": F.col("n")})).first()[0]
+    assert got == '---\ntitle: "a \\"b\\""\nl:\n  - "x"\n  - "y"\nm: []\nb: true\nn: 3\n---'
 
 
 def test_blocks_and_blank(spark):
@@ -92,7 +101,7 @@ def test_quality(spark):
     long = "word " * 60
     assert one(spark, long, quality.high_confidence) and not one(spark, "short", quality.high_confidence)
     assert not one(spark, long + "�" * 3, quality.high_confidence)
-    df = spark.createDataFrame([(None, None, None, True), ("x" * 79, "", "", True), ("x" * 150, "<div id='root'>", "", True), ("x" * 150, "", "", False), ("Title " + "x" * 40, "", "Title", False)], "t string, h string, i string, w boolean")
+    df = spark.createDataFrame([(None, None, None, True), ("x" * 79, "", "", True), ("x" * 150, "<div class='a' id='root'>", "", True), ("x" * 150, "", "", False), ("Title " + "x" * 40, "", "Title", False)], "t string, h string, i string, w boolean")
     assert all(r["w"] == r["g"] for r in df.select("w", quality.needs_rendering("t", "h", "i").alias("g")).collect())
     ab = spark.createDataFrame([("x" * 250, "y" * 300), ("x" * 300, "y" * 250), (None, "y"), ("same", "same")], "a string, b string")
     assert [r[0][:1] for r in ab.select(quality.better("a", "b")).collect()] == ["y", "x", "y", "s"]
@@ -109,9 +118,10 @@ def test_json(spark):
 
 
 def test_page_regions():
-    page = "<html><title> A  b </title><body><nav>menu</nav><main>wrong <img src='/m.png'></main><article><p>right text</p><div class='ad'>ad</div><img src='x.png' alt='X'><img src='/pixel.gif' width=1 height=1></article></body></html>"
+    page = "<html><title> A  b </title><body><nav>menu</nav><main>wrong <img src='/m.png'></main><article><p>right text</p><div class='ad'>ad</div><img src='x.png' alt='X'><img src='/dot.gif' width=1 height=1><img class='ad-slot' src='/s.png'></article></body></html>"
     got = html.parse_page(page, "https://a.test/d/")
     assert (got["title"], got["text"]) == ("A b", "right text")
+    assert html.parse_page("<div class='post-content'>a<b>b</b>c</div><p>other</p>")["text"] == "a b c"
     assert got["images"] == [{"url": "https://a.test/d/x.png", "alt": "X"}]
     assert html.parse_page("<p>only</p>")["text"] == "only"
     assert html.parse_page(None)["text"] == "" and html.parse_page("")["title"] == ""

@@ -133,6 +133,7 @@ def test_round_robin_equals_the_loop(spark):
 def test_topics(spark):
     df = spark.createDataFrame([(["#News", "AI", "ai"], "x", "https://www.a.test/"), ([], "Big data 日記ノート", None), (None, None, "https://www.a.test/")], "t array<string>, n string, u string")
     assert [r[0] for r in df.select(diversity.topics(F.col("t"), F.col("n"), F.col("u"))).collect()] == [["ai"], ["big", "data", "日記ノート"], ["a.test"]]
+    assert spark.range(1).select(urls.default_feed_folder(F.lit("https://a.test/blog/news.xml")), urls.default_feed_folder(F.lit("https://a.test/feed.xml"))).first()[:] == ("a.test - news", "a.test")
 
 
 def test_trigram_search(spark):
