@@ -24,7 +24,7 @@ RUN = 1 << 21
 #: Parameters of p3_found: least count of a pair, least share of records, least lift.
 MIN_PAIR, MIN_SHARE, MIN_LIFT = 5, 2000, 6
 #: Largest number of tags whose ids are held by every task; beyond it ids are joined.
-MAX_DICTIONARY = 1 << 20
+MAX_DICTIONARY = 1 << 18
 
 
 def tag_form(tag: str) -> str:

@@ -112,8 +112,12 @@ def packed(sized: DataFrame, capacities: dict[str, int]) -> DataFrame:
     """
     spark = sized.sparkSession
     sized = runtime.checkpoint(sized.select("doc_id", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens")))
-    table = spark.createDataFrame(sorted(capacities.items()), "container string, capacity long")
-    pieces = sized.where("tokens > 0").join(F.broadcast(table), F.col("capacity") > 0)  # the table of containers is small and fixed
+    # the table of containers is small and fixed: each row carries it as a literal
+    containers = F.array(*[F.struct(F.lit(c).alias("container"), F.lit(n).cast("long").alias("capacity")) for c, n in sorted(capacities.items())])
+    if not capacities:
+        containers = containers.cast("array<struct<container: string, capacity: bigint>>")
+    each = sized.select("doc_id", "tokens", F.explode(containers).alias("c")).select("doc_id", "tokens", "c.container", "c.capacity")
+    pieces = each.where("tokens > 0")
     whole = F.floor((F.col("tokens") - 1) / F.col("capacity")).cast("int")
     pieces = pieces.select("container", "capacity", "doc_id", "tokens", F.explode(F.sequence(F.lit(0), whole)).alias("piece"))
     pieces = pieces.select("container", "doc_id", "piece", F.least(F.col("tokens") - F.col("piece").cast("long") * F.col("capacity"), "capacity").alias("tokens"))
@@ -144,7 +148,7 @@ def packed(sized: DataFrame, capacities: dict[str, int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.int64())], names=["container", "doc_id", "piece", "tokens", "pack_id"])
 
     placed = ranked.mapInArrow(run, "container string, doc_id long, piece int, tokens long, pack_id long")
-    empty = sized.where("tokens = 0").join(F.broadcast(table.select("container")), F.lit(True))
+    empty = each.where("tokens = 0")
     return placed.unionByName(empty.select("container", "doc_id", F.lit(0).alias("piece"), "tokens", F.lit(None).cast("long").alias("pack_id")))
 
 
