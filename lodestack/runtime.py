@@ -33,7 +33,10 @@ def ship(spark: SparkSession) -> None:
         return
     if any(Path(p).name == "lodestack.zip" for p in getattr(sc, "_python_includes", [])):
         return
-    path = Path(tempfile.mkdtemp()) / "lodestack.zip"  # the driver serves it to the executors
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+    folder = Path(shared) / f"code-{sc.applicationId}" if shared.startswith("/") else Path(tempfile.mkdtemp())
+    folder.mkdir(parents=True, exist_ok=True)
+    path = folder / "lodestack.zip"
     with zipfile.ZipFile(path, "w") as z:
         for p in sorted(_PACKAGE.rglob("*.py")):
             z.write(p, p.relative_to(_PACKAGE.parent))
