@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import html, json, quality, text, times, urls
-from .operators import checks, diversity, identity, latest, lookup, merge, render, sampling, search, snapshot
+from .operators import checks, diversity, identity, latest, lookup, merge, ranks, render, sampling, search, snapshot
 from .plans import refresh
 from .runtime import table, tune
 from .sources import bookmarks, feeds, providers
@@ -155,7 +155,8 @@ streaks AS (SELECT *, sum(CASE WHEN NOT "full" AND warning <> '' THEN 1 ELSE 0 E
 def _streaks(spark, d) -> DataFrame:
     a = _attempts(spark, d)
     failed = ~F.col("full") & (F.col("warning") != "")
-    return latest.failure_streaks(a, "resource_id", [F.col("fetched_at"), F.col("page_fetch_id")], failed, F.col("full"))
+    # months cut the windows of resources that are fetched very often
+    return latest.failure_streaks(a, "resource_id", [F.col("fetched_at"), F.col("page_fetch_id")], failed, F.col("full"), F.date_format("fetched_at", "yyyy-MM"))
 
 
 @query(f"WITH {_ATTEMPTS_SQL} SELECT page_fetch_id, streak FROM streaks")
@@ -210,7 +211,7 @@ s AS (SELECT *, sum((NOT news)::INT) OVER (PARTITION BY source, island ORDER BY
 SELECT source, min(page) AS stop_page FROM s WHERE run >= 2 GROUP BY source""")
 def known_page_stop(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "source", "url", (F.col("published_at") >= F.lit("2026-09-01").cast("timestamp_ntz")).alias("fresh")).distinct()
-    paged = rows.withColumn("page", F.floor((F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1) / 5).cast("long"))
+    paged = ranks.row_numbers(rows, ["source"], [F.col("doc_id")], "page").withColumn("page", F.floor((F.col("page") - 1) / 5).cast("long"))
     pages = paged.groupBy("source", "page").agg(F.coalesce(F.bool_or("fresh"), F.lit(False)).alias("news"))
     return latest.first_stale_page(pages, "source", "page", F.col("news"), 2)
 

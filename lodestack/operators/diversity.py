@@ -47,11 +47,11 @@ def round_robin(df: DataFrame, topic: str, order: list[Column], sizes: DataFrame
     exhausted ones, so the choice is that of the rows with the least (rank in topic, place of
     topic).
     """
-    largest = Window.orderBy(F.desc("n"), F.asc(topic))
-    all_ranks = sizes.select(F.col("topic").alias(topic), (F.row_number().over(largest) - 1).alias("__i"))
-    new = sizes.where(~F.coalesce("covered", F.lit(False))).select(F.col("topic").alias(topic), "n")
-    new_ranks = new.select(topic, (F.row_number().over(largest) - 1).alias("__j"))
-    place = F.least(F.col("__i") * 2, F.coalesce(F.col("__j") * 2 + 1, F.col("__i") * 2))
-    places = all_ranks.join(new_ranks, topic, "left").select(topic, place.alias("__p"))
+    # places beyond the n-th of either order cannot be reached: n rows are ranked, a parameter
+    order_of = [F.desc("n"), F.asc("topic")]
+    first = sizes.orderBy(*order_of).limit(n).withColumn("__i", F.row_number().over(Window.orderBy(*order_of)) - 1).select("topic", "__i")
+    fresh = sizes.where(~F.coalesce("covered", F.lit(False))).orderBy(*order_of).limit(n).withColumn("__j", F.row_number().over(Window.orderBy(*order_of)) - 1).select("topic", "__j")
+    both = first.join(fresh, "topic", "full")
+    places = both.select(F.col("topic").alias(topic), F.least(F.col("__i") * 2, F.col("__j") * 2 + 1).alias("__p"))
     ranked = df.withColumn("__r", F.row_number().over(Window.partitionBy(topic).orderBy(*order))).where(F.col("__r") <= n)
     return ranked.join(places, topic).orderBy("__r", "__p").limit(n).withColumn("turn", F.col("__r").cast("int")).drop("__r", "__p")

@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from decimal import ROUND_CEILING, Decimal, InvalidOperation
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import row_numbers
+
 #: A percentage asks for at least so many rows.
 LEAST = 20
 
@@ -38,19 +40,21 @@ def allocate(sizes: DataFrame, stratum: str, n: int) -> DataFrame:
     With n at least the number of strata each gets one, and the rest goes by size less one;
     remainders go to the largest fractions, then sizes, then least names.
     """
-    every = Window.partitionBy()
-    d = sizes.withColumn("__k", F.count("*").over(every)).withColumn("__n", F.least(F.lit(n), F.sum("size").over(every)))
-    d = d.withColumn("__one", F.when(F.col("__n") >= F.col("__k"), 1).otherwise(0))
-    d = d.withColumn("__w", F.col("size") - F.col("__one")).withColumn("__rest", F.col("__n") - F.col("__one") * F.col("__k"))
-    total = F.sum("__w").over(every)
-    # whole numbers throughout: floor and remainder of rest * weight / total
-    d = d.withColumn("__t", total).withColumn("__p", F.col("__rest") * F.col("__w"))
-    d = d.withColumn("__q", F.when(F.col("__t") > 0, F.expr("__p div __t")).otherwise(0)).withColumn("__r", F.when(F.col("__t") > 0, F.expr("__p % __t")).otherwise(0))
-    d = d.withColumn("__left", F.col("__rest") - F.sum("__q").over(every))
-    place = F.row_number().over(Window.partitionBy().orderBy(F.desc("__r"), F.desc("size"), F.asc(stratum)))
-    d = d.withColumn("__i", place)
-    take = F.col("__one") + F.col("__q") + F.when(F.col("__i") <= F.col("__left"), 1).otherwise(0)
-    return d.select(stratum, "size", take.cast("long").alias("take"))
+    got = sizes.agg(F.count("*"), F.sum("size")).first()  # two numbers
+    k, total = got[0], got[1] or 0
+    n = min(n, total)
+    one = 1 if n >= k else 0
+    rest, weight = n - one * k, total - one * k
+    # whole numbers throughout: floor and remainder of rest * weight of the stratum / all weights
+    share = (F.col("size") - one).cast("decimal(38,0)") * rest
+    whole = F.floor(share / weight).cast("long") if weight > 0 else F.lit(0).cast("long")
+    d = sizes.select(stratum, "size", whole.alias("__q"))
+    d = d.withColumn("__r", (share - F.col("__q").cast("decimal(38,0)") * weight).cast("decimal(38,0)") if weight > 0 else F.lit(0).cast("decimal(38,0)"))
+    d = d.withColumn("__q", F.when(F.col("__r") < 0, F.col("__q") - 1).otherwise(F.col("__q"))).withColumn("__r", F.when(F.col("__r") < 0, F.col("__r") + weight).otherwise(F.col("__r")))
+    left = rest - (d.agg(F.sum("__q")).first()[0] or 0)  # at most n
+    extra = d.orderBy(F.desc("__r"), F.desc("size"), F.asc(stratum)).limit(max(0, int(left))).select(F.col(stratum).alias("__s"), F.lit(1).alias("__x"))
+    out = d.join(extra, F.col(stratum).eqNullSafe(F.col("__s")), "left")
+    return out.select(stratum, "size", (F.col("__q") + one + F.coalesce("__x", F.lit(0))).cast("long").alias("take"))
 
 
 def stratified(df: DataFrame, stratum: str, order: list[Column], n: int) -> DataFrame:
@@ -58,7 +62,7 @@ def stratified(df: DataFrame, stratum: str, order: list[Column], n: int) -> Data
     sizes = df.groupBy(stratum).agg(F.count("*").alias("size"))
     plan = allocate(sizes, stratum, n).where("take > 0")
     picks = plan.select(stratum, F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("take") - 1), lambda i: F.expr("0").cast("long") + F.floor((i * 2 + 1) * F.col("size") / (F.col("take") * 2)).cast("long"))).alias("__i"))
-    placed = df.withColumn("__i", (F.row_number().over(Window.partitionBy(stratum).orderBy(*order)) - 1).cast("long"))
+    placed = row_numbers(df, [stratum], order, "__i").withColumn("__i", F.col("__i") - 1)
     return placed.join(picks, [stratum, "__i"], "left_semi").drop("__i")
 
 

@@ -44,6 +44,24 @@ def test_streaks_equal_a_fold(spark):
         assert got[k, i] == n[k]
 
 
+def test_streaks_cut_by_periods(spark):
+    r = random.Random(8)
+    data = [(k, i, i // 7, x == "f", x == "s") for k in ("a", "b", None) for i, x in enumerate(r.choice("fffsbb") for _ in range(60))]
+    df = spark.createDataFrame(data, "k string, i int, t int, f boolean, s boolean")
+    one = latest.failure_streaks(df, "k", [F.col("i")], F.col("f"), F.col("s"))
+    cut = latest.failure_streaks(df, "k", [F.col("i")], F.col("f"), F.col("s"), F.col("t"))
+    assert rows(one) == rows(cut) and one.columns == cut.columns
+
+
+def test_row_numbers_of_hot_keys(spark):
+    from lodestack.operators import ranks
+
+    df = spark.createDataFrame([("hot" if i % 3 else ("x", None)[i % 2], (i * 37) % 101) for i in range(101)], "k string, i int").repartition(7)
+    plain = ranks.row_numbers(df, ["k"], [F.col("i")], "n")
+    assert rows(plain) == rows(ranks.row_numbers(df, ["k"], [F.col("i")], "n", hot_rows=5))
+    assert ranks.row_numbers(df.limit(0), ["k"], [F.col("i")], "n").count() == 0
+
+
 def test_stale_pages_waves_and_budget(spark):
     pages = spark.createDataFrame([("q", i, n) for i, n in enumerate([True, False, True, False, False, False])] + [("p", 0, True)], "q string, p int, n boolean")
     assert rows(latest.first_stale_page(pages, "q", "p", F.col("n"), 2)) == [("q", 4)]
