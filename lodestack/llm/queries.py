@@ -36,5 +36,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_UP = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+SQL = {
+    "p4_found": f"""WITH r AS (SELECT DISTINCT resource_revision_id AS id, coalesce(title, '') || content_markdown AS raw FROM resource_revision WHERE length(content_markdown) >= 300),
+n AS (SELECT id, translate(replace(replace(replace(replace(raw, ' ', ''), chr(9), ''), chr(13), ''), chr(10), ''), '{_UP}', '{_UP.lower()}') AS t FROM r),
+g AS (SELECT DISTINCT id, substr(t, i, 8) AS gram FROM (SELECT id, t, unnest(range(1, length(t) - 6)) AS i FROM n)), c AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+p AS (SELECT a.id AS x, b.id AS y, count(*) AS both_n FROM g a JOIN g b ON a.gram = b.gram AND a.id < b.id GROUP BY a.id, b.id)
+SELECT x AS revision_a, y AS revision_b FROM p JOIN c cx ON cx.id = x JOIN c cy ON cy.id = y WHERE both_n >= 0.6 * (cx.n + cy.n - both_n)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
