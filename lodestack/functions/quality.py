@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .text import WHITE
 from .urls import _c
 
+# Fixed value: the mark of a page that scripts fill.
+SCRIPT_SHELL = """(?i)<(?:div|main)[^>]+id=["'](?:app|root|__next|__nuxt)["']"""
 REPLACEMENT = "�"
 
 
@@ -37,7 +39,7 @@ def needs_rendering(text: Column | str, html: Column | str, title: Column | str)
     t = F.coalesce(_c(text), F.lit(""))
     n = compact_length(text)
     bare = lambda c: F.regexp_replace(F.coalesce(_c(c), F.lit("")), f"[{WHITE}]+", "")
-    shell = F.coalesce(_c(html), F.lit("")).rlike("""(?i)<(?:div|main)[^>]+id=["'](?:app|root|__next|__nuxt)["']""")
+    shell = F.coalesce(_c(html), F.lit("")).rlike(SCRIPT_SHELL)
     return (
         F.when(t == "", True)
         .when(_share_lost(text) >= 0.001, True)

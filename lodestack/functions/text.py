@@ -87,6 +87,10 @@ def bracket_rest(col: Column | str) -> Column:
     return strip(F.regexp_replace(F.coalesce(_c(col), F.lit("")), r"^\s*(?:\[[^\[\]]+\]\s*)*", ""))
 
 
+# Fixed value: names of devices, which no file may have.
+DEVICES = "^(?:CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$"
+
+
 def file_name(col: Column | str) -> Column:
     """A portable file name: letters, marks, digits, `` -_.`` only, single spaces, no device names.
 
@@ -94,7 +98,7 @@ def file_name(col: Column | str) -> Column:
     """
     s = F.regexp_replace(nfc(F.coalesce(_c(col), F.lit(""))), "[^\\p{L}\\p{M}\\p{N} \\-_.]", " ")
     s = F.regexp_replace(F.regexp_replace(s, " +", " "), "^[ .]+|[ .]+$", "")
-    return F.when(F.upper(s).rlike("^(?:CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$"), F.concat(s, F.lit("_"))).otherwise(s)
+    return F.when(F.upper(s).rlike(DEVICES), F.concat(s, F.lit("_"))).otherwise(s)
 
 
 def note_name(title: Column | str, ident: Column | str, link: Column | None = None, length: int = 60) -> Column:

@@ -51,11 +51,15 @@ def feed_source_id(feed_url: Column | str, native: Column | str, digits: int = 2
     return F.concat(F.lit("rss-"), F.substring(F.sha2(F.concat(_c(feed_url), F.lit("\0"), _c(native)), 256), 1, digits))
 
 
+# Names of feed files that say nothing about the feed.
+DULL_FEED_NAMES = ("", "feed", "rss", "atom", "index.xml", "feed.xml", "rss.xml", "atom.xml")
+
+
 def default_feed_folder(url: Column | str) -> Column:
     """A folder name for a feed without one: its host, and the name of its file if that says something."""
     host = F.coalesce(F.nullif(url_host(url), F.lit("")), F.lit("RSS Feed"))
     leaf = F.regexp_extract(F.regexp_replace(F.regexp_extract(F.trim(_c(url)), URL_PATTERN, 4), "/+$", ""), "([^/]*)$", 1)
-    dull = F.lower(leaf).isin("", "feed", "rss", "atom", "index.xml", "feed.xml", "rss.xml", "atom.xml")
+    dull = F.lower(leaf).isin(*DULL_FEED_NAMES)
     stem = F.regexp_replace(leaf, r"\.[^.]*$", "")
     return F.when(dull | (stem == ""), host).otherwise(F.concat(host, F.lit(" - "), stem))
 
