@@ -67,7 +67,7 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, folder: str | None =
     spaces.  doc_id has to be unique; other columns are not kept.
     """
     docs = docs.select("doc_id", "text")
-    refs = chunk_refs(docs)
+    refs = runtime.checkpoint(chunk_refs(docs))  # read twice
     shared = refs.groupBy("hash").agg(F.count("*").alias("uses"), F.min(F.struct("doc_id", "no")).alias("owner")).where(F.col("uses") > 1).select("hash", "owner")
     uses = runtime.checkpoint(refs.join(shared, "hash").select("hash", "doc_id", "no", (F.col("owner") == F.struct("doc_id", "no")).alias("owns")))
     lends = uses.where("owns").groupBy("doc_id").agg(F.sort_array(F.collect_list("no")).alias("lends"))
