@@ -1,11 +1,11 @@
 """Page furniture: nodes of a site style tree over the lines of pages, and their removal.
 
 Pages come as text, one line per block, so a page's tree has two levels: a presentation
-node (heading, list item, link, plain line) and below it content nodes, the segments of the
+node (heading, list item, plain line) and below it content nodes, the segments of the
 line between separators and sentence ends, with digits and site names masked.  Trees of one
 host are merged, then those of all hosts; a content node that recurs in pages of otherwise
-different content has low information, hence low importance, and lines made of such nodes
-are furniture.  Nothing here needs Spark.
+different content has low information, hence low importance, in its host's tree or in that of
+all hosts, and lines made of such nodes are furniture.  Nothing here needs Spark.
 """
 
 from __future__ import annotations
@@ -72,9 +72,15 @@ def candidate(line: str) -> bool:
     return not (line.endswith(_STOPS) and line.startswith(_MARKS))
 
 
-def node_id(text: str) -> int:
+#: Bits of a node's id that tell its presentation node; they are 0 for plain lines and where hosts are merged.
+KIND_BITS = {"p": 0, "li": 2, "h": 4, "#": 6}
+#: Long lines of a page that tell its content from that of others.
+PRINTS = 8
+
+
+def node_id(text: str, kind: str = "p") -> int:
     """64-bit id of a content node, signed, the same in every process; odd for a sentence."""
-    return (xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)) & ~1 | text.endswith(_STOPS)
+    return (xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)) & ~7 | KIND_BITS.get(kind, 0) | text.endswith(_STOPS)
 
 
 def _enough(rest: str) -> bool:
@@ -128,17 +134,17 @@ def _line_nodes(line: str) -> tuple[int, ...]:
         if body and not target and kind not in ("#", ">") and not (kind == "li" and _ENDS.search(body)):
             for seg in segments(body):
                 if len(seg) <= MAX_NODE:
-                    ids.extend(map(node_id, keys(seg)))
+                    ids.extend(node_id(k, kind) for k in keys(seg))
         if len(_MEMO) > 100_000:
             _MEMO.clear()
         got = _MEMO[line] = tuple(ids)
     return got
 
 
-def page_nodes(text: str | None) -> tuple[int, list[int]]:
-    """A fingerprint of a page's content (of its longest line) and its candidate nodes."""
+def page_nodes(text: str | None) -> tuple[int, list[int], list[int], list[int]]:
+    """A fingerprint of a page's content (of its longest line), ids and lengths of its longest lines, and its candidate nodes."""
     if not text:
-        return 0, []
+        return 0, [], [], []
     lines = text.split("\n")
     out: set[int] = set()
     fenced = False
@@ -147,7 +153,8 @@ def page_nodes(text: str | None) -> tuple[int, list[int]]:
             fenced = not fenced
         elif not fenced and candidate(line):
             out.update(_line_nodes(line))
-    return node_id(max(lines, key=len)), list(out)
+    longest = sorted(set(lines), key=lambda x: (-len(x), x))[:PRINTS]
+    return node_id(max(lines, key=len)), [node_id(x) for x in longest], [len(x) for x in longest], list(out)
 
 
 SEED = frozenset(node_id(k) for k in FURNITURE)
@@ -159,9 +166,11 @@ class Tree:
     def __init__(self, nodes) -> None:
         self.nodes = frozenset(nodes)
         self._judged: dict[str, tuple[int, bool, bool]] = {}
+        self._own: frozenset = frozenset()  # nodes of low importance on the host of the line being judged
+        self._bits = 0
 
     def _known(self, seg: str, learned: bool = True) -> bool:
-        return any(h in SEED or learned and h in self.nodes for h in map(node_id, keys(seg)))
+        return any(h in SEED or learned and (h in self.nodes or h | self._bits in self._own) for h in map(node_id, keys(seg)))
 
     def _made_of(self, seg: str, learned: bool = True) -> bool:
         """Whether a segment is a node of low importance, or a few such side by side."""
@@ -188,27 +197,41 @@ class Tree:
         # a path: known nodes, then the name of the page
         return 2 * (len(path) >= 2 and not ends and len(path[-1]) <= 60 and all(self._made_of(p.strip()) for p in path[:-1] if p.strip()))
 
-    def judge(self, raw: str) -> tuple[int, bool, bool]:
-        """As above, whether the line may belong to a list of links, and whether it is one."""
+    def judge(self, raw: str, own: frozenset = frozenset()) -> tuple[int, bool, bool]:
+        """As above, whether the line may belong to a list of links, and whether it is one.
+
+        ``own`` has the nodes of low importance on the line's host, with the bits of their kind.
+        """
         got = self._judged.get(raw)
         if got is None:
-            kind, body, target = parse(mojibake.quick(raw))
-            link = bool(target) and not target.startswith("#")
-            ends = bool(_ENDS.search(body))
-            hit = 2 if link else 0 if kind in ("#", ">") or not body or kind == "li" and ends else self._furniture(body)
-            if hit and not link and (residue.scan(body)["stand_in"] or residue.unfilled(body)):
-                hit = 0
-            item = (kind == "li" or kind == "p" and len(body) <= 100) and not ends
-            if item and not hit and kind == "p" and (residue.scan(body)["stand_in"] or residue.unfilled(body)):
-                item = False
+            got = self._judge(raw)
             if len(self._judged) > 100_000:
                 self._judged.clear()
-            got = self._judged[raw] = (hit, item, ends)
+            self._judged[raw] = got
+        if got[0] < 2 and own and not own.isdisjoint(_line_nodes(raw)):
+            self._own = own
+            try:
+                return self._judge(raw)
+            finally:
+                self._own = frozenset()
         return got
 
+    def _judge(self, raw: str) -> tuple[int, bool, bool]:
+        kind, body, target = parse(mojibake.quick(raw))
+        self._bits = KIND_BITS.get(kind, 0)
+        link = bool(target) and not target.startswith("#")
+        ends = bool(_ENDS.search(body))
+        hit = 2 if link else 0 if kind in ("#", ">") or not body or kind == "li" and ends else self._furniture(body)
+        if hit and not link and (residue.scan(body)["stand_in"] or residue.unfilled(body)):
+            hit = 0
+        item = (kind == "li" or kind == "p" and len(body) <= 100) and not ends
+        if item and not hit and kind == "p" and (residue.scan(body)["stand_in"] or residue.unfilled(body)):
+            item = False
+        return hit, item, ends
+
 
-def furniture_lines(text: str | None, tree: Tree) -> list[int]:
-    """Numbers, from 1, of the lines of a page that are furniture.
+def furniture_lines(text: str | None, tree: Tree, own: frozenset = frozenset()) -> list[int]:
+    """Numbers, from 1, of the lines of a page that are furniture, by the tree of all hosts and the ``own`` nodes of its host.
 
     A page that holds nothing else, or else only an error, filler or template text, has no
     article, and nothing of it is furniture.  A null, empty or blank text has no lines.
@@ -226,7 +249,7 @@ def furniture_lines(text: str | None, tree: Tree) -> list[int]:
         elif fenced or not candidate(raw):
             listing = False
         elif not raw.isspace():
-            hit, item, ends = tree.judge(raw)
+            hit, item, ends = tree.judge(raw, own)
             if hit == 1:
                 beside.append(number)
                 listing = False

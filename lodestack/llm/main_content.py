@@ -1,8 +1,9 @@
 """Problem 2, on DataFrames: the main body of pages by a site style tree.
 
 First the candidate nodes of every page are counted, by the host that it comes from and by
-what else the page holds; nodes spread over the pages of several hosts have low importance.
-Their number is bounded by the threshold, whatever the number of pages, and they go to every
+what else the page holds.  Nodes in a good share of a host's pages have low importance on that
+host; they are joined to its pages.  Nodes spread over the pages of several hosts are added:
+their number is bounded by the threshold, whatever the number of pages, and they go to every
 task, which then judges the lines of its pages.
 """
 
@@ -26,6 +27,14 @@ MIN_SENTENCE_SHARE = 0.002
 MIN_PAGES = 6
 #: and from this perplexity of its distribution over hosts.
 MIN_HOSTS = 4.0
+#: On a host, a node is unimportant from this share of the host's pages with content of their own: plain lines,
+HOST_SHARE = 0.3
+#: list items and headings, which the articles of one site may share,
+HOST_LIST_SHARE = 0.6
+#: and sentences;
+HOST_SENTENCE_SHARE = 0.5
+#: of at least so many such pages, a sentence one more.
+MIN_HOST_PAGES = 3
 #: The most nodes that can reach MIN_SHARE, at this number of candidate nodes a page on average.
 NODES_A_PAGE = 400
 
@@ -43,33 +52,55 @@ def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = captures.select(F.lit("resource_revision").alias("table_name"), F.col("resource_revision_id").alias("record_id"), F.col("final_url").alias("url"))
     fetched = runtime.table(spark, sf_dir, "page_fetch").select(F.lit("page_fetch").alias("table_name"), F.col("page_fetch_id").alias("record_id"), "url")
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    return captures.unionByName(fetched).groupBy("table_name", "record_id").agg(F.min(F.xxhash64(host)).alias("host"))
+    return captures.unionByName(fetched).groupBy("table_name", "record_id").agg(F.min(F.when(host != "", F.xxhash64(host))).alias("host"))
 
 
 def candidate_nodes(texts: DataFrame) -> DataFrame:
-    """The nodes of each page: table_name, record_id, content fingerprint, node ids."""
+    """The nodes of each page: table_name, record_id, content fingerprint, its longest lines and their lengths, node ids."""
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             got = [furniture.page_nodes(t) for t in batch.column(2).to_pylist()]
             return pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int64()))],
-                names=["table_name", "record_id", "content", "nodes"],
+                [batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.int64()), *(pa.array([g[i] for g in got], pa.list_(pa.int64())) for i in (1, 2, 3))],
+                names=["table_name", "record_id", "content", "prints", "sizes", "nodes"],
             )
 
         return f
 
-    return per_batch(texts.select("table_name", "record_id", "text"), make, "table_name string, record_id string, content long, nodes array<long>")
+    return per_batch(texts.select("table_name", "record_id", "text"), make, "table_name string, record_id string, content long, prints array<long>, sizes array<long>, nodes array<long>")
 
 
-def unimportant_nodes(nodes: DataFrame, host_of: DataFrame, total: int) -> DataFrame:
+def nodes_by_host(nodes: DataFrame) -> DataFrame:
+    """For each host, the nodes of low importance in its own style tree: host, own.
+
+    A page counts if at least half of its longest lines, by characters, are in no page before it,
+    so copies and revisions of one page are one; all counts are within the host, whatever the
+    size of the archive.  A node in m of a host's n pages has the entropy log m / log n of its
+    tree's; as that only grows with m, the bound is put on the share m / n, by presentation node.
+    """
+    pages = nodes.where("host is not null").groupBy("table_name", "record_id").agg(F.max(F.struct("host", "prints", "sizes", "nodes")).alias("p")).select("table_name", "record_id", "p.*")
+    lines = pages.select("host", "table_name", "record_id", F.explode(F.arrays_zip("prints", "sizes")).alias("line"))
+    firsts = lines.groupBy("host", F.col("line.prints").alias("print")).agg(F.min(F.struct("table_name", "record_id")).alias("p"), F.max("line.sizes").alias("size"))
+    owned = firsts.groupBy("p.table_name", "p.record_id").agg(F.sum("size").alias("size"))
+    all_of = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+    distinct = pages.join(owned, ["table_name", "record_id"]).where(F.col("size") * 2 >= all_of)
+    counted = distinct.select("host", F.explode(F.concat("nodes", F.array(F.lit(None).cast("long")))).alias("node")).groupBy("host", "node").agg(F.count("*").alias("m"))
+    n = counted.where("node is null").select("host", F.col("m").alias("n"))
+    sentence = F.col("node").bitwiseAND(1) == 1
+    share = F.when(sentence, HOST_SENTENCE_SHARE).when(F.col("node").bitwiseAND(6) != 0, HOST_LIST_SHARE).otherwise(HOST_SHARE)
+    low = counted.where(F.col("m") >= MIN_HOST_PAGES + F.when(sentence, 1).otherwise(0)).join(n.where(F.col("n") >= MIN_HOST_PAGES), "host").where(F.col("m") >= share * F.col("n"))
+    return low.groupBy("host").agg(F.collect_list("node").alias("own"))
+
+
+def unimportant_nodes(nodes: DataFrame, total: int) -> DataFrame:
     """Ids of the nodes of low importance in the merged style trees of all hosts.
 
     ``total`` is the number of pages.  Pages with the same content count once, so copies of one page, however many, cannot make
     its own lines look like furniture.
     """
-    merged = nodes.join(host_of, ["table_name", "record_id"], "left")
-    single = merged.select("content", "host", F.explode("nodes").alias("node")).groupBy("node", "content").agg(F.min("host").alias("host"))
+    exploded = nodes.select("content", "host", F.explode("nodes").alias("node")).withColumn("node", F.col("node").bitwiseAND(~6))  # of any kind
+    single = exploded.groupBy("node", "content").agg(F.min("host").alias("host"))
     by_host = single.groupBy("node", "host").agg(F.count("*").alias("m"))
     m = F.col("m").cast("double")
     tree = by_host.groupBy("node").agg(F.sum("m").alias("pages"), F.sum(m * F.log(m)).alias("mlogm"))
@@ -79,18 +110,20 @@ def unimportant_nodes(nodes: DataFrame, host_of: DataFrame, total: int) -> DataF
     return tree.where((F.col("pages") >= least) & (perplexity >= MIN_HOSTS)).select("node")
 
 
-def learn(spark: SparkSession, sf_dir: str) -> list[int]:
-    """The learnt nodes, at most NODES_A_PAGE / MIN_SHARE of them for any number of pages."""
+def learn(spark: SparkSession, sf_dir: str) -> tuple[list[int], DataFrame]:
+    """The nodes learnt from all hosts, at most NODES_A_PAGE / MIN_SHARE of them for any number of pages, and those of the host of each record: table_name, record_id, host, own."""
     total = sum(runtime.table(spark, sf_dir, t).count() for t in ("resource_revision", "page_fetch"))  # from the files' footers
-    found = unimportant_nodes(candidate_nodes(pages(spark, sf_dir)), hosts(spark, sf_dir), total)
+    host_of = hosts(spark, sf_dir)
+    nodes = runtime.checkpoint(candidate_nodes(pages(spark, sf_dir)).join(host_of, ["table_name", "record_id"], "left"))
+    found = unimportant_nodes(nodes, total)
     bound = int(NODES_A_PAGE / MIN_SHARE)
     rows = found.limit(bound + 1).collect()
     if len(rows) > bound:
         raise ValueError(f"more than {bound} unimportant nodes: pages have more than {NODES_A_PAGE} candidate nodes on average")
-    return [r["node"] for r in rows]
+    return [r["node"] for r in rows], host_of.join(nodes_by_host(nodes), "host")
 
 
-def judged(texts: DataFrame, nodes: list[int]) -> DataFrame:
+def judged(texts: DataFrame, nodes: list[int], own: DataFrame) -> DataFrame:
     """Adds ``lines``, the numbers of the furniture lines, to table_name, record_id, text.
 
     Null, empty and blank texts, and pages without any article, have none.
@@ -100,22 +133,28 @@ def judged(texts: DataFrame, nodes: list[int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = furniture.Tree(held.value)
         for b in batches:
-            got = [furniture.furniture_lines(t, tree) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.list_(pa.int32()))], names=["table_name", "record_id", "text", "lines"])
+            of_host: dict[int | None, frozenset] = {None: frozenset()}
+            got = []
+            for i, (t, host) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                if host not in of_host:
+                    of_host[host] = frozenset(b.column(4)[i].as_py())
+                got.append(furniture.furniture_lines(t, tree, of_host[host]))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(got, pa.list_(pa.int32()))], names=["table_name", "record_id", "text", "lines"])
 
-    return texts.select("table_name", "record_id", "text").mapInArrow(run, "table_name string, record_id string, text string, lines array<int>")
+    texts = texts.select("table_name", "record_id", "text").join(own, ["table_name", "record_id"], "left").select("table_name", "record_id", "text", "host", "own")
+    return texts.mapInArrow(run, "table_name string, record_id string, text string, lines array<int>")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of records that belong to the page and not to its main body."""
     runtime.tune(spark)
-    got = judged(pages(spark, sf_dir), learn(spark, sf_dir)).where(F.size("lines") > 0)
+    got = judged(pages(spark, sf_dir), *learn(spark, sf_dir)).where(F.size("lines") > 0)
     return got.groupBy("table_name", "record_id").agg(F.max("lines").alias("lines")).select("table_name", "record_id", F.explode("lines").alias("line_no"))
 
 
 def p2_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main body of every record, one row a record; its lines in order, furniture left out."""
     runtime.tune(spark)
-    got = judged(pages(spark, sf_dir), learn(spark, sf_dir))
+    got = judged(pages(spark, sf_dir), *learn(spark, sf_dir))
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("lines", (i + 1).cast("int")))
     return got.select("table_name", "record_id", F.array_join(kept, "\n").alias("main")).distinct()

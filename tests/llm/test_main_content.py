@@ -53,3 +53,13 @@ def test_learns_nodes_of_several_hosts_but_not_of_copies(spark, archive):
 
 def test_empty_tables(spark, archive):
     assert main_content.p2_found(spark, archive()).count() == 0
+
+
+def test_learns_furniture_of_one_host_whatever_the_rest(spark, archive):
+    page = lambda i: f"Ofertas Zibu | Ludoteca Zibu | Tarjeta regalo\n{_article(i)}\nDistribuye Imprenta Zibu, Calle Sol"
+    pages = [{"page_fetch_id": f"z{i}", "url": f"https://zibu.test/{i}", "text": page(i)} for i in range(8)]
+    copies = [{"page_fetch_id": f"k{i}", "url": f"https://copy.test/{i}", "text": f"Such is the line\n{_article(99)}"} for i in range(8)]
+    others = [{"page_fetch_id": f"o{i}", "url": f"https://h{i}.test/{i}", "text": f"Tarjeta regalo\n{_article(i + 200)}"} for i in range(3)]
+    d = archive(page_fetch=pages + copies + others)
+    got = {(r["record_id"], r["line_no"]) for r in main_content.p2_found(spark, d).collect()}
+    assert got == {(f"z{i}", n) for i in range(8) for n in (1, 5)}
