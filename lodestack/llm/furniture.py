@@ -46,6 +46,7 @@ FURNITURE = (
 _STYLE = re.compile(r"\s*(#{1,6}\s|[-*•・+»›]\s|\d{1,3}[.)]\s|>\s)?\s*(.*)", re.S)
 _BOLD = re.compile(r"^\*\*(.+)\*\*$|^__(.+)__$")
 _LINK = re.compile(r"^\[([^\]]*)\]\(([^)\s]*)\)$")
+_HOST = re.compile(r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 _SPLIT = re.compile(r"\s+[|·»›>/•]\s+|(?<=[.!?])\s+(?=\S)|(?<=。)\s*(?=\S)|\s*\t\s*")
 _BREAD = re.compile(r"\s+[|·»›>/•]\s+")
 _DIGITS = re.compile(r"\d+")
@@ -74,13 +75,15 @@ def candidate(line: str) -> bool:
 
 #: Bits of a node's id that tell its presentation node; they are 0 for plain lines and where hosts are merged.
 KIND_BITS = {"p": 0, "li": 2, "h": 4, "#": 6}
+#: The bit of nodes that are links; they are learnt apart from plain text, by all hosts too.
+LINK_BIT = 8
 #: Long lines of a page that tell its content from that of others.
 PRINTS = 8
 
 
 def node_id(text: str, kind: str = "p") -> int:
     """64-bit id of a content node, signed, the same in every process; odd for a sentence."""
-    return (xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)) & ~7 | KIND_BITS.get(kind, 0) | text.endswith(_STOPS)
+    return (xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)) & ~15 | KIND_BITS.get(kind, 0) | text.endswith(_STOPS)
 
 
 def _enough(rest: str) -> bool:
@@ -130,11 +133,11 @@ def _line_nodes(line: str) -> tuple[int, ...]:
     if got is None:
         kind, body, target = parse(mojibake.quick(line))
         ids: list[int] = []
-        # quotations, titles, sentences in lists and links are no candidates
-        if body and not target and kind not in ("#", ">") and not (kind == "li" and _ENDS.search(body)):
+        # quotations, titles and sentences in lists are no candidates
+        if body and kind not in ("#", ">") and not (kind == "li" and _ENDS.search(body)):
             for seg in segments(body):
                 if len(seg) <= MAX_NODE:
-                    ids.extend(node_id(k, kind) for k in keys(seg))
+                    ids.extend(node_id(k, kind) | LINK_BIT * bool(target) for k in keys(seg))
         if len(_MEMO) > 100_000:
             _MEMO.clear()
         got = _MEMO[line] = tuple(ids)
@@ -167,10 +170,10 @@ class Tree:
         self.nodes = frozenset(nodes)
         self._judged: dict[str, tuple[int, bool, bool]] = {}
         self._own: frozenset = frozenset()  # nodes of low importance on the host of the line being judged
-        self._bits = 0
+        self._bits = self._link = 0
 
     def _known(self, seg: str, learned: bool = True) -> bool:
-        return any(h in SEED or learned and (h in self.nodes or h | self._bits in self._own) for h in map(node_id, keys(seg)))
+        return any(h in SEED or learned and (h | self._link in self.nodes or h | self._link | self._bits in self._own) for h in map(node_id, keys(seg)))
 
     def _made_of(self, seg: str, learned: bool = True) -> bool:
         """Whether a segment is a node of low importance, or a few such side by side."""
@@ -219,10 +222,10 @@ class Tree:
     def _judge(self, raw: str) -> tuple[int, bool, bool]:
         kind, body, target = parse(mojibake.quick(raw))
         self._bits = KIND_BITS.get(kind, 0)
-        link = bool(target) and not target.startswith("#")
+        self._link = LINK_BIT * bool(target)
         ends = bool(_ENDS.search(body))
-        hit = 2 if link else 0 if kind in ("#", ">") or not body or kind == "li" and ends else self._furniture(body)
-        if hit and not link and (residue.scan(body)["stand_in"] or residue.unfilled(body)):
+        hit = 0 if kind in ("#", ">") or not body or kind == "li" and ends else self._furniture(body)
+        if hit and (residue.scan(body)["stand_in"] or residue.unfilled(body)):
             hit = 0
         item = (kind == "li" or kind == "p" and len(body) <= 100) and not ends
         if item and not hit and kind == "p" and (residue.scan(body)["stand_in"] or residue.unfilled(body)):
@@ -230,7 +233,47 @@ class Tree:
         return hit, item, ends
 
 
-def furniture_lines(text: str | None, tree: Tree, own: frozenset = frozenset()) -> list[int]:
+def host_hash(host: str) -> int:
+    """Spark's xxhash64 of a host."""
+    h = xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"), seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _own_link(raw: str, host: int | None) -> bool:
+    """Whether a line is one link to another page of its own host."""
+    if "](" not in raw:
+        return False
+    target = parse(mojibake.quick(raw))[2]
+    m = _HOST.match(target)
+    if m:
+        return host is not None and host_hash(m.group(1).lower()) == host
+    return bool(target) and not target.startswith("#") and ":" not in target.split("/")[0]
+
+
+def _link_runs(lines: list[str], taken: set[int], code: set[int], host: int | None) -> list[int]:
+    """Runs of two or more links to pages of the same host that stand apart from the article.
+
+    A run next to a line of the article, or below a heading or lead-in of it, is the article's.
+    """
+    out: list[int] = []
+    at = 1
+    while at <= len(lines):
+        end = at
+        while end <= len(lines) and end not in code and (end in taken or candidate(lines[end - 1])) and _own_link(lines[end - 1], host):
+            end += 1
+        if end - at >= 2:
+            before, after = at - 1, end
+            apart = (before < 1 or before in taken or not lines[before - 1].strip()) and (after > len(lines) or after in taken or not lines[after - 1].strip())
+            while before >= 1 and not lines[before - 1].strip():
+                before -= 1
+            above = lines[before - 1].strip() if before >= 1 and before not in taken else ""
+            if apart and not above.endswith((":", "：")) and parse(above)[0] not in ("#", "h"):
+                out += [n for n in range(at, end) if n not in taken]
+        at = max(end, at + 1)
+    return out
+
+
+def furniture_lines(text: str | None, tree: Tree, own: frozenset = frozenset(), host: int | None = None) -> list[int]:
     """Numbers, from 1, of the lines of a page that are furniture, by the tree of all hosts and the ``own`` nodes of its host.
 
     A page that holds nothing else, or else only an error, filler or template text, has no
@@ -241,6 +284,7 @@ def furniture_lines(text: str | None, tree: Tree, own: frozenset = frozenset())
     lines = text.split("\n")
     found: list[int] = []
     beside: list[int] = []
+    code: set[int] = set()
     fenced = listing = False
     for number, raw in enumerate(lines, 1):
         if raw.startswith("```"):
@@ -248,6 +292,8 @@ def furniture_lines(text: str | None, tree: Tree, own: frozenset = frozenset())
             listing = False
         elif fenced or not candidate(raw):
             listing = False
+            if fenced:
+                code.add(number)
         elif not raw.isspace():
             hit, item, ends = tree.judge(raw, own)
             if hit == 1:
@@ -264,6 +310,8 @@ def furniture_lines(text: str | None, tree: Tree, own: frozenset = frozenset())
         held = {*found, *beside}
         found += [n for n in beside if n - 1 in held or n + 1 in held]
         found.sort()
+    if "](" in text:
+        found = sorted(found + _link_runs(lines, {*found}, code, host))
     if not found:
         return []
     taken = set(found)

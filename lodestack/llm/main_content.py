@@ -120,7 +120,7 @@ def learn(spark: SparkSession, sf_dir: str) -> tuple[list[int], DataFrame]:
     rows = found.limit(bound + 1).collect()
     if len(rows) > bound:
         raise ValueError(f"more than {bound} unimportant nodes: pages have more than {NODES_A_PAGE} candidate nodes on average")
-    return [r["node"] for r in rows], host_of.join(nodes_by_host(nodes), "host")
+    return [r["node"] for r in rows], host_of.join(nodes_by_host(nodes), "host", "left")
 
 
 def judged(texts: DataFrame, nodes: list[int], own: DataFrame) -> DataFrame:
@@ -137,8 +137,8 @@ def judged(texts: DataFrame, nodes: list[int], own: DataFrame) -> DataFrame:
             got = []
             for i, (t, host) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
                 if host not in of_host:
-                    of_host[host] = frozenset(b.column(4)[i].as_py())
-                got.append(furniture.furniture_lines(t, tree, of_host[host]))
+                    of_host[host] = frozenset(b.column(4)[i].as_py() or ())
+                got.append(furniture.furniture_lines(t, tree, of_host[host], host))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(got, pa.list_(pa.int32()))], names=["table_name", "record_id", "text", "lines"])
 
     texts = texts.select("table_name", "record_id", "text").join(own, ["table_name", "record_id"], "left").select("table_name", "record_id", "text", "host", "own")

@@ -63,3 +63,11 @@ def test_learns_furniture_of_one_host_whatever_the_rest(spark, archive):
     d = archive(page_fetch=pages + copies + others)
     got = {(r["record_id"], r["line_no"]) for r in main_content.p2_found(spark, d).collect()}
     assert got == {(f"z{i}", n) for i in range(8) for n in (1, 5)}
+
+
+def test_links_of_an_article_stay():
+    sources = "\n".join(f"- [Source {x}](https://{x}.test/p)" for x in "abc")
+    page = f"{_article(4)}\n\n## Sources\n\n{sources}\n- A plain item\n\n[A paper](https://x.test/1)\n\n{_article(5)}"
+    assert _lines(page) == []
+    page = f"{_article(4)}\n\n[One more](/a/x)\n[And another](https://h.test/b)\n\n{_article(5)}"
+    assert furniture.furniture_lines(page, furniture.Tree(()), host=furniture.host_hash("h.test")) == [5, 6]
