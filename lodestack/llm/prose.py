@@ -17,10 +17,13 @@ _CJK_CHAR = re.compile(f"[{_K}{_H}{_T}]")
 _HIRAGANA = re.compile(f"[{_H}]")
 _DIGIT = re.compile(r"\d")
 _STOP = re.compile(r"[.!?…](?=[\s”»\"'’“)\]]|$)|[。！？]")
-_END = re.compile(r"[.!?。！？…]+[”»“\"'’」』)）\]*_]*$")
 _BULLET = re.compile(r"^(?:[-*+•・>#»–]|\d{1,3}[.)]|\[[ x]\])+\s*")
 _SPEAKER = re.compile(r"^[^\s:：]{1,30}[:：]\s*")
-_CODE = re.compile(r"[;{}]\s*$|^\s*(?:\$ |export |SELECT |git |curl |printf|print\(|def |return |import |for \w+ in |if \(|assert |\w+ = )|\w+\(.*\)\s*$|=\$|https?://\S+\s*$|^\S*\|.*\|")
+_CLOSERS = "”»“\"'’」』)）]*_"
+_CODE = re.compile(r"\$ |export |SELECT |git |curl |printf|print\(|def |return |import |for \w+ in |if \(|assert |\w+ = ")
+_CALL = re.compile(r"\w\(")
+_URL = re.compile(r"https?://\S")
+_WHITE = re.compile(r"\s")
 #: Length of the longest word kept as text; longer fragments keep only their length.
 _KEEP = 48
 #: A line of more words than this without any stop is no sentence.
@@ -54,8 +57,18 @@ class Line(NamedTuple):
     seen: frozenset = frozenset()  # hashes of its words, up to _LONG
     front: tuple = ()  # word fragment at an open start: (kind, text, length), and whether it is the whole part
     back: tuple = ()
+    indent: str = ""  # white space at its start, what follows, and the same at its end
     head: str = ""
     tail: str = ""
+    trail: str = ""
+    ended: bool | None = False  # whether it ends in a stop; None if nothing but closing marks are seen
+    white: bool = False  # white space anywhere, and before its last solid character
+    gap: bool = False
+    call: bool = False  # a word before an opening parenthesis
+    shell: bool = False  # "=$"
+    url: bool = False  # an address in its last solid run
+    bars: int = 0
+    first_bar: bool = False  # a bar before any white space
 
 
 class Doc(NamedTuple):
@@ -95,6 +108,47 @@ def hash_of(word: str) -> int:
     return h
 
 
+def _marks(text: str) -> dict:
+    """The fields of a part that tell how it begins and ends, and signs of code."""
+    left = text.lstrip()
+    solid = text.rstrip()
+    bare = solid.rstrip(_CLOSERS)
+    words = text.split()
+    return {
+        "indent": text[: len(text) - len(left)][:_EDGE], "head": left[:_EDGE], "tail": solid[-_EDGE:], "trail": text[len(solid) :][-_EDGE:],
+        "ended": bare[-1] in ".!?。！？…" if bare else None if solid else False, "white": len(words) != 1 or len(words[0]) != len(text), "gap": len(words) > 1 or bool(words) and left != text,
+        "call": "(" in text and bool(_CALL.search(text)), "shell": "=$" in text, "url": bool(words) and "://" in words[-1] and bool(_URL.search(words[-1])),
+        "bars": text.count("|"), "first_bar": "|" in text and "|" in _WHITE.split(text, maxsplit=1)[0],
+    }
+
+
+def _join_marks(a: Line, b: Line) -> dict:
+    apart = bool(a.trail) or not a.head  # white space, or nothing, before b
+    if not b.head:
+        end = {"tail": a.tail, "trail": (a.trail + b.trail)[-_EDGE:] if a.head else b.trail, "ended": a.ended, "gap": a.gap, "url": a.url}
+        if not a.head:
+            end["trail"] = (a.trail + b.trail)[-_EDGE:]
+    else:
+        ended = b.ended
+        if ended is None:
+            ended = a.ended if not apart else False
+        one = not b.gap and not apart and not b.indent
+        url = b.url or one and (a.url or bool(_URL.search(a.tail[-8:] + b.head[:9])))
+        end = {"tail": (a.tail + a.trail + b.indent + b.tail)[-_EDGE:] if len(b.tail) < _EDGE else b.tail, "trail": b.trail, "ended": ended, "gap": a.white or b.gap, "url": url}
+    touch = not apart and not b.indent and bool(b.head)
+    return end | {
+        "indent": a.indent if a.head else (a.indent + b.indent)[:_EDGE], "head": (a.head + (a.trail if len(a.head) < _EDGE else "") + b.indent + b.head)[:_EDGE] if a.head and b.head else a.head or b.head,
+        "white": a.white or b.white, "call": a.call or b.call or touch and b.head[0] == "(" and bool(_CALL.match(a.tail[-1] + "(")), "shell": a.shell or b.shell or touch and a.tail[-1] == "=" and b.head[0] == "$",
+        "bars": a.bars + b.bars, "first_bar": a.first_bar or not a.white and b.first_bar,
+    }
+
+
+def _code(line: Line) -> bool:
+    """Whether a line looks like source code, by its start, its end and what it holds."""
+    last = line.tail[-1:]
+    return bool(_CODE.match(line.head)) or last in (";", "{", "}") or line.call and last == ")" or line.shell or line.url or line.first_bar and line.bars > 1
+
+
 def _part(text: str, common: frozenset) -> Line:
     """State of a part of a line whose ends are both open."""
     tokens = list(_TOKEN.finditer(text))
@@ -117,7 +171,7 @@ def _part(text: str, common: frozenset) -> Line:
     return Line(
         size=len(text), solid=len("".join(text.split())), digits=len(_DIGIT.findall(text)), hiragana=len(_HIRAGANA.findall(text)),
         cjk=len(_CJK_CHAR.findall(text)), stops=len(_STOP.findall(text[:-1] + "x" if text else "")), front=front, back=back,
-        head=text[:_EDGE], tail=text[-_EDGE:], **acc,
+        **_marks(text), **acc,
     )
 
 
@@ -157,12 +211,15 @@ def _join(a: Line, b: Line, common: frozenset) -> Line:
             else:
                 _word(acc, b.front[1], b.front[2], common)
     # a stop at the seam is one only by what follows it
-    seam = len(_STOP.findall(a.tail[-1] + b.head[:1])) if a.tail and a.tail[-1] in ".!?…。！？" else 0
-    if b.size == 1 and seam and b.head in ".!?…。！？":
-        seam = len(_STOP.findall(a.tail[-1] + "x"))
+    seam, before = 0, a.tail[-1:] if not a.trail else ""
+    follow = (b.indent or b.head)[:1]
+    if before and before in ".!?…。！？":
+        seam = len(_STOP.findall(before + follow))
+        if b.size == 1 and seam and follow in ".!?…。！？":
+            seam = len(_STOP.findall(before + "x"))
     return Line(
         size=a.size + b.size, solid=a.solid + b.solid, digits=a.digits + b.digits, hiragana=a.hiragana + b.hiragana, cjk=a.cjk + b.cjk,
-        stops=a.stops + b.stops + min(seam, 1), front=front, back=back, head=(a.head + b.head)[:_EDGE], tail=(a.tail + b.tail)[-_EDGE:], **acc,
+        stops=a.stops + b.stops + min(seam, 1), front=front, back=back, **_join_marks(a, b), **acc,
     )
 
 
@@ -177,10 +234,11 @@ def _closed(line: Line, common: frozenset) -> Line:
     return line._replace(front=(), back=(), **acc)
 
 
-def _judge(words, common, plain, word_chars, solid, digits, hira, cjk, stops, seen, head, tail) -> str:
+def _judge(line: Line) -> str:
     """``told`` for sentences with stops, ``open`` for what reads like one without, or ''."""
-    body = _BULLET.sub("", head.lstrip())
-    ended = bool(_END.search(tail.rstrip()))
+    words, common, plain, word_chars, solid, digits = line.words, line.common, line.plain_common, line.word_chars, line.solid, line.digits
+    hira, cjk, stops, seen, ended = line.hiragana, line.cjk, line.stops, line.seen, bool(line.ended)
+    body = _BULLET.sub("", line.head)
     letters = word_chars - digits
     if not words or letters < 0.55 * solid or digits > (0.45 if ended and stops else 0.3) * word_chars:
         return ""
@@ -189,7 +247,7 @@ def _judge(words, common, plain, word_chars, solid, digits, hira, cjk, stops, se
         if flowing and (ended or stops and stops * 120 > cjk):
             return "told"
         return "open" if flowing and plain >= 2 and hira >= 0.3 * cjk and cjk >= 16 else ""
-    if _CODE.search(head) and not ended:
+    if not ended and _code(line):
         return ""
     if words < 4:
         return ""
@@ -210,10 +268,8 @@ def _add(doc: dict, line: Line) -> None:
     doc["words"] += line.words
     doc["word_chars"] += line.word_chars
     doc["common"] += line.common
-    doc["punctuated"] += bool(_END.search(line.tail.rstrip()))
-    kind = _judge(
-        line.words, line.common, line.plain_common, line.word_chars, line.solid, line.digits, line.hiragana, line.cjk, line.stops, line.seen, line.head, line.tail
-    )
+    doc["punctuated"] += bool(line.ended)
+    kind = _judge(line)
     if kind == "told":
         doc["told"] += line.solid
     elif kind == "open":
@@ -238,7 +294,7 @@ def _line(text: str, common: frozenset) -> Line:
     return Line(
         size=len(text), solid=len("".join(text.split())), words=n, word_chars=sum(map(len, tokens)), common=hits, plain_common=plain,
         digits=len(_DIGIT.findall(text)), hiragana=len(_HIRAGANA.findall(text)), cjk=len(_CJK_CHAR.findall(text)), stops=len(_STOP.findall(text[:-1] + "x")),
-        seen=frozenset(t.lower() for t in tokens) if n <= _LONG else frozenset(range(_LONG + 1)), head=text[:_EDGE], tail=text[-_EDGE:],
+        seen=frozenset(t.lower() for t in tokens) if n <= _LONG else frozenset(range(_LONG + 1)), **_marks(text),
     )
 
 

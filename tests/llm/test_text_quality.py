@@ -68,3 +68,18 @@ def test_found(spark, archive):
         assert {k: got[i][k] for k in want} == want == {k: small[i][k] for k in want}
     assert sorted(r["doc_id"] for r in text_quality.p9_found(spark, d).collect()) == [i for i, t in enumerate(texts) if prose.measure(t, COMMON)["natural_prose"] is False]
     assert text_quality.p9_stats(spark, archive()).count() == 0
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["the ", "it is", "f(", ")", ";", "=$", "=", "$", "|", " | ", "http", "https://", "x", " ", "   ", ".", "”", '"', "は", "\n", "a" * 30, " " * 45, "git "]), max_size=14).map("".join), st.lists(st.integers(0, 400), max_size=6), st.integers(0, 5))
+def test_signs_of_code_in_pieces(text, cuts, order):
+    assert _merged(text, cuts, order) == prose.measure(text, COMMON)
+
+
+def test_lines_are_judged_whole():
+    assert prose.measure('System.err.println("The file is in the house. It is on the path and it was there");', COMMON)["natural_prose"] is False
+    remark = "we found it in the house, and it was; then the rest of an old town is fine"
+    assert remark[36] == ";"
+    assert prose.measure("so " + remark, COMMON)["natural_prose"] is True
+    closed = prose.measure("It is in the house." + ")" * 50 + " " * 50, COMMON)
+    assert closed["punctuated_lines"] == 1.0
