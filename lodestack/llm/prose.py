@@ -19,6 +19,7 @@ _DIGIT = re.compile(r"\d")
 _STOP = re.compile(r"[.!?…](?=[\s”»\"'’“)\]]|$)|[。！？]")
 _BULLET = re.compile(r"^(?:[-*+•・>#»–]|\d{1,3}[.)]|\[[ x]\])+\s*")
 _SPEAKER = re.compile(r"^[^\s:：]{1,30}[:：]\s*")
+_TOLD_END = re.compile(f"[{_H}ー〜~](?:[笑w]|lol|（笑）|\\(笑\\)|[^\\w#])*$")
 _CLOSERS = "”»“\"'’」』)）]*_"
 _CODE = re.compile(r"\$ |export |SELECT |git |curl |printf|print\(|def |return |import |for \w+ in |if \(|assert |\w+ = ")
 _CALL = re.compile(r"\w\(")
@@ -83,7 +84,6 @@ class Doc(NamedTuple):
     common: int = 0
     told: int = 0  # characters of lines that are sentences with their stops
     open_told: int = 0  # characters of lines that read like sentences without stops
-    open_lines: int = 0
     first: Line = Line()
     last: Line = Line()
 
@@ -246,7 +246,9 @@ def _judge(line: Line) -> str:
         flowing = hira >= 0.15 * cjk and common >= 2 and cjk >= 8
         if flowing and (ended or stops and stops * 120 > cjk):
             return "told"
-        return "open" if flowing and plain >= 2 and hira >= 0.3 * cjk and cjk >= 16 else ""
+        # headlines end in a noun, keyword strings have signs before their words
+        remark = bool(_TOLD_END.search(line.tail)) and not line.head.startswith("#")
+        return "open" if flowing and remark and plain >= 2 and hira >= 0.3 * cjk and cjk >= 16 else ""
     if not ended and _code(line):
         return ""
     if words < 4:
@@ -274,10 +276,9 @@ def _add(doc: dict, line: Line) -> None:
         doc["told"] += line.solid
     elif kind == "open":
         doc["open_told"] += line.solid
-        doc["open_lines"] += 1
 
 
-_SUMS = ("filled", "punctuated", "solid", "words", "word_chars", "common", "told", "open_told", "open_lines")
+_SUMS = ("filled", "punctuated", "solid", "words", "word_chars", "common", "told", "open_told")
 _EMPTY = dict.fromkeys(_SUMS, 0)
 
 
@@ -325,8 +326,6 @@ def merge(a: Doc, b: Doc, common: frozenset) -> Doc:
     return Doc(lines=a.lines + b.lines, first=a.first, last=b.last, **sums)
 
 
-#: So few lines without stops are remarks, more of them a list of headlines.
-MAX_REMARKS = 4
 #: Share of characters in sentences from which a text is natural prose.
 MIN_TOLD = 0.5
 
@@ -340,7 +339,7 @@ def finish(doc: Doc, common: frozenset) -> dict:
 
 
 def _ratios(s: dict) -> dict:
-    told = s["told"] + (s["open_told"] if s["open_lines"] <= MAX_REMARKS else 0)
+    told = s["told"] + s["open_told"]
     share = told / s["solid"] if s["solid"] else None
     return {
         "word_count": s["words"],

@@ -83,3 +83,11 @@ def test_lines_are_judged_whole():
     assert prose.measure("so " + remark, COMMON)["natural_prose"] is True
     closed = prose.measure("It is in the house." + ")" * 50 + " " * 50, COMMON)
     assert closed["punctuated_lines"] == 1.0
+
+
+def test_remarks_count_whatever_their_number():
+    said = ["we found the old map in the house and it was fine", "nobody in the town said a word of it to the mayor", "夏を通して、私は古い地図をこの家に移したうえで予算も描いた"]
+    for lines in (said, said * 3, [f"- {x}" for x in said * 40], [said[0]] * 5):
+        assert prose.measure("\n".join(lines), COMMON)["sentence_share"] == 1.0
+    headlines = ["The Old Map Of The House And A Town In Winter", "夏を通して古い地図をこの家に移したうえで描いた予算の図書館"]
+    assert prose.measure("\n".join(headlines * 2), COMMON)["sentence_share"] == 0.0
