@@ -70,16 +70,18 @@ REPORT = re.compile(
 MIN_COVERAGE = 0.5
 
 # --- unfilled places --------------------------------------------------------------
+# what stands between signs that prose does not have may be anything on one line; between others, a name
+_ANY = r"(?:[^\n{}]|\{[^\n{}]*\})+"
 _F = r"[A-Za-z_][\w.-]{2,40}(?: ?\| ?\w{1,20}| \w{1,20}){0,3}"
 PLACEHOLDER = re.compile(
-    rf"\{{\{{\{{?\s*{_F}\s*\}}?\}}\}}|\{{%-?\s*{_F}\s*-?%\}}|[$#]\{{{_F}\}}|\{{\${_F}\}}|(?<![\\\w^_}}$]){{{_F}}}"
-    rf"|<%=?-?\s*{_F}\s*%>|<<{_F}>>|%\({_F}\)[sd]|%%{_F}%%|@@{_F}@@|&&{_F}&&|\*\|{_F}\|\*|\[#{_F}#\]|\[%{_F}%\]"
+    rf"(?<![\\^])\{{\{{\{{(?!\s*\}}){_ANY}\}}\}}\}}|(?<![\\^])\{{\{{(?!\s*\}}){_ANY}\}}\}}|\{{%(?![\s-]*%\}})(?:(?!%\}})[^\n])+%\}}|\$\{{(?!\s*\}}){_ANY}\}}|#\{{{_F}\}}|\{{\${_F}\}}|(?<![\\\w^_}}$]){{{_F}}}"
+    rf"|<%(?![\s=-]*%>)(?:(?!%>)[^\n])+%>|<<{_F}>>|%\({_F}\)[sd]|%%{_F}%%|@@{_F}@@|&&{_F}&&|\*\|{_F}\|\*|\[#{_F}#\]|\[%{_F}%\]"
     rf"|\[Your {_F}\]|\[INSERT {_F} HERE\]|(?<![\w$])\${_F}\$(?![\w$])|__{_F}__(?=\s|$)|(?<![\w%])%[ds](?![\w%])"
 )
 _SIGNS = re.compile(r"[{}<$%@&\[*_]")
 _FENCED = re.compile(r"^ *(```|~~~).*?(?:^ *\1|\Z)", re.S | re.M)
-_INLINE = re.compile(r"(`+)(?!`).+?(?<!`)\1(?!`)", re.S)
-_MATH = re.compile(r"\$\$.+?\$\$|\\\(.+?\\\)|\\\[.+?\\\]", re.S)
+_INLINE = re.compile(r"(`+)(?!`)(?:(?!\n[ \t]*\n).)+?(?<!`)\1(?!`)", re.S)
+_MATH = re.compile(r"\$\$.+?\$\$|\\\(.+?\\\)|\\\[.+?\\\]|\\[A-Za-z]+(?:\{[^\n{}]*\})*\{\{[^\n{}]*\}\}", re.S)
 _ESCAPES = re.compile(r"%[0-9A-Fa-f]{2}")
 _NEUTRAL = re.compile(
     r"\b[\w-]+(?:\.[\w-]+)*\.(?:example|test|com|org|net)\b|\b(?=[0-9a-f]*\d)[0-9a-f]{5,}\b|\d+|[^\w]+", re.I

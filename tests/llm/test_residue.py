@@ -60,3 +60,15 @@ def test_found(spark, archive):
     assert sorted(map(tuple, residue_filter.p6_found(spark, d).collect())) == [("fetch_capture", "d"), ("page_fetch", "g"), ("resource_revision", "a")]
     assert {tuple(r) for r in residue_filter.p6_kinds(spark, d).collect()} == {("resource_revision", "a", "error"), ("fetch_capture", "d", "placeholder"), ("page_fetch", "g", "error")}
     assert residue_filter.p6_found(spark, archive()).count() == 0
+
+
+@pytest.mark.parametrize("shape", ["{{id}}", "{{x}}", "${id}", "{% if user %}", "{{#if user}}", "{{> header}}", "{{ name | default: 'x' }}", "{{user.tags[0]}}", "{{名前}}", "{{имя}}", "<%= x %>", "{{ f({a: 1}) }}", "{{" + "a" * 60 + "}}"])
+def test_unfilled_places_of_any_content(shape):
+    assert residue.classify(f"{ARTICLE} By {shape}, they said.") == "placeholder"
+    assert residue.classify(f"{ARTICLE} Write `{shape}` there.") is None
+    assert residue.classify(f"A stray ` here.\n\n{ARTICLE} By {shape}.\n\nAnother ` there.") == "placeholder"
+
+
+@pytest.mark.parametrize("text", ["{{ }}", "{%%}", "${}", "<% %>", "{{1, 2}, {3}}", "\\frac{{a}}{b}", "x^{{2}}"])
+def test_empty_or_mathematical_braces(text):
+    assert residue.classify(f"{ARTICLE} So {text} is.") is None
