@@ -16,7 +16,7 @@ import xxhash
 
 from . import mojibake, residue
 
-#: Longest line that can be furniture, and longest node.
+#: Longest line that is remembered, and longest node that is masked name by name; longer ones are nodes with digits masked only.
 MAX_LINE, MAX_NODE = 240, 120
 
 # --- fixed values: furniture of common page templates in six languages ---------------
@@ -61,16 +61,21 @@ _STOPS = (".", "!", "?", "。", "！", "？")
 _MARKS = ("- ", "* ", "• ", "・", "+ ")
 
 
+# fixed values: headings of lists of other articles, also where they stand as titles
+LIST_HEADS = frozenset((
+    "Related articles|You may also like|Most read|Trending now|Popular this week|Recommended for you|関連記事|あわせて読みたい|人気記事ランキング|Meistgelesen|Ähnliche Artikel|"
+    "Les plus lus|À lire aussi|Mais lidas|Leia também|Популярное|Читайте также"
+).split("|"))
+
+
 def candidate(line: str) -> bool:
-    """Whether a line can be furniture, by what costs next to nothing to see.
+    """Whether a line can be furniture, by what costs next to nothing to see; quotations are not."""
+    return bool(line) and not line.startswith("> ")
 
-    Titles, quotations, sentences in lists and paragraphs of three sentences are not.
-    """
-    if not 0 < len(line) <= MAX_LINE or line.startswith(("# ", "## ", "> ")):
-        return False
-    if line.count("。") > 2 or line.count(". ") > 2:
-        return False
-    return not (line.endswith(_STOPS) and line.startswith(_MARKS))
+
+def _running(line: str) -> bool:
+    """Whether a line is a paragraph: as a node it counts whole, not sentence by sentence."""
+    return line.count("。") > 2 or line.count(". ") > 2
 
 
 #: Bits of a node's id that tell its presentation node; they are 0 for plain lines and where hosts are merged.
@@ -95,6 +100,8 @@ def keys(segment: str) -> list[str]:
     """The forms under which a segment counts: as it is, and with each name masked."""
     seg = _DIGITS.sub("0", segment)
     out = [seg]
+    if len(seg) > MAX_NODE:
+        return out
     for m in _NAME.finditer(seg):
         rest = seg[: m.start()] + seg[m.end() :]
         if _enough(rest):
@@ -133,14 +140,15 @@ def _line_nodes(line: str) -> tuple[int, ...]:
     if got is None:
         kind, body, target = parse(mojibake.quick(line))
         ids: list[int] = []
-        # quotations, titles and sentences in lists are no candidates
-        if body and kind not in ("#", ">") and not (kind == "li" and _ENDS.search(body)):
-            for seg in segments(body):
-                if len(seg) <= MAX_NODE:
-                    ids.extend(node_id(k, kind) | LINK_BIT * bool(target) for k in keys(seg))
-        if len(_MEMO) > 100_000:
-            _MEMO.clear()
-        got = _MEMO[line] = tuple(ids)
+        # quotations are no candidates, and titles, which recur in the articles of a site, are known by LIST_HEADS only
+        if body and kind not in ("#", ">"):
+            for seg in [body] if _running(body) else segments(body):
+                ids.extend(node_id(k, kind) | LINK_BIT * bool(target) for k in keys(seg))
+        got = tuple(ids)
+        if len(line) <= MAX_LINE:
+            if len(_MEMO) > 100_000:
+                _MEMO.clear()
+            _MEMO[line] = got
     return got
 
 
@@ -192,7 +200,7 @@ class Tree:
         """2 for furniture, 1 for a sentence that is furniture beside other furniture, else 0."""
         parts = segments(body)
         ends = bool(_ENDS.search(body))
-        if all(len(p) <= MAX_NODE and self._made_of(p) for p in parts):
+        if all(self._made_of(p) for p in parts) or _running(body) and self._known(body):
             if ends and not all(self._made_of(p, False) for p in parts):
                 return 0 if _QUOTED.search(body) else 1
             return 2
@@ -208,9 +216,10 @@ class Tree:
         got = self._judged.get(raw)
         if got is None:
             got = self._judge(raw)
-            if len(self._judged) > 100_000:
-                self._judged.clear()
-            self._judged[raw] = got
+            if len(raw) <= MAX_LINE:
+                if len(self._judged) > 100_000:
+                    self._judged.clear()
+                self._judged[raw] = got
         if got[0] < 2 and own and not own.isdisjoint(_line_nodes(raw)):
             self._own = own
             try:
@@ -224,10 +233,14 @@ class Tree:
         self._bits = KIND_BITS.get(kind, 0)
         self._link = LINK_BIT * bool(target)
         ends = bool(_ENDS.search(body))
-        hit = 0 if kind in ("#", ">") or not body or kind == "li" and ends else self._furniture(body)
+        if kind == "#":  # titles of the article recur on a site, too
+            return 2 * (body in LIST_HEADS), False, ends
+        hit = 0 if kind == ">" or not body else self._furniture(body)
+        if kind == "li" and ends:
+            hit = min(hit, 1)
         if hit and (residue.scan(body)["stand_in"] or residue.unfilled(body)):
             hit = 0
-        item = (kind == "li" or kind == "p" and len(body) <= 100) and not ends
+        item = (kind == "li" or kind == "p" and len(body) <= 100) and (not ends or body[-1] in "?!？！")
         if item and not hit and kind == "p" and (residue.scan(body)["stand_in"] or residue.unfilled(body)):
             item = False
         return hit, item, ends
@@ -300,7 +313,7 @@ def furniture_lines(text: str | None, tree: Tree, own: frozenset = frozenset(),
                 beside.append(number)
                 listing = False
             elif hit or listing and item:
-                listing = listing or not ends
+                listing = listing or not ends or item
                 found.append(number)
             else:
                 listing = False

@@ -71,3 +71,14 @@ def test_links_of_an_article_stay():
     assert _lines(page) == []
     page = f"{_article(4)}\n\n[One more](/a/x)\n[And another](https://h.test/b)\n\n{_article(5)}"
     assert furniture.furniture_lines(page, furniture.Tree(()), host=furniture.host_hash("h.test")) == [5, 6]
+
+
+def test_long_lines_headings_and_questions_are_judged():
+    menu = " | ".join(["About us", "Archive", "Contact", "Help", "Most read", "Terms of use", "Privacy"] * 5)
+    assert len(menu) > 240
+    page = f"{menu}\n{_article(6)}\n\n## Related articles\n- Why is it so?\n- What a day!\n- The last one"
+    assert _lines(page) == [1, 6, 7, 8, 9]
+    notice = "We of Zibu keep some of what you tell us. It is kept in a box. The box is ours. You may ask for the box. " * 2
+    learnt = furniture.page_nodes(f"{notice}\n{_article(7)}")[3]
+    tree = furniture.Tree(set(learnt) & set(furniture.page_nodes(f"{notice}\n{_article(8)}")[3]))
+    assert furniture.furniture_lines(f"{NAV}\n{notice}\n\n{_article(9)}", tree) == [1, 2]
