@@ -15,14 +15,17 @@ _MAY_BE = r"[^\x00-\x7f]|&[A-Za-z#]|\\u"
 
 
 def examined(texts: DataFrame, garbled_only: bool = True, restore: bool = True) -> DataFrame:
-    """Adds ``garbled`` and, if asked for, ``restored`` to (table_name, record_id, text).
+    """Adds ``garbled`` and, if asked for, ``restored`` to (table_name, record_id, text, encoding).
 
-    Null and empty texts are sound.  ``restored`` is the text as far as it could be had.
+    ``encoding`` is the encoding that the record names; edges of the search that undo it are
+    cheaper.  It may be null, empty or unknown.  Null and empty texts are sound.  ``restored`` is
+    the text as far as it could be had.  Other columns are not kept; repeated rows are judged each.
     """
+    texts = texts if "encoding" in texts.columns else texts.withColumn("encoding", F.lit(None).cast("string"))
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            got = [mojibake.examine(t) for t in batch.column(2).to_pylist()]
+            got = [mojibake.examine(t, e) for t, e in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             keep = [i for i, g in enumerate(got) if g[0] or not garbled_only]
             at = pa.array(keep, pa.int64())
             cols = [batch.column(0).take(at), batch.column(1).take(at), pa.array([got[i][0] for i in keep], pa.bool_())]
@@ -35,7 +38,7 @@ def examined(texts: DataFrame, garbled_only: bool = True, restore: bool = True)
         return f
 
     schema = "table_name string, record_id string, garbled boolean" + ", restored string" * restore
-    return per_batch(texts.select("table_name", "record_id", "text"), make, schema)
+    return per_batch(texts.select("table_name", "record_id", "text", "encoding"), make, schema)
 
 
 def examined_payloads(payloads: DataFrame, wrong_only: bool = True) -> DataFrame:
@@ -60,8 +63,8 @@ def examined_payloads(payloads: DataFrame, wrong_only: bool = True) -> DataFrame
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """content_markdown and page_fetch.text of which some place may be garbled."""
-    revisions = runtime.table(spark, sf_dir, "resource_revision").select(F.lit("resource_revision").alias("table_name"), F.col("resource_revision_id").alias("record_id"), F.col("content_markdown").alias("text"))
-    pages = runtime.table(spark, sf_dir, "page_fetch").select(F.lit("page_fetch").alias("table_name"), F.col("page_fetch_id").alias("record_id"), "text")
+    revisions = runtime.table(spark, sf_dir, "resource_revision").select(F.lit("resource_revision").alias("table_name"), F.col("resource_revision_id").alias("record_id"), F.col("content_markdown").alias("text"), F.lit(None).cast("string").alias("encoding"))
+    pages = runtime.table(spark, sf_dir, "page_fetch").select(F.lit("page_fetch").alias("table_name"), F.col("page_fetch_id").alias("record_id"), "text", F.col("content_encoding").alias("encoding"))
     return revisions.unionByName(pages).where(F.col("text").rlike(_MAY_BE))
 
 

@@ -6,7 +6,7 @@ _DEFAULTS = {
     "canonical_item": [("source", pa.string()), ("source_id", pa.string()), ("title", pa.string()), ("tags", pa.list_(pa.string()))],
     "comment_revision": [("comment_revision_id", pa.string()), ("tags_json", pa.string())],
     "resource_revision": [("resource_revision_id", pa.string()), ("resource_id", pa.string()), ("title", pa.string()), ("content_markdown", pa.string())],
-    "page_fetch": [("page_fetch_id", pa.string()), ("url", pa.string()), ("text", pa.string()), ("error", pa.string())],
+    "page_fetch": [("page_fetch_id", pa.string()), ("url", pa.string()), ("text", pa.string()), ("error", pa.string()), ("content_encoding", pa.string())],
     "payload": [("payload_id", pa.string()), ("content", pa.binary()), ("charset", pa.string())],
     "fetch_capture": [("fetch_capture_id", pa.string()), ("resource_revision_id", pa.string()), ("final_url", pa.string()), ("warning", pa.string())],
     "documents": [("doc_id", pa.int64()), ("text", pa.string())],

@@ -10,6 +10,52 @@ SOUND = [
     "The village of Ýr’s Þórsgarð and the isle of Ñanduá were counted.", "EDIÇÃO, MAÇÃ E NÃO: tudo em maiúsculas.", "« Ô RÂLEUR, Â MESURER », lit-on chez Kigia.", "A page that shows `Ã©` where é should be was decoded twice.", "plain ascii & more", "", None, " \n",
     "```\nx = 'Ã©'\n```",
 ]
+#: Texts in languages that the archive does not have.
+FOREIGN = [
+    "Łódź jest piękna i żółta, a Gdańsk też.", "Příliš žluťoučký kůň úpěl ďábelské ódy", "Árvíztűrő tükörfúrógép", "Pijamalı hasta yağız şoföre çabucak güvendi", "Đorđe Žižek čeka ćevape", "ąžuolas ėjo į miškų ūkį", "Īsa ūdens ķēde šķērso ļaudis",
+    "Kæmi ný öxi hér, ykist þjófum nú bæði víl og ádrepa", "Høj bly gom vandt fræk sexquiz på wc", "Flygande bäckasiner söka hwila på mjuka tuvor", "Ășțâî în România", "Tiếng Việt rất đẹp và người dân thân thiện.", "ŝĝĥ eĥoŝanĝo ĉiuĵaŭde", "İstanbul", "Çağrı", "Čapek", "Ő", "ÅÄÖ", "co·l·lecció l’àvia",
+    "Η γρήγορη αλεπού πηδάει πάνω από το σκυλί.", "ΕΛΛΗΝΙΚΑ ΚΕΦΑΛΑΙΑ", "Ὁ πολλὰ", "Привіт, як справи? Її їжа є смачною, ґанок", "Добро јутро, како сте? Љубав и њива, ћуприја", "Здравей, как си? Ъгъл", "Сәлем, қалайсың? Өмір", "ПРИВЕТ МИР",
+    "שלום עולם, מה שלומך היום?", "مرحبا بالعالم، كيف حالك اليوم؟", "สวัสดีชาวโลก", "नमस्ते दुनिया", "한국어 문장입니다. 오늘 날씨가 좋네요.", "今天天气很好，我们去公园散步吧。", "今天天氣很好，我們去公園散步吧。", "ｶﾀｶﾅ ﾃｷｽﾄ ﾃﾞｽ", "齟齬", "鰺ヶ沢", "🎉 Fête 🎊",
+    "├── src", "│   └── main.py", "x² + y² = z², √2 ≈ 1.41", "gamma γ and π are used", "µm und Ω", "© 2024 – ½ price™",
+]
+
+
+@pytest.mark.parametrize("text", FOREIGN)
+def test_sound_texts_of_other_languages_stay(text):
+    assert mojibake.examine(text) == (False, text)
+
+
+@pytest.mark.parametrize("text", [t for t in FOREIGN if len(t) > 20 and "ｶ" not in t and "½" not in t])
+def test_other_languages_come_back(text):
+    assert mojibake.examine(text.encode().decode("latin-1")) == (True, text)
+
+
+def test_every_garbled_line_comes_from_the_search(monkeypatch):
+    searched = []
+    search = mojibake.search
+    monkeypatch.setattr(mojibake, "search", lambda line, *a, **k: searched.append(line) or search(line, *a, **k))
+    monkeypatch.setattr(mojibake, "_MEMO", {})
+    lines = [SOUND[2].encode().decode("latin-1"), SOUND[4].encode("cp1251").decode("koi8-r"), SOUND[5].encode().decode("cp932", "replace"), "lost � here"]
+    assert all(mojibake.examine(x)[0] for x in lines) and searched == lines
+    assert mojibake.wrong_charset(SOUND[4].encode(), "koi8-r")[0] and len(searched) == len(lines) + 1
+
+
+def test_lost_bytes_and_deep_nesting():
+    bad = SOUND[5].encode().decode("cp932", "replace")
+    garbled, text = mojibake.examine(bad)
+    assert garbled and sum(c in SOUND[5] for c in text) > 0.8 * len(text)
+    four = "Die Brücke für Jürgen ist größer."
+    for _ in range(4):
+        four = four.encode().decode("latin-1")
+    assert mojibake.examine(four) == (True, "Die Brücke für Jürgen ist größer.")
+
+
+def test_the_named_encoding_decides():
+    bad = "où Θ est".replace("ù", "ù".encode("cp1252").decode("cp437")).replace("Θ", "é".encode("cp1252").decode("cp437"))
+    assert mojibake.examine(bad, "ibm437") == (True, "où é est")
+    assert mojibake.examine("gamma γ", "utf-8") == (False, "gamma γ") and mojibake.examine(SOUND[2], "no such") == (False, SOUND[2])
+
+
 #: right and wrong encoding of each garbled text.
 WRONG = [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "cp1251"), ("utf-8", "mac-roman"), ("utf-8", "cp437"), ("utf-8", "cp850")]
 
