@@ -1,11 +1,15 @@
-"""Page furniture: nodes of a site style tree over the lines of pages, and their removal.
-
-Pages come as text, one line per block, so a page's tree has two levels: a presentation
-node (heading, list item, plain line) and below it content nodes, the segments of the
-line between separators and sentence ends, with digits and site names masked.  Trees of one
-host are merged, then those of all hosts; a content node that recurs in pages of otherwise
-different content has low information, hence low importance, in its host's tree or in that of
-all hosts, and lines made of such nodes are furniture.  Nothing here needs Spark.
+"""Page furniture: the nodes of a site style tree over the lines of pages, and their removal.
+
+Pages come as text, one line per block.  A page's tree has presentation nodes (heading, list
+item, plain line, each as a link or not) and below them content nodes, the segments of the line
+between separators and sentence ends, with digits masked; a heading or lead line is the parent of
+the list below it.  The trees of one host are merged, and a node that stands in m of the host's n
+pages with content of their own has importance 1 - log m / log n: the entropy of its spread over
+the pages, from 1 for what one page has to 0 for what all have.  Lines made of nodes of low
+importance go, and with a heading the branch below it.  Nodes that spread over many hosts, of the
+same entropy, are an addition for hosts with few pages.  No phrase is known in advance.
+
+Nothing here needs Spark.
 """
 
 from __future__ import annotations
@@ -19,30 +23,6 @@ from . import mojibake, residue
 #: Longest line that is remembered, and longest node that is masked name by name; longer ones are nodes with digits masked only.
 MAX_LINE, MAX_NODE = 240, 120
 
-# --- fixed values: furniture of common page templates in six languages ---------------
-FURNITURE = (
-    "About us|Archive|Authors|Contact|Events|Help|Home|Jobs|My account|Newsletter|Podcast|Search|Shop|Sign in|Subscribe|Support us|Topics|Videos|Log in to reply|"
-    "Accept all|Only necessary|Reject|Manage preferences|Got it|We use cookies to improve your visit.|By continuing you accept our cookie policy.|"
-    "This site and its 0 partners store data on your device.|Your privacy matters to ¤.|Advertisement|Sponsored content|Story continues below|Related articles|"
-    "You may also like|Most read|Trending now|Popular this week|Recommended for you|Back to top|Terms of use|Privacy|Imprint|Report a problem with this page|"
-    "All rights reserved.|Skip to comments|More from ¤|Powered by ¤|© 0 ¤.|© 0 ¤|Copy link|Print|Share this: Mail|"
-    "ホーム|新着|ランキング|特集|連載|動画|検索|ログイン|会員登録|マイページ|お問い合わせ|運営会社|求人|ヘルプ|記事一覧|同意する|拒否する|閉じる|設定を変更|広告|スポンサーリンク|"
-    "関連記事|あわせて読みたい|おすすめ|人気記事ランキング|この記事をシェアする|続きを読むには会員登録が必要です|記事は下に続きます|ページの先頭へ戻る|利用規約|プライバシーポリシー|"
-    "サイトマップ|広告掲載について|コメント(0)を読むにはログインしてください|当サイトは0社と情報を共有します。|閲覧を続けるとCookieの利用に同意したことになります。|© 0 ¤ 無断転載を禁じます|"
-    "Startseite|Themen|Abo|Über uns|Mediathek|Suche|Hilfe|Kontakt|Archiv|Anmelden|Alle akzeptieren|Ablehnen|Einstellungen|Anzeige|Meistgelesen|Ähnliche Artikel|Artikel teilen|"
-    "Nach oben|Impressum|Datenschutz|Alle Rechte vorbehalten.|Mehr von ¤|Betrieben mit ¤|Wir verwenden Cookies auf ¤.|¤ und 0 Partner speichern Daten.|Newsletter von ¤ abonnieren|"
-    "Mit der Nutzung stimmen Sie unserer Datenschutzerklärung zu.|"
-    "Accueil|Rubriques|Abonnement|À propos|Archives|Vidéos|Aide|Recherche|Connexion|Tout accepter|Refuser|Paramétrer|Publicité|Les plus lus|À lire aussi|Partager cet article|"
-    "Haut de page|Mentions légales|Confidentialité|Tous droits réservés.|Propulsé par ¤|Plus sur ¤|En poursuivant, vous acceptez nos 0 partenaires.|Inscrivez-vous à la lettre de ¤|"
-    "Início|Seções|Assine|Sobre nós|Busca|Ajuda|Contato|Arquivo|Vídeos|Entrar|Aceitar|Recusar|Configurar|Publicidade|Mais lidas|Leia também|Compartilhe|Voltar ao topo|Termos|Privacidade|"
-    "Enjoying this?|0 comments|Follow us: ¤¤|運営: ¤株式会社|Support ¤ from £0 a month|Follow ¤ for daily updates|Sign up for the ¤ newsletter|Смотрите также: ¤¤|あわせて読む: ¤¤|Lire aussi : ¤¤|¤のメールマガジンに登録する|¤の新着|"
-    "¤ is not responsible for external links.|Choose which cookies ¤ may set.|Registered office: ¤¤|Read more: ¤¤|Lesen Sie auch: ¤¤|Veja mais: ¤¤|"
-    "¤では利便性向上のためCookieを使用しています。|¤ utilise des cookies pour mesurer l’audience.|Ao continuar, você aceita a política de ¤ e de 0 parceiros.|"
-    "¤ usa cookies para melhorar sua experiência.|Продолжая, вы соглашаетесь с условиями ¤ и 0 партнёров.|Todos os direitos reservados.|Feito com ¤|Mais de ¤|Assine o boletim de ¤|"
-    "Главная|Рубрики|Подписка|О нас|Архив|Видео|Поиск|Помощь|Контакты|Войти|Принять|Отклонить|Настроить|Реклама|Популярное|Читайте также|Поделиться|Наверх|Условия|Конфиденциальность|"
-    "Все права защищены.|Работает на ¤|Ещё на ¤|Подпишитесь на рассылку ¤|¤ использует файлы cookie."
-).split("|")
-
 _STYLE = re.compile(r"\s*(#{1,6}\s|[-*•・+»›]\s|\d{1,3}[.)]\s|>\s)?\s*(.*)", re.S)
 _BOLD = re.compile(r"^\*\*(.+)\*\*$|^__(.+)__$")
 _LINK = re.compile(r"^\[([^\]]*)\]\(([^)\s]*)\)$")
@@ -53,7 +33,6 @@ _DIGITS = re.compile(r"\d+")
 _NAME = re.compile(r"[A-ZÀ-Þ][A-Za-zÀ-ÿ’']*(?: [A-ZÀ-Þ][A-Za-zÀ-ÿ’']*){0,3}")
 _PREFIX = re.compile(r"^([^:：]{2,30} ?[:：])\s+\S")
 _CJK = re.compile("[ぁ-ヿ一-鿿]")
-_ENDS = re.compile(r"[.!?。！？][”»\"’」)]*$")
 _QUOTED = re.compile("[“”«»„「」`]")
 
 
@@ -61,18 +40,16 @@ _STOPS = (".", "!", "?", "。", "！", "？")
 _MARKS = ("- ", "* ", "• ", "・", "+ ")
 
 
-# fixed values: headings of lists of other articles, also where they stand as titles
-LIST_HEADS = frozenset((
-    "Related articles|You may also like|Most read|Trending now|Popular this week|Recommended for you|関連記事|あわせて読みたい|人気記事ランキング|Meistgelesen|Ähnliche Artikel|"
-    "Les plus lus|À lire aussi|Mais lidas|Leia também|Популярное|Читайте также"
-).split("|"))
-
-
 def candidate(line: str) -> bool:
     """Whether a line can be furniture, by what costs next to nothing to see; quotations are not."""
     return bool(line) and not line.startswith("> ")
 
 
+def _ends(body: str) -> bool:
+    """Whether a line ends like a sentence, closing marks aside."""
+    return body.rstrip("”»\"’」)").endswith(_STOPS)
+
+
 def _running(line: str) -> bool:
     """Whether a line is a paragraph: as a node it counts whole, not sentence by sentence."""
     return line.count("。") > 2 or line.count(". ") > 2
@@ -82,8 +59,6 @@ def _running(line: str) -> bool:
 KIND_BITS = {"p": 0, "li": 2, "h": 4, "#": 6}
 #: The bit of nodes that are links; they are learnt apart from plain text, by all hosts too.
 LINK_BIT = 8
-#: Long lines of a page that tell its content from that of others.
-PRINTS = 8
 
 
 def node_id(text: str, kind: str = "p") -> int:
@@ -109,21 +84,30 @@ def keys(segment: str) -> list[str]:
         first = m.group().find(" ") + 1
         if first and m.start() == 0:  # the first word may be capital for its place only
             out.append(seg[:first] + "¤" + seg[m.end() :])
-    m = _PREFIX.match(seg)
+    m = _PREFIX.match(seg) if ":" in seg or "：" in seg else None
     if m:
         out.append(m.group(1) + " ¤¤")
     return out
 
 
+#: What garbled text holds, of the cheapest kind to look for.
+_MAYBE_GARBLED = re.compile(f"[\x80-\xff‚ƒ„…†‡ˆ‰‹›€ŒœŠš™Ѐ-ӿ─-◿｡-ﾟ&{mojibake._ideographs({0, 2})}]")
+
+
+def quick(line: str) -> str:
+    """A line with the usual wrong decodings undone."""
+    return line if line.isascii() or _MAYBE_GARBLED.search(line) is None else mojibake.quick(line)
+
+
 def parse(line: str) -> tuple[str, str, str]:
     """Presentation, body and link target of a line."""
     m = _STYLE.match(line)
     mark, body = (m.group(1) or "").strip(), m.group(2).strip()
     kind = "#" if mark in ("#", "##") else "h" if mark[:1] == "#" else ">" if mark == ">" else "li" if mark else "p"
-    bold = _BOLD.match(body)
+    bold = _BOLD.match(body) if body.startswith(("**", "__")) else None
     if bold:
         body, kind = (bold.group(1) or bold.group(2)).strip(), "h" if kind == "p" else kind
-    link = _LINK.match(body)
+    link = _LINK.match(body) if body.startswith("[") else None
     return (kind, link.group(1).strip(), link.group(2)) if link else (kind, body, "")
 
 
@@ -134,17 +118,21 @@ def segments(body: str) -> list[str]:
 _MEMO: dict[str, tuple] = {}
 
 
-def _line_nodes(line: str) -> tuple[int, ...]:
-    """Ids of the candidate nodes of a line; lines of furniture recur, so they are kept."""
+def line_nodes(line: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """Ids of the nodes of a line as they stand, and of those with a name masked; lines of furniture recur, so they are kept."""
     got = _MEMO.get(line)
     if got is None:
-        kind, body, target = parse(mojibake.quick(line))
-        ids: list[int] = []
-        # quotations are no candidates, and titles, which recur in the articles of a site, are known by LIST_HEADS only
-        if body and kind not in ("#", ">"):
+        kind, body, target = parse(quick(line))
+        own: list[int] = []
+        masked: list[int] = []
+        if body and kind != ">":
+            bit = LINK_BIT * bool(target)
             for seg in [body] if _running(body) else segments(body):
-                ids.extend(node_id(k, kind) | LINK_BIT * bool(target) for k in keys(seg))
-        got = tuple(ids)
+                first, *rest = keys(seg)
+                own.append(node_id(first, kind) | bit)
+                if kind != "#":
+                    masked.extend(node_id(k) | bit for k in rest)
+        got = tuple(own), tuple(masked)
         if len(line) <= MAX_LINE:
             if len(_MEMO) > 100_000:
                 _MEMO.clear()
@@ -152,66 +140,105 @@ def _line_nodes(line: str) -> tuple[int, ...]:
     return got
 
 
-def page_nodes(text: str | None) -> tuple[int, list[int], list[int], list[int]]:
-    """A fingerprint of a page's content (of its longest line), ids and lengths of its longest lines, and its candidate nodes."""
+#: A line from this length on tells a page's content.
+LONG = 60
+
+
+def page_nodes(text: str | None) -> tuple[int, list[int], list[int]]:
+    """A fingerprint of a page's content, its nodes, and its nodes with a name masked.
+
+    The fingerprint is the least hash of its long lines (of all lines, if it has none), so that
+    copies with small edits mostly have the same one.
+    """
     if not text:
-        return 0, [], [], []
-    lines = text.split("\n")
-    out: set[int] = set()
+        return 0, [], []
+    own: set[int] = set()
+    masked: set[int] = set()
+    least = shortest = None
     fenced = False
-    for line in lines:
+    for line in text.split("\n"):
         if line.startswith("```"):
             fenced = not fenced
-        elif not fenced and candidate(line):
-            out.update(_line_nodes(line))
-    longest = sorted(set(lines), key=lambda x: (-len(x), x))[:PRINTS]
-    return node_id(max(lines, key=len)), [node_id(x) for x in longest], [len(x) for x in longest], list(out)
+            continue
+        if line:
+            h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))
+            if len(line) >= LONG:
+                least = h if least is None or h < least else least
+            shortest = h if shortest is None or h < shortest else shortest
+        if not fenced and candidate(line):
+            a, b = line_nodes(line)
+            own.update(a)
+            masked.update(b)
+    h = least if least is not None else shortest or 0
+    return h - (1 << 63), list(own), list(masked)
 
 
-SEED = frozenset(node_id(k) for k in FURNITURE)
+_NONE: frozenset = frozenset()
 
 
 class Tree:
-    """The nodes of low importance, with the lines already judged by them."""
+    """The nodes of low importance over all hosts, with the lines already judged by them."""
 
-    def __init__(self, nodes) -> None:
+    def __init__(self, nodes=()) -> None:
         self.nodes = frozenset(nodes)
         self._judged: dict[str, tuple[int, bool, bool]] = {}
-        self._own: frozenset = frozenset()  # nodes of low importance on the host of the line being judged
+        self._own: frozenset = _NONE  # nodes of low importance on the host of the line being judged,
+        self._sure: frozenset = _NONE  # and those of so low importance that sentences need no neighbour
         self._bits = self._link = 0
 
-    def _known(self, seg: str, learned: bool = True) -> bool:
-        return any(h in SEED or learned and (h | self._link in self.nodes or h | self._link | self._bits in self._own) for h in map(node_id, keys(seg)))
-
-    def _made_of(self, seg: str, learned: bool = True) -> bool:
-        """Whether a segment is a node of low importance, or a few such side by side."""
-        if self._known(seg, learned):
-            return True
-        words = seg.split()
+    def _known(self, seg: str) -> int:
+        """2 for a node of very low importance or a part of a sentence, 1 for one of low importance, else 0."""
+        first, *masked = keys(seg)
+        h = node_id(first) | self._link
+        if h | self._bits in self._sure:
+            return 2
+        if h | self._bits in self._own or self._bits != KIND_BITS["#"] and (h in self.nodes or any(node_id(k) | self._link in self.nodes for k in masked)):
+            return 1 if h & 1 else 2
+        return 0
+
+    def _made_of(self, seg: str) -> int:
+        """As above, also for a segment of a few such nodes side by side."""
+        known = self._known(seg)
+        if known:
+            return known
+        words = () if seg.endswith(_STOPS) else seg.split()
         if 2 <= len(words) <= 8:
             for i in range(1, len(words)):
-                if self._known(" ".join(words[:i]), learned):
+                if self._known(" ".join(words[:i])):
                     rest = " ".join(words[i:])
-                    if self._known(rest, learned) or len(words) - i > 1 and self._made_of(rest, learned):
-                        return True
-        return False
+                    known = self._known(rest) or len(words) - i > 1 and self._made_of(rest)
+                    if known:
+                        return known
+        return 0
 
     def _furniture(self, body: str) -> int:
         """2 for furniture, 1 for a sentence that is furniture beside other furniture, else 0."""
         parts = segments(body)
-        ends = bool(_ENDS.search(body))
-        if all(self._made_of(p) for p in parts) or _running(body) and self._known(body):
-            if ends and not all(self._made_of(p, False) for p in parts):
+        ends = _ends(body)
+        known = 2
+        for part in parts:
+            known = min(known, self._made_of(part))
+            if not known:
+                break
+        if known and len(parts) > 1:
+            known = 2  # several nodes side by side
+        if not known and _running(body):
+            known = self._known(body)
+        if known:
+            if ends and known < 2:
                 return 0 if _QUOTED.search(body) else 1
             return 2
+        if ends or len(parts) < 2:
+            return 0
         path = _BREAD.split(body)
         # a path: known nodes, then the name of the page
-        return 2 * (len(path) >= 2 and not ends and len(path[-1]) <= 60 and all(self._made_of(p.strip()) for p in path[:-1] if p.strip()))
+        return 2 * (len(path) >= 2 and len(path[-1]) <= 60 and all(self._made_of(p.strip()) for p in path[:-1] if p.strip()))
 
-    def judge(self, raw: str, own: frozenset = frozenset()) -> tuple[int, bool, bool]:
-        """As above, whether the line may belong to a list of links, and whether it is one.
+    def judge(self, raw: str, own: frozenset = _NONE, sure: frozenset = _NONE) -> tuple[int, bool, bool]:
+        """As above, whether the line may belong to a list of links, and whether it ends like a sentence.
 
-        ``own`` has the nodes of low importance on the line's host, with the bits of their kind.
+        ``own`` has the nodes of low importance on the line's host, with the bits of their kind,
+        ``sure`` those of very low importance.
         """
         got = self._judged.get(raw)
         if got is None:
@@ -220,22 +247,22 @@ class Tree:
                 if len(self._judged) > 100_000:
                     self._judged.clear()
                 self._judged[raw] = got
-        if got[0] < 2 and own and not own.isdisjoint(_line_nodes(raw)):
-            self._own = own
+        if got[0] < 2 and own and not own.isdisjoint(line_nodes(raw)[0]):
+            self._own, self._sure = own, sure
             try:
                 return self._judge(raw)
             finally:
-                self._own = frozenset()
+                self._own = self._sure = _NONE
         return got
 
     def _judge(self, raw: str) -> tuple[int, bool, bool]:
-        kind, body, target = parse(mojibake.quick(raw))
+        kind, body, target = parse(quick(raw))
         self._bits = KIND_BITS.get(kind, 0)
         self._link = LINK_BIT * bool(target)
-        ends = bool(_ENDS.search(body))
-        if kind == "#":  # titles of the article recur on a site, too
-            return 2 * (body in LIST_HEADS), False, ends
+        ends = _ends(body)
         hit = 0 if kind == ">" or not body else self._furniture(body)
+        if kind == "#":
+            return hit, False, ends
         if kind == "li" and ends:
             hit = min(hit, 1)
         if hit and (residue.scan(body)["stand_in"] or residue.unfilled(body)):
@@ -256,7 +283,7 @@ def _own_link(raw: str, host: int | None) -> bool:
     """Whether a line is one link to another page of its own host."""
     if "](" not in raw:
         return False
-    target = parse(mojibake.quick(raw))[2]
+    target = parse(quick(raw))[2]
     m = _HOST.match(target)
     if m:
         return host is not None and host_hash(m.group(1).lower()) == host
@@ -286,8 +313,8 @@ def _link_runs(lines: list[str], taken: set[int], code: set[int], host: int | No
     return out
 
 
-def furniture_lines(text: str | None, tree: Tree, own: frozenset = frozenset(), host: int | None = None) -> list[int]:
-    """Numbers, from 1, of the lines of a page that are furniture, by the tree of all hosts and the ``own`` nodes of its host.
+def furniture_lines(text: str | None, tree: Tree, own: frozenset = _NONE, sure: frozenset = _NONE, host: int | None = None) -> list[int]:
+    """Numbers, from 1, of the lines of a page that are furniture, by the ``own`` and ``sure`` nodes of its host and the tree of all hosts.
 
     A page that holds nothing else, or else only an error, filler or template text, has no
     article, and nothing of it is furniture.  A null, empty or blank text has no lines.
@@ -308,7 +335,7 @@ def furniture_lines(text: str | None, tree: Tree, own: frozenset = frozenset(),
             if fenced:
                 code.add(number)
         elif not raw.isspace():
-            hit, item, ends = tree.judge(raw, own)
+            hit, item, ends = tree.judge(raw, own, sure)
             if hit == 1:
                 beside.append(number)
                 listing = False

@@ -22,7 +22,8 @@ def test_long_title_and_many_tags(spark, archive):
 def test_long_pages(spark, archive):
     body = "\n\n".join(SENTENCE * 4 + str(i) for i in range(4000))
     page = f"Home | Search | Contact\n{body}\nBack to top"
-    d = archive(page_fetch=[{"page_fetch_id": "p", "url": "https://a.test/", "text": page}] * 4, resource_revision=[{"resource_revision_id": "r", "title": None, "content_markdown": page + " {{ title }}"}, {"resource_revision_id": "s", "title": None, "content_markdown": page + "\ncafÃ©"}])
+    other = [{"page_fetch_id": f"o{i}", "url": f"https://h{i % 5}.test/", "text": f"Home | Search | Contact\n{SENTENCE.replace('valve', 'x' * i)}{SENTENCE * i}\nBack to top"} for i in range(9)]
+    d = archive(page_fetch=[{"page_fetch_id": "p", "url": "https://a.test/", "text": page}] * 4 + other, resource_revision=[{"resource_revision_id": "r", "title": None, "content_markdown": page + " {{ title }}"}, {"resource_revision_id": "s", "title": None, "content_markdown": page + "\ncafÃ©"}])
     lines = page.count("\n") + 1
     found = {(r["record_id"], r["line_no"]) for r in main_content.p2_found(spark, d).collect()}
     assert {("p", 1), ("p", lines), ("r", 1), ("s", 1), ("s", lines)} <= found and len([x for x in found if x[0] == "p"]) == 2

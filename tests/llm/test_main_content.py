@@ -13,8 +13,21 @@ def _article(i: int) -> str:
     return f"The {some(9)}, and nobody minded.\n\nIt {some(12)}, said the report."
 
 
-def _lines(text: str, tree=()) -> list[int]:
-    return furniture.furniture_lines(text, furniture.Tree(tree))
+#: Lines of the pages that a tree has learnt from; nothing is known in advance.
+LEARNT = (
+    NAV, "Home / Topics", "We use cookies to improve your visit.", "Got it", "Reject", "Advertisement", "Most read", "© 2020 Zeolu Weekly. All rights reserved.", "Back to top", "Search", "Contact", "À propos", "Vidéos",
+    "Terms of use", "Privacy", "## Related articles", "## Contact us today",
+)
+
+
+def _taught(lines=LEARNT) -> furniture.Tree:
+    own, masked = zip(*(furniture.line_nodes(line) for line in lines))
+    titles = {n & ~6 for ids in own for n in ids if n & 6 == 6}
+    return furniture.Tree({n & ~6 for ids in own for n in ids} - titles | {n for ids in masked for n in ids})
+
+
+def _lines(text: str, lines=LEARNT, own=()) -> list[int]:
+    return furniture.furniture_lines(text, _taught(lines), frozenset(own), frozenset(own))
 
 
 def test_parts_of_a_page():
@@ -24,6 +37,11 @@ def test_parts_of_a_page():
     assert got == {NAV, "Home / Topics / Zeolu", "We use cookies to improve your visit.", "Got it Reject", "Advertisement", "Most read", "1. Some title", "2. [Other title](/a/x)", "© 2020 Zeolu Weekly. All rights reserved.", "Back to top"}
 
 
+def test_nothing_is_known_in_advance():
+    page = f"{NAV}\nHome / Topics\nWe use cookies to improve your visit.\n{_article(1)}\nMost read\n1. Some title\nBack to top"
+    assert furniture.furniture_lines(page, furniture.Tree()) == []
+
+
 def test_pages_without_article_have_no_cases():
     for page in (f"{NAV}\n404 Not Found\nThe link may be out of date.", NAV, f"{NAV}\n{{{{ title }}}}\nBy ${{author}}", "", None, "  \n ", f"{NAV}\nLorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor"):
         assert _lines(page) == []
@@ -76,9 +94,35 @@ def test_links_of_an_article_stay():
 def test_long_lines_headings_and_questions_are_judged():
     menu = " | ".join(["About us", "Archive", "Contact", "Help", "Most read", "Terms of use", "Privacy"] * 5)
     assert len(menu) > 240
-    page = f"{menu}\n{_article(6)}\n\n## Related articles\n- Why is it so?\n- What a day!\n- The last one"
+    page = f"{menu}\n{_article(6)}\n\nMost read\n- Why is it so?\n- What a day!\n- The last one"
     assert _lines(page) == [1, 6, 7, 8, 9]
+    # titles are learnt by their own host only
+    title = furniture.line_nodes("## Related articles")[0]
+    page = page.replace("\nMost read\n", "\n## Related articles\n")
+    assert _lines(page) == [1] and _lines(page, own=title)[:2] == [1, 6]
     notice = "We of Zibu keep some of what you tell us. It is kept in a box. The box is ours. You may ask for the box. " * 2
-    learnt = furniture.page_nodes(f"{notice}\n{_article(7)}")[3]
-    tree = furniture.Tree(set(learnt) & set(furniture.page_nodes(f"{notice}\n{_article(8)}")[3]))
-    assert furniture.furniture_lines(f"{NAV}\n{notice}\n\n{_article(9)}", tree) == [1, 2]
+    learnt = furniture.page_nodes(f"{notice}\n{_article(7)}")[1]
+    both = set(learnt) & set(furniture.page_nodes(f"{notice}\n{_article(8)}")[1])
+    assert _lines(f"{NAV}\n{notice}\n\n{_article(9)}", own=both) == [1, 2]
+
+
+def test_entropy_within_a_host(spark, archive):
+    # a menu on one page in six of one host of sixty pages; a line of two of its pages stays
+    page = lambda i: (["Ofertas Zibu | Ludoteca Zibu"] if i % 6 == 0 else []) + [_article(i)] + (["Ocho tazas"] if i in (1, 2) else [])
+    pages = [{"page_fetch_id": f"z{i}", "url": f"https://zibu.test/{i}", "text": "\n".join(page(i))} for i in range(60)]
+    d = archive(page_fetch=pages)
+    got = {(r["record_id"], r["line_no"]) for r in main_content.p2_found(spark, d).collect()}
+    assert got == {(f"z{i}", 1) for i in range(0, 60, 6)}
+    texts = main_content.pages(spark, d)
+    nodes, hosts = main_content.learn(spark, d)
+    joined = main_content.judged(texts, nodes, hosts, most_held=0).where("size(lines) > 0")  # the same when the nodes of hosts are joined
+    assert {(r["record_id"], n) for r in joined.collect() for n in r["lines"]} == got
+
+
+def test_copies_with_small_edits_teach_nothing(spark, archive):
+    words = _article(0).split(" ")
+    edited = lambda i: " ".join([*words[:5], f"x{i}", *words[6:]])
+    rest = "\n".join(f"A line of the page that holds more than sixty characters, number {n} of all of them" for n in range(12))
+    pages = [{"page_fetch_id": f"c{i}", "url": "https://one.test/", "text": f"Unheard of line\n{edited(i)}\n{rest}"} for i in range(40)]
+    pages += [{"page_fetch_id": f"p{i}", "url": "https://one.test/", "text": _article(i)} for i in range(1, 40)]
+    assert main_content.p2_found(spark, archive(page_fetch=pages)).count() == 0
