@@ -91,7 +91,7 @@ def keys(segment: str) -> list[str]:
 
 
 #: What garbled text holds, of the cheapest kind to look for.
-_MAYBE_GARBLED = re.compile(f"[\x80-\xff‚ƒ„…†‡ˆ‰‹›€ŒœŠš™Ѐ-ӿ─-◿｡-ﾟ&{mojibake._ideographs({0, 2})}]")
+_MAYBE_GARBLED = re.compile(f"[\x80-\xa9\xac-\xb6\xb8-\xba\xbc-\xbfÂ-ÅÈÊ-ÞâãðñŒŠŽžƒˆ‰†‡‹›€™Ѐ-ӿͰ-Ͽ─-◿｡-ﾟ√∂≈∞Ω&⌐ⁿ{mojibake._ideographs({0, 2})}]")
 
 
 def quick(line: str) -> str:
@@ -213,17 +213,17 @@ class Tree:
 
     def _furniture(self, body: str) -> int:
         """2 for furniture, 1 for a sentence that is furniture beside other furniture, else 0."""
-        parts = segments(body)
         ends = _ends(body)
-        known = 2
-        for part in parts:
-            known = min(known, self._made_of(part))
-            if not known:
-                break
-        if known and len(parts) > 1:
-            known = 2  # several nodes side by side
-        if not known and _running(body):
-            known = self._known(body)
+        if _running(body):
+            parts, known = [body], self._known(body)
+        else:
+            parts, known = segments(body), 2
+            for part in parts:
+                known = min(known, self._made_of(part))
+                if not known:
+                    break
+            if known and len(parts) > 1:
+                known = 2  # several nodes side by side
         if known:
             if ends and known < 2:
                 return 0 if _QUOTED.search(body) else 1
