@@ -1,17 +1,18 @@
 """Problem 8: packing by shortest-pack-first over the histogram of lengths.
 
 The driver sees only the histogram, which has at most as many entries as the capacity has
-tokens.  It places lengths, longest first, into the packs with the least room that still fit,
-all packs of one pattern at once, and hands back rules: for a length, a run of ranks and the
-packs that take them.  The rows find their pack by their rank among those of equal length,
-and ranks are counted per partition first, so a length that a third of all rows share is
-ranked by all tasks.
+tokens.  It places lengths, longest first, each into the shortest packs, those with the most
+room, or into new ones if even these have too little.  Packs of one pattern (the lengths in
+them) are counted, never listed: a step moves a number of packs from one pattern to the next
+and hands back a rule: for a length, a run of ranks and the packs that take them.  The rows
+find their pack by their rank among those of equal length, and ranks are counted per salt
+first, so a length that a third of all rows share is ranked by all tasks.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
-from collections import defaultdict
+from bisect import bisect_right, insort
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -38,57 +39,61 @@ class Rule(NamedTuple):
     packs: int
 
 
-def plan(histogram: dict[int, int], capacity: int) -> tuple[list[Rule], int]:
-    """Rules that place every length of a histogram, and the number of packs.
+#: Lengths in a pack, longest first, each with how often it is in it.
+Pattern = tuple[tuple[int, int], ...]
+
+
+def plan(histogram: dict[int, int], capacity: int) -> tuple[list[Rule], Counter[Pattern]]:
+    """Rules that place every length of a histogram, and how many packs have each pattern.
 
     Lengths must lie between 1 and the capacity.  An empty histogram needs no packs.
     """
-    # runs of packs with equal room: room -> [first pack, number of packs]
-    open_runs: dict[int, list[list[int]]] = {}
+    open_runs: dict[int, list[tuple[int, int, Pattern]]] = {}  # room -> first pack, number of packs, pattern
     rooms: list[int] = []  # the keys, sorted
+    full: Counter[Pattern] = Counter()
     rules: list[Rule] = []
     packs = 0
 
-    def give_back(room: int, first: int, number: int) -> None:
-        if room and number:
-            if room not in open_runs:
-                open_runs[room] = []
-                insort(rooms, room)
-            open_runs[room].append([first, number])
+    def put(room: int, first: int, number: int, pattern: Pattern) -> None:
+        if not room:
+            full[pattern] += number
+            return
+        if room not in open_runs:
+            open_runs[room] = []
+            insort(rooms, room)
+        open_runs[room].append((first, number, pattern))
 
     for length in sorted(histogram, reverse=True):
         left, rank = histogram[length], 0
         if left < 0 or not 1 <= length <= capacity:
             raise ValueError(f"length {length} of {left} pieces for a capacity of {capacity}")
-        filled: list[tuple[int, int, int]] = []
         while left:
-            at = bisect_left(rooms, length)
-            if at == len(rooms):
-                break
-            room = rooms[at]  # the shortest room that fits
-            first, number = open_runs[room].pop()
-            each = min(room // length, left)
+            if rooms and rooms[-1] >= length:
+                room = rooms[-1]  # the shortest packs
+                first, number, pattern = open_runs[room].pop()
+                if not open_runs[room]:
+                    del open_runs[room]
+                    rooms.pop()
+                # as many pieces as keep them the shortest, or as there are
+                each = (room - (rooms[-1] if rooms else 0)) // length
+                each = max(1, min(each, room // length, left // number))
+            else:
+                room, pattern = capacity, ()
+                each = min(left, capacity // length)  # a new pack stays the shortest until it is full
+                first, number = packs, left // each
+                packs += number
             used = min(number, left // each)
             rules.append(Rule(length, rank, each, first, used))
             rank += used * each
             left -= used * each
-            filled.append((room - each * length, first, used))
+            last = (*pattern[:-1], (length, pattern[-1][1] + each)) if pattern and pattern[-1][0] == length else (*pattern, (length, each))
+            put(room - each * length, first, used, last)
             if used < number:
-                open_runs[room].append([first + used, number - used])
-            elif not open_runs[room]:
-                del open_runs[room]
-                del rooms[at]
-        while left:
-            each = min(capacity // length, left)
-            used = left // each
-            rules.append(Rule(length, rank, each, packs, used))
-            filled.append((capacity - each * length, packs, used))
-            rank += used * each
-            left -= used * each
-            packs += used
-        for run in filled:
-            give_back(*run)
-    return rules, packs
+                put(room, first + used, number - used, pattern)
+    for runs in open_runs.values():
+        for _, number, pattern in runs:
+            full[pattern] += number
+    return rules, full
 
 
 def sizes(docs: DataFrame, vocabulary: str = VOCABULARY, folder: str | None = None) -> DataFrame:
@@ -161,10 +166,17 @@ def _by_length(container: str, rules: list[Rule]) -> dict:
     return {k: tuple(list(c) for c in zip(*sorted(v))) for k, v in out.items()}
 
 
+#: The most containers; their table is small and fixed.
+MOST_CONTAINERS = 1000
+
+
 def capacities(spark: SparkSession, sf_dir: str) -> dict[str, int]:
-    """The containers of pack_capacity, a small fixed table; those without room are left out."""
-    rows = runtime.table(spark, sf_dir, "pack_capacity").select("container", "capacity_tokens").distinct().limit(1000).collect()
-    return {r["container"]: r["capacity_tokens"] for r in rows if r["container"] is not None and (r["capacity_tokens"] or 0) > 0}
+    """The containers of pack_capacity; those without room are left out, and more than MOST_CONTAINERS are an error."""
+    table = runtime.table(spark, sf_dir, "pack_capacity").where("container is not null and capacity_tokens > 0")
+    rows = table.groupBy("container").agg(F.max("capacity_tokens").alias("n")).limit(MOST_CONTAINERS + 1).collect()
+    if len(rows) > MOST_CONTAINERS:
+        raise ValueError(f"more than {MOST_CONTAINERS} containers")
+    return {r["container"]: r["n"] for r in rows}
 
 
 def p8_packs(spark: SparkSession, sf_dir: str) -> DataFrame:

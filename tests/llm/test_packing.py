@@ -14,11 +14,13 @@ from lodestack.llm import packing
 @given(st.integers(1, 60), st.dictionaries(st.integers(1, 60), st.integers(0, 40), max_size=20))
 def test_plan_places_everything(capacity, histogram):
     histogram = {k: v for k, v in histogram.items() if k <= capacity}
-    rules, packs = packing.plan(histogram, capacity)
-    fill, ranks = Counter(), defaultdict(list)
+    rules, patterns = packing.plan(histogram, capacity)
+    packs = sum(patterns.values())
+    fill, ranks, held = Counter(), defaultdict(list), defaultdict(Counter)
     for r in rules:
         for p in range(r.packs):
             fill[r.pack + p] += r.each * r.length
+            held[r.pack + p][r.length] += r.each
         ranks[r.length].append((r.rank, r.each * r.packs))
     assert set(fill) == set(range(packs)) and all(v <= capacity for v in fill.values())
     for length, n in histogram.items():
@@ -27,6 +29,7 @@ def test_plan_places_everything(capacity, histogram):
             assert start == at
             at += size
         assert at == n
+    assert Counter(tuple(sorted(x.items(), reverse=True)) for x in held.values()) == patterns
     total = sum(k * v for k, v in histogram.items())
     assert packs <= 2 * total / capacity + 1
 
@@ -34,14 +37,20 @@ def test_plan_places_everything(capacity, histogram):
 def test_plan_wastes_little():
     r = random.Random(2)
     h = Counter(min(2048, int(r.lognormvariate(5.5, 1)) + 1) for _ in range(20000))
-    _, packs = packing.plan(h, 2048)
-    assert sum(k * v for k, v in h.items()) / (packs * 2048) > 0.99
+    _, patterns = packing.plan(h, 2048)
+    assert sum(k * v for k, v in h.items()) / (sum(patterns.values()) * 2048) > 0.99
     with pytest.raises(ValueError):
         packing.plan({0: 1}, 5)
     with pytest.raises(ValueError):
         packing.plan({6: 1}, 5)
 
 
+def test_shortest_pack_first():
+    # the 2 would fill the pack of 8, but that of 5 has more room
+    assert packing.plan({8: 1, 5: 1, 2: 1}, 10)[1] == {((8, 1),): 1, ((5, 1), (2, 1)): 1}
+    assert packing.plan({5: 3}, 10)[1] == {((5, 2),): 1, ((5, 1),): 1} and packing.plan({}, 10) == ([], {})
+
+
 def test_packed_rows(spark):
     r = random.Random(1)
     sizes = [(i, 100 if i % 3 == 0 else r.randint(0, 700)) for i in range(600)] + [(600, None), (601, 256), (602, 512)]  # a third share one length
