@@ -9,6 +9,8 @@ wherever it stands, save in code.  Nothing here needs Spark.
 from __future__ import annotations
 
 import re
+from http import HTTPStatus
+from itertools import product
 
 import ahocorasick
 
@@ -21,7 +23,7 @@ ERROR_PHRASES = (
     "this page has moved or no longer exists", "the address you requested does not exist on", "the link may be out of date",
     "check the spelling or return to the home page", "our engineers have been told about it", "please try again in", "please try again later", "minutes",
     "you do not have permission to view this resource", "if the trouble persists, contact the webmaster of", "took too long to answer",
-    "the server at", "request id:", "reference", "node", "the requested url was not found on this server",
+    "the server at", "request id:", "reference", "node", "was not found on this server",
     "seite nicht gefunden", "zugriff verweigert", "kennung", "dieser dienst ist vorübergehend nicht erreichbar", "interner serverfehler",
     "page introuvable", "accès refusé", "référence", "service momentanément indisponible", "erreur interne du serveur",
     "página não encontrada", "acesso negado", "serviço temporariamente indisponível", "erro interno do servidor",
@@ -37,6 +39,32 @@ SCRIPT_PHRASES = (
     "bitte aktivieren sie javascript, um", "zu nutzen", "veuillez activer javascript pour afficher", "ative o javascript para continuar em",
     "включите javascript, чтобы открыть", "javascriptを有効にしてからご覧ください", "ご利用のブラウザではスクリプトが無効になっています",
 )
+# What error pages say of what, by language: every subject goes with every statement.
+ERROR_SAYINGS = (
+    ("the page|this page|page|the requested page|the requested url|this url|the file|the document|this link|this article|this content|the content|the resource|the requested resource|that page|the page you are looking for|the page you requested|the page you were looking for",
+     "not found|was not found|could not be found|cannot be found|can't be found|can’t be found|does not exist|doesn't exist|doesn’t exist|no longer exists|is no longer available|is not available|isn't available|isn’t available|has been removed|has been deleted|may have been moved|might have been removed|has expired|is unavailable"),
+    ("die seite|diese seite|seite|die angeforderte seite|die gewünschte seite|dieser inhalt|dieser artikel|die url", "nicht gefunden|wurde nicht gefunden|konnte nicht gefunden werden|existiert nicht|existiert nicht mehr|ist nicht verfügbar|ist nicht mehr verfügbar|wurde gelöscht|wurde verschoben"),
+    ("la page|cette page|page|la page demandée|la page que vous recherchez|ce contenu|cet article", "introuvable|est introuvable|n'existe pas|n’existe pas|n'existe plus|n’existe plus|n'a pas été trouvée|n’a pas été trouvée|n'est plus disponible|n’est plus disponible|a été supprimée|non trouvée"),
+    ("a página|esta página|página|a página solicitada|a página que você procura|este conteúdo|este artigo", "não encontrada|não foi encontrada|não existe|não existe mais|não está disponível|não está mais disponível|foi removida|foi excluída"),
+    ("страница|эта страница|запрошенная страница|запрашиваемая страница|статья|материал", "не найдена|не найден|не существует|больше не существует|недоступна|недоступен|удалена|удален|была удалена"),
+)
+JAPANESE_SAYINGS = ("ページが|ページは|記事が|記事は|ファイルが|コンテンツは", "見つかりません|見つかりませんでした|存在しません|削除されました|削除されています|利用できません|表示できません")
+# What pages ask for before they show anything: every verb goes with every object.
+SCRIPT_SAYINGS = (
+    ("enable|turn on|activate|allow|switch on|requires|needs|without", "javascript|javascript and cookies|cookies and javascript|scripts|scripts and cookies|cookies"),
+    ("aktivieren sie|aktiviere|bitte aktivieren sie|benötigt|erfordert", "javascript|javascript und cookies|cookies"), ("activez|activer|veuillez activer|nécessite", "javascript|javascript et les cookies|les cookies"),
+    ("ative|habilite|ativar|habilitar|requer", "javascript|o javascript|javascript e cookies|os cookies"), ("включите|разрешите|требуется", "javascript|cookie|javascript и cookie"),
+    ("javascript", "is disabled|is not enabled|is required|must be enabled|ist deaktiviert|est désactivé|está desativado|отключен|が無効です|を有効にしてください|が必要です"),
+)
+BROWSER_CHECKS = (
+    "just a moment", "checking your browser", "checking if the site connection is secure", "verifying you are human", "verify you are human", "verify that you are human", "are you a robot", "i'm not a robot", "attention required", "ddos protection by", "performance & security by cloudflare",
+    "unusual traffic from your computer network", "complete the security check", "complete the captcha", "needs to review the security of your connection", "please wait while we verify", "your browser will redirect", "einen moment bitte", "ich bin kein roboter", "un instant", "um momento", "подождите", "проверка браузера", "しばらくお待ちください",
+)
+# Words around the above that cover a text, but alone prove nothing.
+CONNECTING = (
+    "the requested url", "please", "before proceeding", "before accessing", "please wait", "to continue", "to view this page", "to view this site", "to use this site", "to run this app", "in your browser", "in your browser settings", "and reload", "and reload the page", "and try again", "this page", "this site", "this website", "the site", "you need to", "you must", "sorry", "oops", "we are sorry", "we're sorry", "error", "http status", "http error", "status", "type status report", "message",
+    "go back", "return to the home page", "go to homepage", "home page", "try searching", "contact us", "cloudflare", "ray id", "your ip", "cookies", "back to home", "the server", "on this server", "bitte", "zurück zur startseite", "es tut uns leid", "désolé", "retour à l'accueil", "retour à l’accueil", "por favor", "desculpe", "voltar ao início", "извините", "на главную", "пожалуйста", "申し訳ありません", "申し訳ございません", "トップページへ戻る", "お探しの", "指定された",
+)
 #: Phrases above that are common words: they cover a text, but alone prove nothing.
 WEAK_PHRASES = frozenset((
     "reference", "node", "minutes", "gone", "forbidden", "not found", "request id:", "kennung", "référence", "код", "番号", "the server at", "took too long to answer",
@@ -57,6 +85,32 @@ STAND_INS = (
     "hier überschrift eingeben", "ここに見出しを入力してください", "（本文をここに入れる）", "insert text here", "your text here", "add your text here", "text hier eingeben",
     "saisissez votre texte ici", "insira seu texto aqui", "введите текст здесь", "dear undefined", "dear null", "hello null",
 )
+
+
+def _statuses() -> list[str]:
+    """The ways in which servers write their error codes with the names of the standard."""
+    out = []
+    for st in HTTPStatus:
+        if st >= 400:
+            name = st.phrase.lower()
+            out += [f"{st.value} {name}", f"{st.value} - {name}", f"{st.value} – {name}", f"{st.value}: {name}", f"error {st.value}", f"{st.value} error", f"http {st.value}", f"http status {st.value}", f"http error {st.value}", f"fehler {st.value}", f"erreur {st.value}", f"erro {st.value}", f"ошибка {st.value}", f"エラー{st.value}", f"{st.value}エラー"]
+    return out
+
+
+def _sayings(pairs) -> list[str]:
+    return [f"{a} {b}" for subjects, said in pairs for a, b in product(subjects.split("|"), said.split("|"))]
+
+
+def phrases() -> list[tuple[str, str, bool]]:
+    """Kind, phrase and whether it is weak, of all phrases that cover error, script and filler texts."""
+    japanese = ["".join(x) for x in product(*(p.split("|") for p in JAPANESE_SAYINGS))]
+    out = [("error", w, w in WEAK_PHRASES) for w in (*ERROR_PHRASES, *_statuses(), *_sayings(ERROR_SAYINGS), *japanese)]
+    out += [("script", w, w in WEAK_PHRASES) for w in (*SCRIPT_PHRASES, *_sayings(SCRIPT_SAYINGS), *(x.replace("javascript ", "javascript") for x in _sayings(SCRIPT_SAYINGS[-1:])), *BROWSER_CHECKS)]
+    out += [("filler", w, w in WEAK_PHRASES) for w in FILLER_PHRASES]
+    known = {w for _, w, _ in out}
+    return out + [("connecting", w, True) for w in CONNECTING if w not in known]
+
+
 #: What the collector itself writes before the words of a page.
 REPORT_PREFIX = re.compile(
     r"^(?:low-confidence extraction:|upstream:|no extractable text found; browser fallback failed:|HTTP \d{3}(?:; page says:| -)|noscript:)\s*"
@@ -64,7 +118,7 @@ REPORT_PREFIX = re.compile(
 #: Reports of the collector, which repeat no page.
 REPORT = re.compile(
     r"(?:\[Errno -?\d+\].*|document exceeds \d+ byte safety limit|(?:low-confidence extraction: )?\d+ characters(?:; browser fallback failed: page closed)?|blocked URL: .*"
-    r"|HTML download truncated at \d+ bytes|unsupported content type: \S+|timed out|Remote end closed connection.*|certificate verify failed: .*|Timeout \d+ms exceeded)"
+    r"|HTTP(?: status| error)?:? \d{3}|(?:HTML )?(?:download|response|body|document) (?:truncated|too large|exceeds) .*|(?:request|read|connect(?:ion)?)? ?(?:timed out|timeout)(?: after .*)?|connection (?:refused|reset|aborted|closed).*|(?:SSL|TLS)[ :].*|(?:DNS|name resolution|could not resolve|name or service not known).*|unsupported content type: \S+|timed out|Remote end closed connection.*|certificate verify failed: .*|Timeout \d+ms exceeded)"
 )
 #: Share of a text that phrases must cover for it to be an error or filler text.
 MIN_COVERAGE = 0.5
@@ -84,15 +138,16 @@ _INLINE = re.compile(r"(`+)(?!`)(?:(?!\n[ \t]*\n).)+?(?<!`)\1(?!`)", re.S)
 _MATH = re.compile(r"\$\$.+?\$\$|\\\(.+?\\\)|\\\[.+?\\\]|\\[A-Za-z]+(?:\{[^\n{}]*\})*\{\{[^\n{}]*\}\}", re.S)
 _ESCAPES = re.compile(r"%[0-9A-Fa-f]{2}")
 _NEUTRAL = re.compile(
-    r"\b[\w-]+(?:\.[\w-]+)*\.(?:example|test|com|org|net)\b|\b(?=[0-9a-f]*\d)[0-9a-f]{5,}\b|\d+|[^\w]+", re.I
+    r"(?<!\S)/[\w./?&=%-]+|\b[\w-]+(?:\.[\w-]+)*\.(?:example|test|com|org|net)\b|\b(?=[0-9a-f]*\d)[0-9a-f]{5,}\b|\d+|[^\w]+", re.I
 )
 
 
 def _build() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for kind, words in (("error", ERROR_PHRASES), ("script", SCRIPT_PHRASES), ("filler", FILLER_PHRASES), ("stand-in", STAND_INS)):
-        for w in words:
-            a.add_word(w, (kind, len(w), w in WEAK_PHRASES))
+    for kind, w, weak in reversed(phrases()):  # the first of equal ones stays
+        a.add_word(w, (kind, len(w), weak))
+    for w in STAND_INS:
+        a.add_word(w, ("stand-in", len(w), False))
     for w in set(FILLER_WORDS):
         if len(w) > 3 and w not in a:  # the short ones are words of living languages, too
             a.add_word(w, ("lorem", len(w), True))
@@ -144,7 +199,8 @@ def scan(text: str) -> dict:
                 continue
         covered[start : end + 1] = b"\1" * n
         kind_of = "filler" if kind == "lorem" else kind
-        kinds[kind_of] = kinds.get(kind_of, 0) + n
+        if kind != "connecting":
+            kinds[kind_of] = kinds.get(kind_of, 0) + n
         lorem += kind == "lorem"
         strong = strong or not weak
     if not kinds:

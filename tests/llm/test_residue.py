@@ -72,3 +72,32 @@ def test_unfilled_places_of_any_content(shape):
 @pytest.mark.parametrize("text", ["{{ }}", "{%%}", "${}", "<% %>", "{{1, 2}, {3}}", "\\frac{{a}}{b}", "x^{{2}}"])
 def test_empty_or_mathematical_braces(text):
     assert residue.classify(f"{ARTICLE} So {text} is.") is None
+
+
+# ordinary pages of servers and sites, none of them from the archive
+ELSEWHERE = [
+    ("Enable JavaScript and cookies to continue", "script"), ("Just a moment...", "script"), ("Attention Required! | Cloudflare", "script"), ("Checking your browser before accessing example.com. Please wait...", "script"), ("Verify you are human", "script"),
+    ("JavaScript is disabled in your browser. Please enable JavaScript to continue.", "script"), ("Bitte aktivieren Sie JavaScript, um diese Seite zu nutzen", "script"), ("HTTP Status 404 – Not Found", "error"), ("403 Forbidden\nnginx/1.18.0", "error"), ("502 Bad Gateway", "error"),
+    ("Diese Seite existiert nicht mehr.", "error"), ("Cette page n’existe pas", "error"), ("Esta página não existe mais", "error"), ("Запрашиваемая страница не найдена", "error"), ("申し訳ありません。お探しのページは存在しません", "error"), ("Sorry, this page isn't available.", "error"),
+    ("The requested URL /foo/bar.html was not found on this server.", "error"), ("Oops! That page can’t be found.", "error"), ("Page not found\nThe page you are looking for does not exist.", "error"),
+]
+SOUND_ELSEWHERE = [
+    "When a page could not be found, servers answer with an error. The history of that number is long and has little to do with a room at a laboratory.", "Please contact us", "This page", "Cloudflare", "Cookies are baked at 180 degrees",
+    "How to enable JavaScript in Chrome: open the settings, then the page of privacy, and choose it there for all sites that you trust.", "Um momento de calma: a história do rio e da cidade",
+]
+
+
+@pytest.mark.parametrize("text, kind", ELSEWHERE)
+def test_pages_from_elsewhere(text, kind):
+    assert residue.classify(text) == kind
+
+
+@pytest.mark.parametrize("text", SOUND_ELSEWHERE)
+def test_sound_texts_from_elsewhere(text):
+    assert residue.classify(text) is None
+
+
+def test_reports_of_other_collectors():
+    for text in ("HTTP 404", "HTTP error 503", "connection refused by host", "read timed out after 30 s", "SSL: CERTIFICATE_VERIFY_FAILED", "DNS lookup failed for example.com", "body too large: 12 MB"):
+        assert residue.classify_report(text) is None, text
+    assert residue.classify_report("HTTP 503 - Service unavailable") == "error"
