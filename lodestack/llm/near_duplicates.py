@@ -1,12 +1,16 @@
 """Problem 4: near-duplicate revisions by deletion-variant signatures.
 
-The signature of a text is a vector of minhash symbols of 16 bits; two symbols at one place
-agree with the similarity of the texts.  The vector is cut into segments of SYMBOLS symbols,
-fewer than whole-segment matching would need, because similar texts have some segment that
-differs in at most one symbol.  Every segment is indexed under its one-wildcard variants (one
-symbol deleted), an equality join on the variants brings candidates together, the share of
+The signature of a text is a vector of minhash symbols of 8 bits; two symbols at one place
+agree with the similarity of the texts (and by chance once in 256 times).  The vector is cut into
+segments of SYMBOLS symbols, fewer than whole-segment matching would need, because similar
+texts have some segment that differs in at most one symbol.  Every segment is indexed under its
+one-wildcard variants (one symbol deleted), equal variants bring candidates together, the share of
 equal symbols sorts out most of the wrong ones, and an exact comparison decides.
 
+Variants are shuffled once and sorted, and each run of equal ones is paired where it stands.
+Longer runs, as of a template that many texts share, are cut into blocks; every pair of blocks is compared
+by signatures in a task of its own, so that only agreeing pairs leave it.
+
 The method is stated for bits; bits of a similarity hash of pairs at 60 % differ in a quarter
 of the places, at which no segment is both selective and at most one bit off.  Symbols of a
 minhash agree in 60 % of the places, at which the same scheme works.
@@ -28,13 +32,18 @@ from .. import runtime
 #: Length of the runs of code points, least length of a text, and least similarity.
 RUN, MIN_LENGTH, MIN_SIMILARITY = 8, 300, 0.6
 #: Segments and symbols in each.  A pair at the threshold shares a variant of one segment
-#: with probability .6**6 + 6 * .6**5 * .4 = .233, hence of any of 30 with .9997; two texts of
-#: one language, at 8 %, do so with 30 * 6 * .08**5, one pair in two thousand.
-SEGMENTS, SYMBOLS = 30, 6
+#: with probability .6**6 + 6 * .6**5 * .4 = .233, hence of any of 25 with .9987 (a pair at 70 %
+#: with .999999); two texts of one language, at 8 %, do so with 25 * 6 * .08**5, one pair in two thousand.
+SEGMENTS, SYMBOLS = 25, 6
 PLACES = SEGMENTS * SYMBOLS
-#: Share of equal symbols below which candidates are not compared: five standard deviations
-#: of a pair at the threshold under it.
-MIN_AGREEMENT = MIN_SIMILARITY - 5 * (MIN_SIMILARITY * (1 - MIN_SIMILARITY) / PLACES) ** 0.5
+#: Symbols that are compared, and their share below which candidates are left out: five
+#: standard deviations of a pair at the threshold under it.
+COMPARED = 60
+MIN_AGREEMENT = MIN_SIMILARITY - 5 * (MIN_SIMILARITY * (1 - MIN_SIMILARITY) / COMPARED) ** 0.5
+#: Texts with fewer distinct runs have symbols that depend on each other; they are compared at once.
+FEW_RUNS = PLACES
+#: Classes under one variant that are paired where they stand, and classes of a block of longer runs.
+RUN_CLASSES, BLOCK = 64, 2_000
 
 _rng = np.random.default_rng(20)
 _WEIGHTS = _rng.integers(1, 2**63, RUN, dtype=np.uint64) | np.uint64(1)
@@ -88,19 +97,19 @@ def grams_of(texts: list[str]) -> Iterator[np.ndarray]:
 
 
 def signature(g: np.ndarray) -> np.ndarray:
-    """PLACES minhash symbols of 16 bits; zeros for a text without runs.
+    """PLACES minhash symbols of 8 bits; zeros for a text without runs.
 
     The hash range is cut into PLACES bins, and the least hash of a bin gives its symbol, so
     every run is looked at once.  An empty bin takes the next one's, marked by the distance.
     """
     if not len(g):
-        return np.zeros(PLACES, np.uint16)
+        return np.zeros(PLACES, np.uint8)
     at = np.searchsorted(g, _BINS)
     least = g[at % len(g)]
     away = (least // _WIDTH - _OWN) % np.uint64(PLACES)
     h = (least + away * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
-    return ((h * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(48)).astype(np.uint16)
+    return ((h * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(56)).astype(np.uint8)
 
 
 def variants(sigs: np.ndarray) -> np.ndarray:
@@ -124,39 +133,137 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _signed(texts: DataFrame) -> DataFrame:
-    """rev_id, class id (a 128-bit hash of the compared text) and signature."""
+    """rev_id, class (a 128-bit hash of the compared text), id (half of it), signature, and whether the text has few runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [normal(t, c) for t, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             classes = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts]
-            sigs = [signature(g).tobytes() for i in range(0, len(texts), 64) for g in grams_of(texts[i : i + 64])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(classes, pa.binary()), pa.array(sigs, pa.binary())], names=["rev_id", "class", "sig"])
+            ids = np.frombuffer(b"".join(c[:8] for c in classes), np.int64)
+            sigs, few = [], []
+            for i in range(0, len(texts), 64):
+                for g in grams_of(texts[i : i + 64]):
+                    sigs.append(signature(g).tobytes())
+                    few.append(len(g) < FEW_RUNS)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(classes, pa.binary()), pa.array(ids), pa.array(sigs, pa.binary()), pa.array(few)], names=["rev_id", "class", "id", "sig", "few"])
 
-    return texts.mapInArrow(run, "rev_id string, class binary, sig binary")
+    return texts.mapInArrow(run, "rev_id string, class binary, id long, sig binary, few boolean")
 
 
 def _variant_rows(classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = variants(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, PLACES))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * PLACES), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["class", "keys"])
+            keys = variants(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, PLACES))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), keys.shape[1]))], names=["key", "id"])
+
+    return classes.select("id", "sig").mapInArrow(run, "key long, id long")
+
+
+def _runs(rows: DataFrame, most: int = RUN_CLASSES) -> DataFrame:
+    """Candidates (a, b, null), a < b, of the runs of equal keys; of runs of more than ``most`` classes, the members (id, null, key)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+            ends = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)) + 1
+            starts = np.append(0, ends[:-1])
+            sizes = ends - starts
+            a, b, hot = [], [], []
+            for size in np.unique(sizes[sizes > 1]).tolist():  # all runs of one length at a time
+                at = starts[sizes == size]
+                if size > most:
+                    hot.append((at[:, None] + np.arange(size)).ravel())
+                    continue
+                i, j = np.triu_indices(size, 1)
+                a.append(ids[(at[:, None] + i).ravel()])
+                b.append(ids[(at[:, None] + j).ravel()])
+            a, b = np.concatenate([np.empty(0, np.int64), *a]), np.concatenate([np.empty(0, np.int64), *b])
+            keep = a != b
+            a, b = a[keep], b[keep]
+            at = np.concatenate([np.empty(0, np.int64), *hot])
+            first = np.concatenate([np.minimum(a, b), ids[at]])
+            none = len(first) - len(at)
+            second = pa.array(np.concatenate([np.maximum(a, b), np.zeros(len(at), np.int64)]), mask=np.arange(len(first)) >= none)
+            key = pa.array(np.concatenate([np.zeros(none, np.int64), keys[at]]), mask=np.arange(len(first)) < none)
+            return pa.RecordBatch.from_arrays([pa.array(first), second, key], names=["a", "b", "key"])
+
+        def members(ids: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(np.full(len(ids), hot))], names=["a", "b", "key"])
+
+        keys, ids, hot = np.empty(0, np.int64), np.empty(0, np.int64), None
+        for batch in batches:
+            new_keys, new_ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            if hot is not None:  # a long run that began in an earlier batch is handed on as it comes
+                at = int(np.searchsorted(new_keys, hot, "right"))
+                if at:
+                    yield members(new_ids[:at])
+                hot = hot if at == len(new_keys) else None
+                new_keys, new_ids = new_keys[at:], new_ids[at:]
+            keys, ids = np.concatenate([keys, new_keys]), np.concatenate([ids, new_ids])
+            at = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last run may go on
+            if at:
+                yield emit(keys[:at], ids[:at])
+                keys, ids = keys[at:].copy(), ids[at:].copy()
+            if len(keys) > most:
+                hot = keys[0]
+                yield members(ids)
+                keys, ids = keys[:0], ids[:0]
+        if len(keys):
+            yield emit(keys, ids)
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, key long")
+
+
+def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x == y).mean(-1) >= MIN_AGREEMENT
+
 
-    return classes.select("class", "sig").mapInArrow(run, "class binary, keys array<long>").select("class", F.explode("keys").alias("key"))
+def _symbols(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COMPARED)
 
 
 def _agreeing(pairs: DataFrame) -> DataFrame:
-    """Candidates (a, b, sig_a, sig_b) whose signatures agree often enough."""
+    """Candidates (a, b, sig_a, sig_b) whose signatures agree often enough, and those without."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint16).reshape(-1, PLACES)
-            y = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint16).reshape(-1, PLACES)
-            keep = pa.array(np.flatnonzero((x == y).mean(1) >= MIN_AGREEMENT))
+            known = np.flatnonzero(b.column(2).is_valid().to_numpy(zero_copy_only=False) & b.column(3).is_valid().to_numpy(zero_copy_only=False))
+            keep = np.ones(b.num_rows, bool)
+            if len(known):
+                at = pa.array(known)
+                keep[known] = _agree(_symbols(b.column(2).take(at)), _symbols(b.column(3).take(at)))
+            keep = pa.array(np.flatnonzero(keep))
             yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], names=["a", "b"])
 
-    return pairs.mapInArrow(run, "a binary, b binary")
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def _in_blocks(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Agreeing pairs (a, b) of the classes of long runs, rows of (key, id, sig), block by block."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("m"))
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    rows = members.join(sizes, "key").withColumn("r", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("r")).cast("int"))
+    rows = rows.select("key", "id", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("r") - 1)).alias("other"))
+    rows = rows.select("key", "id", "sig", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        ids = t.column("id").to_numpy()
+        own, known = t.column("own").to_numpy(), t.column("sig").is_valid().to_numpy()
+        sigs = np.zeros((len(ids), COMPARED), np.uint8)
+        if known.any():
+            sigs[known] = _symbols(t.column("sig").combine_chunks().take(pa.array(np.flatnonzero(known))))
+        first = t.column("p")[0].as_py()
+        left = np.flatnonzero(own == first)
+        same = t.column("q")[0].as_py() == first
+        right = left if same else np.flatnonzero(own != first)
+        a, b = [], []
+        for n, i in enumerate(left):  # a row against the others of both blocks
+            js = right[n + 1 :] if same else right
+            js = js[_agree(sigs[js], sigs[i]) | ~known[js] | ~known[i]]
+            a.append(np.minimum(ids[i], ids[js]))
+            b.append(np.maximum(ids[i], ids[js]))
+        return pa.table({"a": np.concatenate([np.empty(0, np.int64), *a]), "b": np.concatenate([np.empty(0, np.int64), *b])})
+
+    return rows.groupBy("key", "p", "q").applyInArrow(compare, "a long, b long").where("a <> b")
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -192,7 +299,7 @@ def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def similar_classes(revs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def similar_classes(revs: DataFrame, run_classes: int = RUN_CLASSES, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Members (rev_id, class) and pairs (a, b, similarity) of classes of equal texts, a < b.
 
     Exact copies fall into one class before anything is joined, so a group of copies costs
@@ -200,19 +307,23 @@ def similar_classes(revs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     signed = runtime.checkpoint(_signed(revs.select("rev_id", "title", "content")))
     members = signed.select("rev_id", "class").distinct()
-    classes = signed.groupBy("class").agg(F.first("sig").alias("sig"), F.min("rev_id").alias("rev_id"))  # equal texts have equal signatures
-    keys = _variant_rows(classes)
-    pairs = keys.alias("x").join(keys.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.class") < F.col("y.class")))
-    pairs = pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
-    sig = classes.select("class", "sig")
-    pairs = pairs.join(sig.withColumnsRenamed({"class": "a", "sig": "sig_a"}), "a").join(sig.withColumnsRenamed({"class": "b", "sig": "sig_b"}), "b")
-    pairs = runtime.checkpoint(_agreeing(pairs.select("a", "b", "sig_a", "sig_b")))
+    classes = runtime.checkpoint(signed.groupBy("class", "id").agg(F.first("sig").alias("sig"), F.first("few").alias("few"), F.min("rev_id").alias("rev_id")))  # equal texts have equal signatures
+    found = runtime.checkpoint(_runs(_variant_rows(classes), run_classes))
+    sig = classes.select("id", F.when(~F.col("few"), F.substring("sig", 1, COMPARED)).alias("sig"))
+    pairs = found.where("b is not null").select("a", "b").distinct()
+    pairs = pairs.join(sig.withColumnsRenamed({"id": "a", "sig": "sig_a"}), "a").join(sig.withColumnsRenamed({"id": "b", "sig": "sig_b"}), "b")
+    pairs = _agreeing(pairs.select("a", "b", "sig_a", "sig_b"))
+    long_runs = found.where("b is null").select("key", F.col("a").alias("id"))
+    if not long_runs.isEmpty():
+        pairs = pairs.unionByName(_in_blocks(long_runs.join(sig, "id"), block))
+    pairs = runtime.checkpoint(pairs.distinct())
     # the texts of the classes that are left: one revision each
-    left = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    one = classes.select("class", "rev_id").join(left, "class", "left_semi")
-    body = revs.join(one, "rev_id").groupBy("class").agg(F.first(F.struct("title", "content")).alias("t")).select("class", "t.title", "t.content")
-    joined = pairs.join(body.withColumnsRenamed({"class": "a", "title": "ta", "content": "xa"}), "a").join(body.withColumnsRenamed({"class": "b", "title": "tb", "content": "xb"}), "b")
-    return members, _verified(joined.select("a", "b", "ta", "xa", "tb", "xb"))
+    left = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    one = classes.select("class", "id", "rev_id").join(left, "id", "left_semi")
+    body = revs.join(one, "rev_id").groupBy("class", "id").agg(F.first(F.struct("title", "content")).alias("t")).select("id", "class", "t.title", "t.content")
+    x, y = (body.withColumnsRenamed({"id": i, "class": f"c{i}", "title": f"t{i}", "content": f"x{i}"}) for i in "ab")
+    joined = pairs.join(x, "a").join(y, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"), "ta", "xa", "tb", "xb")
+    return members, _verified(joined)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,3 +76,26 @@ def test_components_of_a_long_chain(spark):
 def test_empty_tables(spark, archive):
     d = archive()
     assert nd.p4_found(spark, d).count() == 0 and nd.p4_groups(spark, d).count() == 0
+
+
+def test_long_runs_in_blocks_give_the_same(spark, archive):
+    rows = _rows()
+    template = " ".join(f"word{i}" for i in range(60))
+    rows += [{"resource_revision_id": f"t{i:02}", "title": "T", "content_markdown": template + " " + " ".join(f"own{i}x{j}" for j in range(55))} for i in range(30)]
+    d = archive(resource_revision=rows)
+    members, pairs = nd.similar_classes(nd.revisions(spark, d), run_classes=2, block=3)
+    name = {r["class"]: r["rev_id"] for r in sorted(members.collect(), reverse=True)}
+    got = [tuple(sorted((name[r["a"]], name[r["b"]]))) for r in pairs.collect()]
+    first = {}
+    for r in members.collect():
+        first[r["rev_id"]] = name[r["class"]]
+    assert len(got) == len(set(got)) and set(got) == {tuple(sorted((first[a], first[b]))) for a, b in _brute(rows) if first[a] != first[b]}
+
+
+def test_runs_over_several_batches(spark):
+    keys = [1] * 3 + [2] * 5 + [3] + [4] * 2_500 + [5] * 2
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key long, id long")
+    got = nd._runs(rows, 4).collect()
+    assert {(r["a"], r["b"]) for r in got if r["b"] is not None} == {(0, 1), (0, 2), (1, 2), (2509, 2510)}
+    long = {(r["key"], r["a"]) for r in got if r["b"] is None}
+    assert long == {(k, i) for i, k in enumerate(keys) if k in (2, 4)} and len(got) == 4 + len(long)
