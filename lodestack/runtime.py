@@ -11,16 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one Arrow batch.  Texts may be long: a batch of the default 10,000 may not fit.
 ARROW_ROWS = 1_000
+#: Bytes of one Arrow batch, about.
+ARROW_BYTES = 4 << 20
 _PACKAGE = Path(__file__).resolve().parent
 
 
 def tune(spark: SparkSession) -> SparkSession:
     """Settings that every operator counts on; cluster-wide sizes stay as they are."""
-    conf = spark.conf
-    conf.set("spark.sql.session.timeZone", "UTC")
-    conf.set("spark.sql.adaptive.enabled", "true")
-    conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    wanted = {
+        "spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(ARROW_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BYTES),
+    }
+    for key, value in wanted.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     ship(spark)
     return spark
 
@@ -34,7 +38,12 @@ def ship(spark: SparkSession) -> None:
     if any(Path(p).name == "lodestack.zip" for p in getattr(sc, "_python_includes", [])):
         return
     shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
-    folder = Path(shared) / f"code-{sc.applicationId}" if shared.startswith("/") else Path(tempfile.mkdtemp())
+    if shared.startswith("/"):
+        folder = Path(shared) / f"code-{sc.applicationId}"
+    elif sc.master.startswith("local"):  # all executors are on this machine
+        folder = Path(tempfile.mkdtemp())
+    else:
+        raise RuntimeError("the package is on no executor: name a shared folder in spark.checkpoint.dir, or put the package into PYTHONPATH")
     folder.mkdir(parents=True, exist_ok=True)
     path = folder / "lodestack.zip"
     with zipfile.ZipFile(path, "w") as z:
@@ -52,10 +61,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts lineage with a reliable checkpoint, which outlives the loss of executors.
 
     The folder is the one that the cluster names in ``spark.checkpoint.dir``; where that is
-    unset, as in tests, one of our own is set.
+    unset and all executors are on this machine, as in tests, one of our own is set.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestack-checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("name a shared folder in spark.checkpoint.dir: checkpoints on single machines are lost with them")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestack-checkpoints-"))
     return df.checkpoint(eager=True)
