@@ -67,11 +67,14 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, folder: str | None =
     spaces.  doc_id has to be unique; other columns are not kept.
     """
     docs = docs.select("doc_id", "text")
-    refs = runtime.checkpoint(chunk_refs(docs))  # read twice
+    # both joins below are on the same rows, so one shuffle of the texts serves them
+    texts = docs.where((F.length("text") > 0) & F.col("doc_id").isNotNull())
+    others = docs.where(~F.coalesce((F.length("text") > 0) & F.col("doc_id").isNotNull(), F.lit(False)))
+    refs = runtime.checkpoint(chunk_refs(texts))  # read twice
     shared = refs.groupBy("hash").agg(F.count("*").alias("uses"), F.min(F.struct("doc_id", "no")).alias("owner")).where(F.col("uses") > 1).select("hash", "owner")
     uses = runtime.checkpoint(refs.join(shared, "hash").select("hash", "doc_id", "no", (F.col("owner") == F.struct("doc_id", "no")).alias("owns")))
     lends = uses.where("owns").groupBy("doc_id").agg(F.sort_array(F.collect_list("no")).alias("lends"))
-    lent = _lend(docs.where(F.length("text") > 0).join(lends, "doc_id"), vocabulary, folder)
+    lent = _lend(texts.join(lends, "doc_id"), vocabulary, folder)
     borrowed = uses.select("hash", "doc_id", "no").join(lent, "hash").groupBy("doc_id").agg(F.collect_list(F.struct("no", "ids")).alias("borrowed"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +85,9 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, folder: str | None =
                 out.append(tokens.encode_in_chunks(encoder, text, {p["no"]: p["ids"] for p in parts}) if parts else encoder.text(_clean(text)) if text else [])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.join(borrowed, "doc_id", "left").select("doc_id", "text", "borrowed").mapInArrow(run, "doc_id long, ids array<int>")
+    joined = texts.join(borrowed, "doc_id", "left").select("doc_id", "text", "borrowed")
+    alone = others.withColumn("borrowed", F.lit(None).cast(joined.schema["borrowed"].dataType))
+    return joined.mapInArrow(run, "doc_id long, ids array<int>").unionByName(alone.mapInArrow(run, "doc_id long, ids array<int>"))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
