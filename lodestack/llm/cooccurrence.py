@@ -120,12 +120,14 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for ids in b.column(0).to_pylist():
             a = np.asarray(ids, np.int64)
-            i, j = np.triu_indices(len(a), 1)
-            held.append(a[i] << 32 | a[j])
-            size += len(i)
-            if size >= RUN:
-                yield from flush()
-                held, size = [], 0
+            step = max(1, RUN // max(1, len(a)))  # a record of very many tags gives its pairs block by block
+            for at in range(0, len(a) - 1, step):
+                i, j = np.triu_indices(min(step, len(a) - at), 1, len(a) - at)
+                held.append(a[at + i] << 32 | a[at + j])
+                size += len(i)
+                if size >= RUN:
+                    yield from flush()
+                    held, size = [], 0
     if held:
         yield from flush()
 
