@@ -149,6 +149,11 @@ def _code(line: Line) -> bool:
     return bool(_CODE.match(line.head)) or last in (";", "{", "}") or line.call and last == ")" or line.shell or line.url or line.first_bar and line.bars > 1
 
 
+def _stops(text: str) -> int:
+    """Stops inside a part; one at its very end counts by what follows it."""
+    return len(_STOP.findall((text[:-1] if text[-1:] in ".!?…。！？" else text) + "x"))
+
+
 def _part(text: str, common: frozenset) -> Line:
     """State of a part of a line whose ends are both open."""
     tokens = list(_TOKEN.finditer(text))
@@ -170,7 +175,7 @@ def _part(text: str, common: frozenset) -> Line:
         _word(acc, m.group(), m.end() - m.start(), common)
     return Line(
         size=len(text), solid=len("".join(text.split())), digits=len(_DIGIT.findall(text)), hiragana=len(_HIRAGANA.findall(text)),
-        cjk=len(_CJK_CHAR.findall(text)), stops=len(_STOP.findall(text[:-1] + "x" if text else "")), front=front, back=back,
+        cjk=len(_CJK_CHAR.findall(text)), stops=_stops(text), front=front, back=back,
         **_marks(text), **acc,
     )
 
@@ -294,7 +299,7 @@ def _line(text: str, common: frozenset) -> Line:
             plain += low not in ARTICLES
     return Line(
         size=len(text), solid=len("".join(text.split())), words=n, word_chars=sum(map(len, tokens)), common=hits, plain_common=plain,
-        digits=len(_DIGIT.findall(text)), hiragana=len(_HIRAGANA.findall(text)), cjk=len(_CJK_CHAR.findall(text)), stops=len(_STOP.findall(text[:-1] + "x")),
+        digits=len(_DIGIT.findall(text)), hiragana=len(_HIRAGANA.findall(text)), cjk=len(_CJK_CHAR.findall(text)), stops=_stops(text),
         seen=frozenset(t.lower() for t in tokens) if n <= _LONG else frozenset(range(_LONG + 1)), **_marks(text),
     )
 

@@ -19,6 +19,8 @@ from . import prose
 
 #: Characters of a chunk, and states that merge at once.
 CHUNK, FANIN = 8192, 32
+#: The most common words; their table is small and fixed.
+MOST_WORDS = 100_000
 STATS = (
     "doc_id long, word_count long, mean_word_length double, symbol_ratio double, punctuated_lines double, common_words double, sentence_share double, natural_prose boolean"
 )
@@ -36,7 +38,9 @@ def _stats_batch(ids: list, got: list[dict]) -> pa.RecordBatch:
 
 def common_words(spark: SparkSession, sf_dir: str) -> frozenset:
     """The fixed table of common words of all languages, in lower case."""
-    rows = runtime.table(spark, sf_dir, "common_words").select(F.lower("word").alias("w")).where("w is not null").distinct().limit(100_000).collect()
+    rows = runtime.table(spark, sf_dir, "common_words").select(F.lower("word").alias("w")).where("w is not null").distinct().limit(MOST_WORDS + 1).collect()
+    if len(rows) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} common words")
     return frozenset(r["w"] for r in rows)
 
 
@@ -53,6 +57,12 @@ def measured(docs: DataFrame, words: frozenset, chunk: int = CHUNK) -> DataFrame
         for b in batches:
             yield _stats_batch(b.column(0).to_pylist(), [prose.measure(t, common) for t in b.column(1).to_pylist()])
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                parts = [text[i : i + chunk] for i in range(0, len(text), chunk)]
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string())], names=["doc_id", "no", "text"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = held.value
         for b in batches:
@@ -82,12 +92,10 @@ def measured(docs: DataFrame, words: frozenset, chunk: int = CHUNK) -> DataFrame
 
     is_long = F.coalesce(F.length("text"), F.lit(0)) > chunk
     short = docs.where(~is_long).mapInArrow(whole, STATS)
-    pieces = docs.where(is_long).select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk).cast("int"))).alias("no"))
-    pieces = pieces.select("doc_id", "no", F.substring("text", F.col("no") * chunk + 1, F.lit(chunk)).alias("text")).repartition("doc_id", "no")
+    pieces = docs.where(is_long).mapInArrow(cut, "doc_id long, no int, text string").repartition("doc_id", "no")
     schema = "doc_id long, no int, state binary"
-    states = pieces.mapInArrow(count, schema)
-    longest = docs.agg(F.max(F.length("text"))).first()[0] or 0
-    parts = -(-longest // chunk)
+    states = runtime.checkpoint(pieces.mapInArrow(count, schema))
+    parts = (states.agg(F.max("no")).first()[0] or 0) + 1
     while parts > 1:
         grouped = states.groupBy("doc_id", F.floor(F.col("no") / FANIN).cast("int").alias("no")).agg(F.sort_array(F.collect_list(F.struct("no", "state"))).alias("parts"))
         states = grouped.mapInArrow(merge, schema)

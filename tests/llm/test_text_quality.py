@@ -91,3 +91,18 @@ def test_remarks_count_whatever_their_number():
         assert prose.measure("\n".join(lines), COMMON)["sentence_share"] == 1.0
     headlines = ["The Old Map Of The House And A Town In Winter", "夏を通して古い地図をこの家に移したうえで描いた予算の図書館"]
     assert prose.measure("\n".join(headlines * 2), COMMON)["sentence_share"] == 0.0
+
+
+def test_many_cuts_change_nothing():
+
+    r = random.Random(4)
+    common = frozenset("the of and was in の は を".split())
+    lines = ["22. ハロトの借り物のデータセット https://dai.example/x", "The valve was replaced. ”Nobody” minded (he said)... Really?! ", "x = f(a); y = $b", "| a | b |", "日本語の文章です。次の文も、長い。", "- and so it was in the end, said one of them to the other", "  ", "3.14 is not a stop."]
+    for _ in range(400):
+        text = "\n".join(r.choice(lines) for _ in range(r.randint(1, 6)))
+        cuts = sorted({0, len(text), *(r.randint(0, len(text)) for _ in range(r.choice([1, 5, 50, 150])))})
+        states = [prose.count(text[a:b], common) for a, b in zip(cuts, cuts[1:])]
+        total = states[0] if states else prose.count(text, common)
+        for state in states[1:]:
+            total = prose.merge(total, state, common)
+        assert prose.finish(total, common) == prose.measure(text, common), [text[a:b] for a, b in zip(cuts, cuts[1:])]
