@@ -24,7 +24,7 @@ SQL: dict[str, str] = {}
 
 # RE2 has no \p{White_Space}; this is the class that the JVM side uses.
 _W = r"[\s\x0B\x1C-\x1F\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-_URL = r"^\s*([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::([0-9]*))?([^?#]*)(\?[^#]*)?(?:#.*)?$"
+_URL = urls.URL_PATTERN
 
 
 def _strip_sql(x: str) -> str:
@@ -35,7 +35,7 @@ def _canonical_sql(x: str) -> str:
     g = lambda i: f"regexp_extract(trim({x}), '{_URL}', {i})"
     s, p = f"lower({g(1)})", g(3)
     return (
-        f"CASE WHEN {x} IS NULL THEN NULL WHEN {g(2)} = '' THEN trim({x}) ELSE {s} || '://' || lower({g(2)}) || "
+        f"CASE WHEN {x} IS NULL THEN NULL WHEN {g(2)} = '' THEN trim({x}) ELSE {s} || '://' || translate(lower({g(2)}), '[]', '') || "
         f"CASE WHEN {p} = '' OR ({s} = 'http' AND {p} = '80') OR ({s} = 'https' AND {p} = '443') THEN '' ELSE ':' || {p} END || "
         f"CASE WHEN {g(4)} = '' THEN '/' ELSE {g(4)} END || CASE WHEN {g(5)} = '?' THEN '' ELSE {g(5)} END END"
     )
@@ -72,7 +72,7 @@ def canonical_url(spark, d):
     return _items(spark, d).select("source_id", "url", urls.canonical_url("url").alias("canonical_url"), urls.url_host("url").alias("host"), urls.content_key("url").alias("key")).distinct()
 
 
-@query("SELECT source, count(*) AS rows, count(*) AS agreeing FROM canonical_item GROUP BY source")
+@query(f"SELECT source, count(*) AS rows, count(*) FILTER (WHERE content_key = 'url:' || sha256({_canonical_sql('url')})) AS agreeing FROM canonical_item GROUP BY source")
 def content_key_agreement(spark, d):
     """The keys in the data are those that their URLs have."""
     return _items(spark, d).groupBy("source").agg(F.count("*").alias("rows"), F.count_if(F.col("content_key") == urls.content_key("url")).alias("agreeing"))
@@ -262,8 +262,12 @@ def upsert_items(spark, d):
     return merge.upsert(old, new, ["source_id"], ["excerpt", "comment", "updated_at"]).select("source_id", "excerpt", "action")
 
 
-@query(f"""WITH s AS ({_STATES}) SELECT 'keep' AS action, count(DISTINCT source_id) AS rows FROM s WHERE source = 'raindrop'
-UNION ALL SELECT 'unchanged', count(DISTINCT source_id) FROM s WHERE source <> 'raindrop'""")
+@query(f"""WITH s AS ({_STATES}),
+o AS (SELECT source_id, updated_at, excerpt, comment FROM s WHERE source <> 'rss' QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY updated_at, excerpt, comment) = 1),
+n AS (SELECT source_id, updated_at, excerpt, comment FROM s WHERE source <> 'raindrop' QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY updated_at DESC, excerpt DESC, comment DESC) = 1),
+once AS (SELECT source_id, updated_at, excerpt, comment FROM n UNION ALL SELECT source_id, updated_at, excerpt, comment FROM o WHERE source_id NOT IN (SELECT source_id FROM n))
+SELECT CASE WHEN once.source_id IS NULL THEN 'insert' WHEN n.source_id IS NULL THEN 'keep' WHEN once.excerpt = n.excerpt AND once.comment = n.comment AND once.updated_at = n.updated_at THEN 'unchanged' ELSE 'update' END AS action, count(*) AS rows
+FROM once FULL JOIN n ON once.source_id = n.source_id GROUP BY 1""")
 def upsert_twice(spark, d):
     """A batch merged again changes nothing."""
     old, new = _two_states(spark, d)
@@ -289,8 +293,8 @@ def replace_comments(spark, d):
 @query("""SELECT sha256(content) AS sha256, payload_id FROM (SELECT DISTINCT payload_id, content FROM payload) QUALIFY row_number() OVER (PARTITION BY sha256(content) ORDER BY payload_id) = 1""")
 def put_payloads(spark, d):
     rows = table(spark, d, "payload").select("payload_id", "content")
-    hashed = rows.select("payload_id", F.sha2("content", 256).alias("sha256"))
-    return hashed.groupBy("sha256").agg(F.min("payload_id").alias("payload_id"))
+    hashed = rows.select("payload_id", F.sha2("content", 256).alias("sha256"))  # contents stay where they are
+    return merge.put_blobs(hashed.limit(0), hashed, "sha256", F.col("payload_id"), hashed=True).select("sha256", "payload_id")
 
 
 @query("""SELECT DISTINCT payload_id FROM payload WHERE payload_id NOT IN (SELECT http_payload_id FROM fetch_capture WHERE http_payload_id IS NOT NULL AND http_status = 200 UNION SELECT rendered_payload_id FROM fetch_capture WHERE rendered_payload_id IS NOT NULL AND http_status = 200)""")
@@ -378,7 +382,7 @@ chr(10) || '# ' || trim(replace(coalesce(title, ''), chr(10), ' ')) || chr(10),
 _SEALED = "'---' || chr(10) || 'managed: true' || chr(10) || 'render_hash: ' || sha256(plain) || chr(10) || substr(plain, 5)"
 
 
-@query(f"WITH {_DOCS} SELECT item_id, sha256(plain) AS seal, length({_SEALED})::BIGINT AS length, sha256({_SEALED}) AS document_hash, true AS untouched FROM docs")
+@query(f"WITH {_DOCS} SELECT item_id, sha256(plain) AS seal, length({_SEALED})::BIGINT AS length, sha256({_SEALED}) AS document_hash, sha256('---' || chr(10) || substr({_SEALED}, 97)) = regexp_extract({_SEALED}, 'render_hash: ([0-9a-f]+)', 1) AS untouched FROM docs")
 def sealed_documents(spark, d):
     docs = _documents(spark, d).withColumn("document", render.sealed(F.col("plain")))
     return docs.select("item_id", render.seal_of(F.col("document")).alias("seal"), F.length("document").cast("long").alias("length"), F.sha2("document", 256).alias("document_hash"), render.is_untouched(F.col("document")).alias("untouched"))
@@ -486,34 +490,31 @@ def _topics(spark, d) -> DataFrame:
     return one.select("source_id", F.length(body).alias("n_body"), F.coalesce("title", F.lit("")).alias("title"), diversity.topics(F.col("tags"), F.col("title"), F.col("url")).alias("topics"))
 
 
-@query(f"WITH {_TOPICS} SELECT topic, count(*) AS n FROM topics GROUP BY topic")
+@query(f"WITH {_TOPICS} SELECT topic, count(*) AS n FROM topics WHERE source_id NOT LIKE 'rss-%' GROUP BY topic")
 def topic_counts(spark, d):
-    return diversity.topic_counts(_topics(spark, d))
+    """Topics of the records that are not covered yet; those of feeds count as covered."""
+    return diversity.topic_counts(_topics(spark, d).where(~F.col("source_id").startswith("rss-")))
 
 
-_CHOICE = """counts AS (SELECT topic, count(*) AS n FROM topics GROUP BY topic), cov AS (SELECT DISTINCT topic FROM topics WHERE source_id LIKE 'rss-%'),
-choice AS (SELECT t.source_id, t.topic FROM topics t JOIN counts c USING (topic) LEFT JOIN cov ON t.topic = cov.topic QUALIFY row_number() OVER (PARTITION BY t.source_id ORDER BY c.n DESC, (cov.topic IS NULL) DESC, t.topic) = 1)"""
+_CHOICE = """counts AS (SELECT topic, count(*) AS n FROM topics WHERE source_id NOT LIKE 'rss-%' GROUP BY topic), cov AS (SELECT DISTINCT topic FROM topics WHERE source_id LIKE 'rss-%'),
+choice AS (SELECT t.source_id, t.topic FROM topics t JOIN counts c USING (topic) LEFT JOIN cov ON t.topic = cov.topic WHERE t.source_id NOT LIKE 'rss-%' QUALIFY row_number() OVER (PARTITION BY t.source_id ORDER BY c.n DESC, (cov.topic IS NULL) DESC, t.topic) = 1)"""
 
 
 @query(f"WITH {_TOPICS}, {_CHOICE} SELECT source_id, topic FROM choice")
 def chosen_topics(spark, d):
     rows = _topics(spark, d)
     covered = rows.where(F.col("source_id").startswith("rss-")).select(F.explode("topics").alias("topic"))
-    return diversity.choose_topic(rows, "source_id", diversity.topic_counts(rows), covered)
+    rest = rows.where(~F.col("source_id").startswith("rss-"))
+    return diversity.choose_topic(rest, "source_id", diversity.topic_counts(rest), covered)
 
 
-@query(f"""WITH {_TOPICS}, {_CHOICE}, sizes AS (SELECT topic, count(*) AS n FROM choice GROUP BY topic), ranks AS (SELECT s.topic, s.n, cov.topic IS NULL AS fresh, row_number() OVER (ORDER BY s.n DESC, s.topic) - 1 AS i FROM sizes s LEFT JOIN cov ON s.topic = cov.topic),
+@query(f"""WITH {_TOPICS}, {_CHOICE}, sizes AS (SELECT topic, n FROM counts WHERE topic IN (SELECT topic FROM choice)), ranks AS (SELECT s.topic, s.n, cov.topic IS NULL AS fresh, row_number() OVER (ORDER BY s.n DESC, cov.topic IS NOT NULL, s.topic) - 1 AS i FROM sizes s LEFT JOIN cov ON s.topic = cov.topic),
 fresh AS (SELECT topic, row_number() OVER (ORDER BY n DESC, topic) - 1 AS j FROM ranks WHERE fresh), places AS (SELECT r.topic, least(2 * i, coalesce(2 * j + 1, 2 * i)) AS p FROM ranks r LEFT JOIN fresh f ON r.topic = f.topic),
 ranked AS (SELECT c.source_id, c.topic, row_number() OVER (PARTITION BY c.topic ORDER BY length(coalesce(o.excerpt, '')) DESC, coalesce(o.title, ''), c.source_id) AS r FROM choice c JOIN one o USING (source_id))
 SELECT source_id, ranked.topic AS topic, r::INT AS turn FROM ranked JOIN places ON ranked.topic = places.topic ORDER BY r, p LIMIT 300""")
 def diverse_selection(spark, d):
-    rows = _topics(spark, d)
-    covered = rows.where(F.col("source_id").startswith("rss-")).select(F.explode("topics").alias("topic")).distinct()
-    chosen = diversity.choose_topic(rows, "source_id", diversity.topic_counts(rows), covered)
-    sizes = chosen.groupBy("topic").agg(F.count("*").alias("n")).join(covered.withColumn("covered", F.lit(True)), "topic", "left")
-    full = chosen.join(rows.select("source_id", "n_body", "title"), "source_id")
     order = [F.col("n_body").desc(), F.col("title"), F.col("source_id")]
-    return diversity.round_robin(full, "topic", order, sizes, 300).select("source_id", "topic", "turn")
+    return diversity.select_diverse(_topics(spark, d), "source_id", F.col("source_id").startswith("rss-"), order, 300)
 
 
 # --- counts, JSON ---------------------------------------------------------------------------------
@@ -545,13 +546,15 @@ def comment_users(spark, d):
     return c.groupBy("user").agg(F.count_distinct("comment_revision_id").alias("comments"), F.max("entry").alias("entry"))
 
 
-@query("SELECT event_type, count(*) AS events, count(json_extract(props, '$.k')) AS with_k, sum(try_cast(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS k, round(sum(value) / sum(try_cast(json_extract_string(props, '$.k') AS BIGINT)), 6) AS ratio FROM events GROUP BY event_type")
+@query("SELECT event_type, count(*) AS events, count(json_extract(props, '$.k')) AS with_k, sum(try_cast(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS k, round(sum(value) FILTER (WHERE try_cast(json_extract_string(props, '$.k') AS BIGINT) > 0) / sum(try_cast(json_extract_string(props, '$.k') AS BIGINT)) FILTER (WHERE try_cast(json_extract_string(props, '$.k') AS BIGINT) > 0 AND value IS NOT NULL), 6) AS ratio FROM events GROUP BY event_type")
 def event_ratio(spark, d):
     e = table(spark, d, "events").select("event_type", "value", json.number_at("props", "$.k").alias("k"))
-    return e.groupBy("event_type").agg(F.count("*").alias("events"), F.count("k").alias("with_k"), F.sum("k").alias("k"), F.round(F.try_divide(F.sum("value"), F.sum("k")), 6).alias("ratio"))
+    sums = e.groupBy("event_type").agg(F.count("*").alias("events"), F.count("k").alias("with_k"), F.sum("k").alias("k"))
+    ratio = lookup.ratio(e, ["event_type"], F.col("value"), F.col("k"))
+    return sums.join(ratio, "event_type", "left").select("event_type", "events", "with_k", sums["k"], F.round("ratio", 6).alias("ratio"))
 
 
-@query("SELECT event_id, '{}' AS rest, json_extract_string(props, '$.k') AS k FROM events")
+@query("SELECT event_id, CAST(json_merge_patch(props, '{\"k\": null}') AS VARCHAR) AS rest, json_extract_string(props, '$.k') AS k FROM events")
 def event_props(spark, d):
     return table(spark, d, "events").select("event_id", json.without_keys("props", "k").alias("rest"), json.text_at("props", "$.k").alias("k"))
 

@@ -45,6 +45,30 @@ def normal_summary(col: Column | str) -> Column:
     )
 
 
+def summary_problems(col: Column | str) -> Column:
+    """What keeps a summary in JSON from being used, as a list: fields missing or unexpected, of a wrong type, too long or too many.
+
+    Null and what is no JSON object have one problem.
+    """
+    v = F.try_parse_json(_c(col))
+    known = {"note_title": TITLE, "summary": SUMMARY, "key_points": (POINTS, POINT), "tags": (TAGS, TAG), "content_type": TAG}
+    kind = lambda k: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")), F.lit("VOID"))
+    keys = F.json_object_keys(_c(col))
+    found: list[Column] = []
+    for k, most in known.items():
+        missing = ~F.coalesce(F.array_contains(keys, k), F.lit(False))
+        if isinstance(most, int):
+            text = F.try_variant_get(v, f"$.{k}", "string")
+            rule = F.when(kind(k) != "STRING", f"{k} is no text").when(F.length(text) > most, f"{k} is too long")
+        else:
+            items = F.try_variant_get(v, f"$.{k}", "array<string>")
+            rule = F.when(~kind(k).startswith("ARRAY"), f"{k} is no list").when(F.size(items) > most[0], f"{k} has too many entries").when(F.exists(items, lambda t: F.length(t) > most[1]), f"{k} has too long an entry")
+        found.append(F.when(missing, f"{k} is missing").otherwise(rule))
+    extra = F.transform(F.array_sort(F.array_except(keys, F.array(*map(F.lit, known)))), lambda k: F.concat(k, F.lit(" is unexpected")))
+    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    return F.when(is_object, F.concat(F.filter(F.array(*found), lambda p: p.isNotNull()), extra)).otherwise(F.array(F.lit("no object")))
+
+
 def sanitized_error(col: Column | str, *secrets: str, most: int = 8192) -> Column:
     """An error text fit to be kept: no bearer tokens, no home folders, none of the given words, cut to length."""
     s = F.regexp_replace(F.coalesce(_c(col), F.lit("")), r"(?i)(bearer\s+)[A-Za-z0-9._~+/=\-]+", "$1[removed]")

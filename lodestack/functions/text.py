@@ -180,6 +180,36 @@ def clip(col: Column | str, length: int, marker: str = "") -> Column:
     return F.when(F.length(s) > length, F.concat(F.substring(s, 1, length - len(marker)), F.lit(marker))).otherwise(s)
 
 
+def untrusted(prompt: Column | str, begin: str, end: str, most: int, marker: str = "\n[truncated]") -> Column:
+    """A text between marks that say whose it is, cut so that all of it has at most so many characters."""
+    return F.concat(F.lit(begin), clip(prompt, max(len(marker), most - len(begin) - len(end)), marker), F.lit(end))
+
+
+def first_route(tags: Column | str, routes: Column | str) -> Column:
+    """The route of the first tag that has one, whatever the case; empty if none has. ``routes`` is a map."""
+    low = F.transform_keys(_c(routes), lambda k, v: F.lower(k))
+    hits = F.filter(F.transform(F.coalesce(_c(tags), F.array().cast("array<string>")), lambda t: F.try_element_at(low, F.lower(t))), lambda r: r.isNotNull())
+    return F.coalesce(F.get(hits, F.lit(0)), F.lit(""))
+
+
+def fallback_summary(title: Column, link: Column, excerpt: Column, note: Column, body: Column, tags: Column, item_type: Column) -> Column:
+    """A summary without a model: the excerpt, else the note, else the first paragraph, and up to eight tags."""
+    some = lambda c: F.nullif(strip(F.coalesce(c, F.lit(""))), F.lit(""))
+    first = F.substring(F.regexp_extract(F.coalesce(some(body), some(excerpt), F.lit("")), r"(?m)^[^\S\n]*(\S.*?)[^\S\n]*$", 1), 1, 500)
+    raw = lambda c: F.nullif(c, F.lit(""))
+    return F.struct(
+        F.coalesce(raw(title), raw(link), F.lit("Untitled bookmark")).alias("note_title"), F.coalesce(some(excerpt), some(note), raw(first), F.lit("Summary unavailable.")).alias("summary"),
+        F.array().cast("array<string>").alias("key_points"), F.slice(F.coalesce(tags, F.array().cast("array<string>")), 1, 8).alias("tags"), F.coalesce(raw(item_type), F.lit("link")).alias("content_type"),
+    )
+
+
+def time_ordered_id(at: Column, *parts: Column) -> Column:
+    """An id in the form of a UUID that sorts by time and is the same in a second run: milliseconds, version 7, a hash of the parts."""
+    h = F.sha2(F.concat_ws("\0", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
+    ms = F.lpad(F.lower(F.hex(F.unix_millis(at.cast("timestamp")))), 12, "0")
+    return F.concat(F.substring(ms, 1, 8), F.lit("-"), F.substring(ms, 9, 4), F.lit("-7"), F.substring(h, 1, 3), F.lit("-8"), F.substring(h, 4, 3), F.lit("-"), F.substring(h, 7, 12))
+
+
 def plain_of_html(col: Column | str) -> Column:
     """Plain text of a fragment of HTML: no tags, references resolved, one line."""
     s = F.regexp_replace(_c(col), r"(?is)<(script|style)\b.*?</\1\s*>", " ")

@@ -30,6 +30,20 @@ def topic_counts(df: DataFrame, topic_column: str = "topics") -> DataFrame:
     return df.select(F.explode(topic_column).alias("topic")).groupBy("topic").agg(F.count("*").alias("n"))
 
 
+def select_diverse(df: DataFrame, key: str, is_covered: Column, order: list[Column], n: int) -> DataFrame:
+    """n records that take turns over topics: key, topic, turn.
+
+    Records that are covered already are left out, and their topics count as covered; the
+    others are counted under all of their topics, and each stands for one of them.
+    """
+    covered = df.where(is_covered).select(F.explode("topics").alias("topic")).distinct()
+    rest = df.where(~F.coalesce(is_covered, F.lit(False)))
+    counts = topic_counts(rest)
+    chosen = choose_topic(rest, key, counts, covered)
+    sizes = counts.join(chosen.select("topic").distinct(), "topic", "left_semi").join(covered.withColumn("covered", F.lit(True)), "topic", "left")
+    return round_robin(chosen.join(rest, key), "topic", order, sizes, n).select(key, "topic", "turn")
+
+
 def choose_topic(df: DataFrame, key: str, counts: DataFrame, covered: DataFrame) -> DataFrame:
     """One topic a record: the most frequent, uncovered before covered, then by name."""
     known = counts.join(covered.select("topic").distinct().withColumn("covered", F.lit(True)), "topic", "left")
@@ -43,14 +57,16 @@ def choose_topic(df: DataFrame, key: str, counts: DataFrame, covered: DataFrame)
 def round_robin(df: DataFrame, topic: str, order: list[Column], sizes: DataFrame, n: int) -> DataFrame:
     """n rows that take turns over topics, largest and largest uncovered in alternation.
 
-    ``sizes`` holds topic, n and covered.  Rounds visit topics in the same order and pass over
+    ``sizes`` holds topic, n (of all records that have it, chosen for it or not) and covered;
+    of equal sizes, uncovered topics come first.  Rounds visit topics in the same order and pass over
     exhausted ones, so the choice is that of the rows with the least (rank in topic, place of
     topic).
     """
     # places beyond the n-th of either order cannot be reached: n rows are ranked, a parameter
-    order_of = [F.desc("n"), F.asc("topic")]
+    sizes = sizes.withColumn("covered", F.coalesce("covered", F.lit(False)))
+    order_of = [F.desc("n"), F.asc("covered"), F.asc("topic")]
     first = sizes.orderBy(*order_of).limit(n).withColumn("__i", F.row_number().over(Window.orderBy(*order_of)) - 1).select("topic", "__i")
-    fresh = sizes.where(~F.coalesce("covered", F.lit(False))).orderBy(*order_of).limit(n).withColumn("__j", F.row_number().over(Window.orderBy(*order_of)) - 1).select("topic", "__j")
+    fresh = sizes.where(~F.col("covered")).orderBy(*order_of).limit(n).withColumn("__j", F.row_number().over(Window.orderBy(*order_of)) - 1).select("topic", "__j")
     both = first.join(fresh, "topic", "full")
     places = both.select(F.col("topic").alias(topic), F.least(F.col("__i") * 2, F.col("__j") * 2 + 1).alias("__p"))
     ranked = df.withColumn("__r", F.row_number().over(Window.partitionBy(topic).orderBy(*order))).where(F.col("__r") <= n)

@@ -6,10 +6,6 @@ table.  All are idempotent: a batch merged again changes nothing.
 
 from __future__ import annotations
 
-import shutil
-import uuid
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,10 +49,14 @@ def carry_over(target: DataFrame, batch: DataFrame, keys: list[str], columns: li
     return out.select(*[F.coalesce(c, f"__{c}").alias(c) if c in columns else F.col(c) for c in batch.columns])
 
 
-def put_blobs(store: DataFrame, batch: DataFrame, content: str, seq: Column) -> DataFrame:
-    """Blobs of a batch that the store lacks, by hash; of equal ones the first stays."""
-    hashed = batch.withColumn("sha256", F.sha2(F.col(content), 256))
-    first = latest_by_key(hashed, ["sha256"], [-seq])
+def put_blobs(store: DataFrame, batch: DataFrame, content: str, seq: Column, hashed: bool = False) -> DataFrame:
+    """Blobs of a batch that the store lacks, by hash; of equal ones the first by ``seq`` stays.
+
+    With ``hashed``, ``content`` holds the hash, so that contents need not be moved to be compared.
+    """
+    named = batch.withColumn("sha256", F.col(content) if hashed else F.sha2(F.col(content), 256))
+    rest = [c for c in named.columns if c != "sha256"]
+    first = named.groupBy("sha256").agg(F.min_by(F.struct(*rest), seq).alias("__b")).select("sha256", "__b.*")
     return first.join(store.select("sha256"), "sha256", "left_anti")
 
 
@@ -81,21 +81,3 @@ def replace_children(children: DataFrame, batch: DataFrame, parent: str, value:
     new = first.withColumn("position", (F.row_number().over(Window.partitionBy(parent).orderBy(*order)) - 1).cast("int")).select(parent, value, "position")
     kept = children.select(parent, value, "position").join(batch.select(parent).distinct(), parent, "left_anti")
     return kept.unionByName(new)
-
-
-def write_table(df: DataFrame, path: str) -> None:
-    """Replaces a table on a shared file system: written aside first, then put in its place."""
-    new = f"{path}.{uuid.uuid4().hex}"
-    df.write.parquet(new)
-    if "://" in path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        p, q = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(new)
-        fs = p.getFileSystem(conf)
-        fs.delete(p, True)
-        fs.rename(q, p)
-    else:
-        old = Path(f"{new}.old")
-        if Path(path).exists():
-            Path(path).rename(old)
-        Path(new).rename(path)
-        shutil.rmtree(old, ignore_errors=True)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..runtime import checkpoint
 
 MARK = "managed: true"
 
@@ -53,19 +57,42 @@ def actions(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     return both.select("item_id", F.coalesce("new_path", "old_path").alias("path"), action.alias("action"))
 
 
-def write_documents(df: DataFrame, root: str) -> None:
-    """Writes (path, document) rows below a root that all executors share, each file at once."""
+def write_documents(df: DataFrame, root: str) -> DataFrame:
+    """Writes (path, document) rows below a root that all executors share, each file at once; path and outcome of each.
+
+    Paths are made safe, so none leaves the root.  A file that is there already is overwritten only
+    if it is as it was rendered (``written``); one that is equal is ``skipped``, and one that someone has
+    changed, or that was not rendered, is a ``conflict`` and stays.
+    """
 
-    def put(rows) -> None:
+    def outcome(target: str, document: str) -> str:
+        import hashlib
         import os
+        import re
         import tempfile
 
-        for r in rows:
-            target = os.path.join(root, r["path"])
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            handle, name = tempfile.mkstemp(dir=os.path.dirname(target))
-            with os.fdopen(handle, "w", encoding="utf-8") as f:
-                f.write(r["document"])
-            os.replace(name, target)
+        if os.path.exists(target):
+            with open(target, encoding="utf-8", errors="replace", newline="") as f:
+                old = f.read()
+            if old == document:
+                return "skipped"
+            head = re.match(rf"---\n{MARK}\nrender_hash: ([0-9a-f]{{64}})\n", old)
+            if head is None or hashlib.sha256(("---\n" + old[head.end() :]).encode()).hexdigest() != head[1]:
+                return "conflict"
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        handle, name = tempfile.mkstemp(dir=os.path.dirname(target))
+        with os.fdopen(handle, "w", encoding="utf-8", newline="") as f:
+            f.write(document)
+        os.replace(name, target)
+        return "written"
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
+        for b in batches:
+            paths = b.column(0).to_pylist()
+            done = [outcome(os.path.join(root, p), d or "") if p else "conflict" for p, d in zip(paths, b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(done, pa.string())], names=["path", "outcome"])
 
-    df.select("path", "document").foreachPartition(put)
+    safe = df.select(text.safe_relative_path("path").alias("path"), "document")
+    return checkpoint(safe.mapInArrow(put, "path string, outcome string"))  # written once, whatever is done with the report

@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import tables
+
 
 def trigrams(text: Column) -> Column:
     """Distinct runs of three characters of a text in lower case; none for shorter ones."""
-    t = F.lower(text)
-    last = F.length(t) - 2
-    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(t, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    chars = F.split(F.lower(text), "")  # characters once, so that a place is reached without walking to it
+    last = F.size(chars) - 2
+    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.concat(F.get(chars, i - 1), F.get(chars, i), F.get(chars, i + 1))))).otherwise(F.array().cast("array<string>"))
 
 
-def build_index(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(gram, field, key): an inverted index, one row for each gram of a field.
+def build_index(docs: DataFrame, key: str, fields: list[str], only: list[str] | None = None) -> DataFrame:
+    """(gram, field, key): an inverted index, one row for each gram of a field, or for those of the grams ``only``.
 
     Null and short fields give no rows.  To be written partitioned or bucketed by gram.
     """
     rows = None
     for f in fields:
-        one = docs.where(F.length(f) >= 3).select(F.explode(trigrams(F.col(f))).alias("gram"), F.lit(f).alias("field"), F.col(key))
+        grams = trigrams(F.col(f))
+        if only is not None:  # before the rows are multiplied
+            grams = F.array_intersect(grams, F.array(*map(F.lit, only)))
+        one = docs.where(F.length(f) >= 3).select(F.explode(grams).alias("gram"), F.lit(f).alias("field"), F.col(key))
         rows = one if rows is None else rows.unionByName(one)
     return rows
 
@@ -30,6 +35,12 @@ def index_counts(index: DataFrame, key: str) -> DataFrame:
     return index.groupBy("field").agg(F.count_distinct(key).alias("documents"), F.count("*").alias("postings"))
 
 
+def grams_of(term: str) -> list[str]:
+    """The grams that a text must hold to hold a term; none for a term of less than three characters."""
+    low = term.lower()
+    return sorted({low[i : i + 3] for i in range(len(low) - 2)})
+
+
 def search(index: DataFrame, docs: DataFrame, key: str, field: str, term: str) -> DataFrame:
     """Keys of documents whose field holds a term, whatever the case.
 
@@ -38,7 +49,7 @@ def search(index: DataFrame, docs: DataFrame, key: str, field: str, term: str) -
     """
     low = term.lower()
     hit = F.contains(F.lower(F.col(field)), F.lit(low))
-    grams = sorted({low[i : i + 3] for i in range(len(low) - 2)})
+    grams = grams_of(term)
     if not grams:
         return docs.where(hit).select(key)
     found = index.where((F.col("field") == field) & F.col("gram").isin(grams)).groupBy(key).agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(grams))
@@ -48,19 +59,17 @@ def search(index: DataFrame, docs: DataFrame, key: str, field: str, term: str) -
 def rebuild(docs: DataFrame, key: str, fields: list[str], path: str, generation: int, force: bool = False) -> bool:
     """Writes the index of a generation of the documents; an index of that generation stays.
 
-    The new index is written aside and put in place at once, its generation beside it.
+    The new index and its generation are one version of a table (see :mod:`.tables`), so a crash
+    leaves the one before.  Rows are sorted by gram, so a search reads few row groups.
     """
-    from .merge import write_table
-
-    spark = docs.sparkSession
-    mark = f"{path}.generation"
-    if not force:
-        try:
-            if spark.read.text(mark).first()[0] == str(generation):
-                return False
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-    write_table(build_index(docs, key, fields).repartition("gram").sortWithinPartitions("gram"), path)
-    spark.createDataFrame([(str(generation),)], "value string").coalesce(1).write.mode("overwrite").text(mark)
+    before = tables.manifest(docs.sparkSession, path)
+    if not force and before is not None and before["note"] == str(generation):
+        return False
+    tables.write_table(build_index(docs, key, fields).repartitionByRange("gram").sortWithinPartitions("gram"), path, str(generation))
     return True
+
+
+def generation_of(spark: SparkSession, path: str) -> str | None:
+    """The generation of the index at a path; None if there is no index."""
+    before = tables.manifest(spark, path)
+    return before["note"] if before else None

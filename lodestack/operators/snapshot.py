@@ -33,7 +33,15 @@ def write_snapshot(tables: dict[str, DataFrame], folder: str) -> None:
         raise FileExistsError(folder)
     for name, df in tables.items():
         df.write.parquet(f"{folder}/{name}")
-    manifest(tables).coalesce(1).write.parquet(f"{folder}/_manifest")
+    told, copied = (sorted(map(tuple, manifest(t).collect())) for t in (tables, {n: _spark(tables).read.parquet(f"{folder}/{n}") for n in tables}))  # one row a table
+    if told != copied:
+        raise ValueError(f"the copy in {folder} differs from its source: {sorted(set(told) ^ set(copied))}")
+    spark = _spark(tables)
+    spark.createDataFrame(copied, "table string, rows long, content string").coalesce(1).write.parquet(f"{folder}/_manifest")
+
+
+def _spark(tables: dict[str, DataFrame]) -> SparkSession:
+    return next(iter(tables.values())).sparkSession
 
 
 def restore(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

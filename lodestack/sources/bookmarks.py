@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bracket_rest, bracket_tags
@@ -77,16 +77,35 @@ def exported_items(files: DataFrame) -> DataFrame:
 SEARCH = "bookmarks array<struct<entry: struct<title: string, url: string, snippet: string>, timestamp: bigint, comment: string, is_private: string>>, meta struct<status: int, total: string>"
 
 
-def search_items(responses: DataFrame) -> DataFrame:
+def search_problem(body: Column) -> Column:
+    """What is wrong with an answer of a bookmark search; null for a sound one.
+
+    Refused answers have their status in the body; sound ones a list and a whole number as total.
+    """
+    v = F.try_parse_json(body)
+    status = F.try_variant_get(v, "$.meta.status", "string")
+    total = F.try_variant_get(v, "$.meta.total", "string")
+    listed = F.schema_of_variant(F.try_variant_get(v, "$.bookmarks", "variant")).startswith("ARRAY")
+    return F.when(status.isin("401", "403"), F.concat(F.lit("refused with status "), status)).when(
+        v.isNull() | ~F.coalesce(listed, F.lit(False)) | ~F.coalesce(total.rlike("^[0-9]+$"), F.lit(False)), F.lit("no valid answer")
+    )
+
+
+def search_items(responses: DataFrame, strict: bool = True) -> DataFrame:
     """Rows of (query, seq, body) with JSON of a bookmark search as items.
 
-    Rows without an entry or URL are dropped; of one URL over all responses the last wins.
+    Rows without an entry or URL are dropped; of one URL over all responses the last wins, at the
+    place (``first_seq``, ``first_pos``) where the URL came first.  An answer that is refused or not valid
+    fails the job; if not ``strict``, it gives no rows, and :func:`search_problem` tells why.
     """
-    parsed = responses.select("query", "seq", F.from_json("body", SEARCH).alias("r"))
+    problem = search_problem(F.col("body"))
+    sound = F.coalesce(F.when(problem.isNotNull(), F.raise_error(F.concat(F.lit("bookmark search: "), problem)).cast("boolean")), F.lit(True)) if strict else problem.isNull()
+    parsed = responses.where(sound).select("query", "seq", F.from_json("body", SEARCH).alias("r"))
     rows = parsed.select("query", "seq", F.posexplode("r.bookmarks").alias("pos", "b")).where(F.coalesce("b.entry.url", F.lit("")) != "")
     items = rows.select(
         "query", "seq", "pos", F.col("b.entry.url").alias("url"), F.col("b.entry.title").alias("title"), F.col("b.entry.snippet").alias("excerpt"),
         bracket_tags("b.comment").alias("tags"), bracket_rest("b.comment").alias("comment"), F.col("b.is_private").isin("1", "true").alias("private"),
         F.date_format(F.timestamp_seconds("b.timestamp"), "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("created"),
     )
-    return latest_by_key(items, ["url"], [F.col("seq"), F.col("pos")])
+    firsts = items.groupBy("url").agg(F.min(F.struct("seq", "pos")).alias("f")).select("url", F.col("f.seq").alias("first_seq"), F.col("f.pos").alias("first_pos"))
+    return latest_by_key(items, ["url"], [F.col("seq"), F.col("pos")]).join(firsts, "url")

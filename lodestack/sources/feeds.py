@@ -10,6 +10,10 @@ from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import first_route, unique_tags
+from ..functions.urls import content_key, default_feed_folder, feed_source_id
 
 ENTRY = "feed_url string, seq int, native_id string, url string, title string, excerpt string, content string, tags array<string>, published string, updated string"
 _KEYS = [c.split()[0] for c in ENTRY.split(", ")]
@@ -91,8 +95,49 @@ def parse_feed(xml: str | bytes | None, feed_url: str) -> list[dict]:
     return out
 
 
+def feed_title(xml: str | bytes | None) -> str | None:
+    """A feed's own title, empty if it has none; null for what is no feed that can be read."""
+    try:
+        root = ET.fromstring(xml or "")
+    except (ET.ParseError, ValueError):
+        return None
+    channel = root if _name(root) == "feed" else next((x for x in root.iter() if _name(x) == "channel"), root)
+    return _plain(_first(channel, "title"))
+
+
+def read_feeds(feeds: DataFrame) -> DataFrame:
+    """feed_url, ``readable`` and the title of each feed (feed_url, body): a feed that can't be read is named, not passed over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [feed_title(x) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g is not None for g in got]), pa.array(got, pa.string())], names=["feed_url", "readable", "feed_title"])
+
+    return feeds.select("feed_url", "body").mapInArrow(run, "feed_url string, readable boolean, feed_title string")
+
+
+def feed_items(feeds: DataFrame) -> DataFrame:
+    """Entries of configured feeds (feed_url, body, name, folder, tags, route, routes) as items of an archive.
+
+    The feed's tags come first, the name and folder stand in for its title, and a feed without a route
+    takes that of the first tag of an entry that has one.  The id is made of the feed's URL and the entry's own id.
+    """
+    own = feeds.select("feed_url", "name", "folder", F.coalesce("tags", F.array().cast("array<string>")).alias("feed_tags"), "route", "routes").join(read_feeds(feeds).where("readable"), "feed_url")
+    some = lambda c: F.nullif(F.coalesce(c, F.lit("")), F.lit(""))
+    own = own.withColumn("title_", F.coalesce(some("name"), some("feed_title"), F.lit(""))).withColumn("folder_", F.coalesce(some("folder"), some("title_"), default_feed_folder("feed_url")))
+    e = entries(feeds).where(F.col("url").rlike("^https?://")).join(own.select("feed_url", "feed_tags", "route", "routes", "title_", "folder_"), "feed_url")
+    meta = F.create_map(
+        F.lit("feed_url"), F.col("feed_url"), F.lit("feed_title"), F.col("title_"), F.lit("feed_folder"), F.col("folder_"), F.lit("feed_route"), F.coalesce(some("route"), first_route("tags", "routes"), F.lit("")),
+        F.lit("entry_id"), F.col("native_id"), F.lit("published_at"), F.coalesce("published", F.lit("")),
+    )
+    return e.select(
+        F.lit("rss").alias("source"), feed_source_id("feed_url", "native_id").alias("source_id"), content_key("url").alias("content_key"), "url", "title", "excerpt", unique_tags(F.concat("feed_tags", "tags")).alias("tags"),
+        F.coalesce(some("published"), some("updated"), F.lit("")).alias("created_at"), F.col("updated").alias("updated_at"), meta.alias("provider_metadata"), F.col("content").alias("embedded_content"),
+    )
+
+
 def entries(feeds: DataFrame) -> DataFrame:
-    """Rows of (feed_url, body) as entries; a feed that can't be read gives none."""
+    """Rows of (feed_url, body) as entries; a feed that can't be read gives none, and :func:`read_feeds` names it."""
     types = [pa.string(), pa.int32(), *[pa.string()] * 5, pa.list_(pa.string()), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

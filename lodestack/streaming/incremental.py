@@ -10,31 +10,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import merge
+from ..operators import merge, tables
 
 
 def merge_stream(stream: DataFrame, path: str, keys: list[str], seq: str, compare: list[str], checkpoint: str, done: Callable[[int, dict], None] | None = None) -> StreamingQuery:
     """Keeps the table at ``path`` up to date with a stream of deliveries.
 
-    A micro-batch is reduced to the last delivery of each key and merged; merged again after
-    a failure it changes nothing, so every delivery counts exactly once.
+    A micro-batch is reduced to the last delivery of each key and merged into the buckets that
+    it touches.  The number of the batch is part of the version that it makes, so a batch that comes
+    again after a failure is passed over: every delivery counts exactly once.  See
+    :mod:`lodestack.operators.tables`, which also reads the table.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        one = merge.one_per_key(batch, keys, F.col(seq))
-        try:
-            target = spark.read.parquet(path)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            target = spark.createDataFrame([], one.schema)
-        merged = merge.upsert(target, one.select(*target.columns), keys, compare).persist()
-        counts = {r["action"]: r["n"] for r in merged.groupBy("action").agg(F.count("*").alias("n")).collect()}  # one row an action
-        if counts.get("insert") or counts.get("update"):
-            merge.write_table(merged.drop("action"), path)
-        merged.unpersist()
-        if done:
+        counts = tables.merge_batch(merge.one_per_key(batch, keys, F.col(seq)), path, keys, compare, checkpoint, number)
+        if done and counts is not None:
             done(number, counts)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -54,8 +44,9 @@ def streak_stream(attempts: DataFrame, key: str) -> DataFrame:
     def step(k: tuple, frames, state: GroupState):
         n = state.get[0] if state.exists else 0
         rows = pd.concat(list(frames)).sort_values("seq")
-        for failed, reset in zip(rows["failed"], rows["reset"]):
-            n = n + 1 if failed else 0 if reset else n
+        failed, reset = rows["failed"].to_numpy(bool), rows["reset"].to_numpy(bool)
+        cleared = (reset & ~failed).nonzero()[0]
+        n = int(failed[cleared[-1] + 1 :].sum()) if len(cleared) else n + int(failed.sum())
         state.update((n,))
         yield pd.DataFrame({key: [k[0]], "streak": [n]})
 

@@ -5,7 +5,7 @@ from urllib.parse import urlsplit
 import pytest
 from pyspark.sql import functions as F
 
-from lodestack.functions import html, json, quality, text, times, urls
+from lodestack.functions import html, json, quality, records, text, times, urls
 
 
 def one(spark, value, f, kind="string"):
@@ -33,9 +33,44 @@ def test_canonical_url(spark, url, want):
 
 
 def test_safe_to_fetch(spark):
-    rows = [("https://a.test/", True), ("ftp://a.test/", False), ("http://127.0.0.1/", False), ("http://10.1.2.3/", False), ("http://172.20.0.1/", False), ("http://localhost/", False), (None, False)]
+    rows = [
+        ("https://a.test/", True), ("ftp://a.test/", False), ("http://127.0.0.1/", False), ("http://10.1.2.3/", False), ("http://172.20.0.1/", False), ("http://localhost/", False), (None, False), ("http://[fd00::1]/", False), ("http://[::1]:80/x", False),
+        ("http://[::ffff:10.0.0.1]/", False), ("http://2130706433/", False), ("http://0x7f.1/", False), ("http://127.1/", False), ("http://198.18.0.1/", False), ("http://224.0.0.1/", False), ("http://240.0.0.1/", False), ("http://[fe80::1%25eth0]/", False),
+        ("http://8.8.8.8/", True), ("http://[2606:4700::1111]/", True), ("http://dead.beef.test/", True), ("http://printer.local/", False), ("http:///x", False), ("", False),
+    ]
     got = spark.createDataFrame(rows, "u string, w boolean").select("w", urls.safe_to_fetch("u").alias("g")).collect()
     assert all(r["w"] == r["g"] for r in got)
+    assert one(spark, "http://10.1.2.3/", lambda c: urls.safe_to_fetch(c, ("10.1.2.3",))) is True
+    assert one(spark, "HTTP://[FD00::1]:8080/a", urls.url_host) == "fd00::1" and one(spark, "HTTP://[FD00::1]:8080/a", urls.canonical_url) == "http://fd00::1:8080/a"
+
+
+def test_star_and_content_urls(spark):
+    assert one(spark, "2026-03-04T05:06:07", lambda c: urls.star_url(F.lit("u"), c, F.lit("9"))) == "https://b.hatena.ne.jp/u/20260304#bookmark-9"
+    assert one(spark, "2026", lambda c: urls.star_url(F.lit("u"), c, F.lit("9"))) == "" and one(spark, None, lambda c: urls.star_url(c, c, c)) == ""
+    assert one(spark, "https://megalodon.jp/2020/x?y", urls.content_url) == "https://megalodon.jp/ref/2020/x?y"
+    for same in ("https://megalodon.jp/ref/2020", "https://a.test/2020", None):
+        assert one(spark, same, urls.content_url) == same
+
+
+def test_text_of_runs(spark):
+    assert one(spark, "abcdefghij", lambda c: text.untrusted(c, "<", ">", 8, "!")) == "<abcde!>" and one(spark, "ab", lambda c: text.untrusted(c, "<", ">", 8, "!")) == "<ab>"
+    routes = F.create_map(F.lit("News"), F.lit("n"), F.lit("AI"), F.lit("a"))
+    assert one(spark, "x", lambda c: text.first_route(F.array(c, F.lit("ai"), F.lit("news")), routes)) == "a" and one(spark, "x", lambda c: text.first_route(F.array(c), routes)) == ""
+    e = F.lit("")
+    got = one(spark, "\n  first one \nsecond", lambda c: text.fallback_summary(e, F.lit("https://a.test"), e, e, c, F.array(*[F.lit(str(i)) for i in range(9)]), e))
+    assert got.note_title == "https://a.test" and got.summary == "first one" and len(got.tags) == 8 and got.content_type == "link"
+    assert one(spark, None, lambda c: text.fallback_summary(c, c, c, c, c, F.lit(None).cast("array<string>"), c)).summary == "Summary unavailable."
+    ids = [one(spark, t, lambda c: text.time_ordered_id(c.cast("timestamp"), F.lit("k"))) for t in ("2026-01-01 00:00:00", "2026-01-01 00:00:01", "2026-01-01 00:00:01")]
+    assert ids[0] < ids[1] == ids[2] and len(ids[0]) == 36 and ids[0][14] == "7"
+
+
+def test_summary_problems(spark):
+    ask = lambda s: one(spark, s, records.summary_problems)
+    good = '{"note_title":"t","summary":"s","key_points":["a"],"tags":[],"content_type":"link"}'
+    assert ask(good) == [] and ask("[]") == ask(None) == ask("x") == ["no object"]
+    assert ask(good[:-1] + ',"more":1}') == ["more is unexpected"] and ask(good.replace('"t"', "5")) == ["note_title is no text"]
+    assert ask(good.replace('["a"]', '["a","b","c","d","e"]')) == ["key_points has too many entries"] and ask(good.replace('"s"', '"' + "x" * 301 + '"')) == ["summary is too long"]
+    assert ask('{"note_title":"t"}') == ["summary is missing", "key_points is missing", "tags is missing", "content_type is missing"]
 
 
 @pytest.mark.parametrize(

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestack.functions import urls
-from lodestack.operators import diversity, identity, latest, merge, render, sampling, search, snapshot
+from lodestack.operators import diversity, identity, latest, merge, render, sampling, search, snapshot, tables
 from lodestack.plans import refresh
 
 
@@ -98,9 +98,57 @@ def test_carry_over_blobs_and_orphans(spark):
 
 def test_write_table_replaces(spark, tmp_path):
     p = str(tmp_path / "t")
-    merge.write_table(spark.range(3), p)
-    merge.write_table(spark.range(5), p)
-    assert spark.read.parquet(p).count() == 5
+    with pytest.raises(tables.NoTableError):
+        tables.read_table(spark, p)
+    for n in (3, 5, 7, 9):
+        tables.write_table(spark.range(n), p)
+        assert tables.read_table(spark, p).count() == n
+    assert len(list((tmp_path / "t").glob("data-*"))) == 2
+
+
+def test_a_crash_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    p = str(tmp_path / "t")
+    batch = lambda *rows: spark.createDataFrame(rows, "k string, v int")
+    assert tables.merge_batch(batch(("a", 1), ("b", 2)), p, ["k"], ["v"], "w", 0, 4) == {"insert": 2}
+    put = tables._Files.put
+
+    def killed(*args):
+        raise KeyboardInterrupt
+
+    for at in ("put", "forget"):  # before the new version is in place, and after it
+        monkeypatch.setattr(tables._Files, at, killed)
+        with pytest.raises(KeyboardInterrupt):
+            tables.merge_batch(batch(("a", 5), ("c", 3)), p, ["k"], ["v"], "w", 1)
+        monkeypatch.undo()
+        want = [("a", 1), ("b", 2)] if at == "put" else [("a", 5), ("b", 2), ("c", 3)]
+        assert sorted(map(tuple, tables.read_table(spark, p).collect())) == want
+    assert put is tables._Files.put
+    # the batch comes again, and is in the table already
+    assert tables.merge_batch(batch(("a", 5), ("c", 3)), p, ["k"], ["v"], "w", 1) is None
+    assert tables.merge_batch(batch(("a", 5)), p, ["k"], ["v"], "w", 2) == {"unchanged": 1} or tables.manifest(spark, p)["batches"] == {"w": 2}
+    assert sorted(map(tuple, tables.read_table(spark, p).collect())) == [("a", 5), ("b", 2), ("c", 3)]
+    # another writer was faster
+    before = tables.manifest(spark, p)
+    with pytest.raises(tables.ConflictError):
+        tables._Files(spark, p).put(before["number"], before)
+    # a table that has gone is not an empty one
+    import shutil
+
+    shutil.rmtree(p)
+    with pytest.raises(tables.NoTableError):
+        tables.merge_batch(batch(("d", 1)), p, ["k"], ["v"], "w", 3)
+    assert not (tmp_path / "t").exists()
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    p = str(tmp_path / "t")
+    rows = spark.range(200).select(F.col("id").cast("string").alias("k"), F.lit(0).alias("v"))
+    tables.merge_batch(rows, p, ["k"], ["v"], "w", 0, 16)
+    before = tables.manifest(spark, p)["folders"]
+    tables.merge_batch(rows.where("k = '7'").withColumn("v", F.lit(1)), p, ["k"], ["v"], "w", 1)
+    after = tables.manifest(spark, p)["folders"]
+    assert len(before) == 16 and sum(before[b] != after[b] for b in before) == 1
+    assert tables.read_table(spark, p).agg(F.sum("v"), F.count("*")).first()[:] == (1, 200)
 
 
 @pytest.mark.parametrize("value, n, want", [("10%", 50, 20), ("10%", 3112, 312), ("5", 50, 5), ("0", 50, 0), ("1000", 3, 3), ("0%", 50, 0)])
@@ -134,7 +182,7 @@ def test_round_robin_equals_the_loop(spark):
         sizes = spark.createDataFrame([(t, n, t in covered or None) for t, n in n_by.items()], "topic string, n long, covered boolean")
         df = spark.createDataFrame(records, "i int, topic string, w int")
         got = [x["i"] for x in diversity.round_robin(df, "topic", [F.col("w").desc(), F.col("i")], sizes, 12).collect()]
-        largest = sorted(n_by, key=lambda t: (-n_by[t], t))
+        largest = sorted(n_by, key=lambda t: (-n_by[t], t in covered, t))
         fresh = [t for t in largest if t not in covered]
         order: list[str] = []
         for i in range(len(largest)):
@@ -180,7 +228,14 @@ def test_render_actions(spark):
 
 
 def test_write_documents(spark, tmp_path):
-    render.write_documents(spark.createDataFrame([("a/b.md", "é")], "path string, document string"), str(tmp_path))
+    put = lambda *r: {x["path"]: x["outcome"] for x in render.write_documents(spark.createDataFrame(r, "path string, document string"), str(tmp_path)).collect()}
+    assert put(("a/b.md", "é"), ("../../out.md", "x")) == {"a/b.md": "written", "out.md": "written"}
+    assert (tmp_path / "out.md").exists() and put(("a/b.md", "é")) == {"a/b.md": "skipped"}
+    assert put(("a/b.md", "other")) == {"a/b.md": "conflict"}  # it carries no seal
+    one, two = (spark.createDataFrame([(f"---\nt: {i}\n---\nbody",)], "d string").select(render.sealed(F.col("d"))).first()[0] for i in (1, 2))
+    assert put(("c.md", one)) == {"c.md": "written"} and put(("c.md", two)) == {"c.md": "written"}
+    (tmp_path / "c.md").write_text(two + "by hand")
+    assert put(("c.md", one)) == {"c.md": "conflict"}
     assert (tmp_path / "a/b.md").read_text() == "é"
 
 
@@ -269,4 +324,4 @@ def test_rebuild_once_a_generation(spark, tmp_path):
     path = str(tmp_path / "index")
     assert search.rebuild(docs, "i", ["t"], path, 1) and not search.rebuild(docs, "i", ["t"], path, 1)
     assert search.rebuild(docs, "i", ["t"], path, 2) and search.rebuild(docs, "i", ["t"], path, 2, force=True)
-    assert sorted(r["gram"] for r in spark.read.parquet(path).collect()) == ["abc", "bcd"]
+    assert sorted(r["gram"] for r in tables.read_table(spark, path).collect()) == ["abc", "bcd"]

@@ -1,8 +1,9 @@
 """Feeds, exports, notes, ledgers and streams."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from lodestack.operators import latest
+from lodestack.operators import latest, tables
 from lodestack.sources import bookmarks, feeds, notes
 from lodestack.streaming import incremental
 
@@ -32,17 +33,43 @@ def test_exports(spark):
 
 def test_search_union(spark):
     row = lambda u, c, p: f'{{"entry":{{"title":"t","url":"{u}","snippet":"s"}},"timestamp":0,"comment":"{c}","is_private":{p}}}'
-    bodies = [("q", 0, f'{{"bookmarks":[{row("https://a.test", "[x]first", 1)},{{"timestamp":1}}],"meta":{{"status":200,"total":"2"}}}}'), ("r", 1, f'{{"bookmarks":[{row("https://a.test", "[y]second", chr(34) + "0" + chr(34))}]}}')]
+    bodies = [("q", 0, f'{{"bookmarks":[{row("https://a.test", "[x]first", 1)},{{"timestamp":1}}],"meta":{{"status":200,"total":"2"}}}}'), ("r", 1, f'{{"bookmarks":[{row("https://a.test", "[y]second", chr(34) + "0" + chr(34))}],"meta":{{"status":200,"total":1}}}}')]
     got = bookmarks.search_items(spark.createDataFrame(bodies, "query string, seq int, body string")).collect()
+    assert [(r["first_seq"], r["first_pos"]) for r in got] == [(0, 0)]
+    bad = spark.createDataFrame([("q", 0, '{"meta":{"status":401}}'), ("q", 1, '{"bookmarks":{},"meta":{"total":1}}'), ("q", 2, '{"bookmarks":[],"meta":{"total":"x"}}'), ("q", 3, None), ("q", 4, '{"bookmarks":[],"meta":{"status":200,"total":0}}')], "query string, seq int, body string")
+    assert [r[0] for r in bad.orderBy("seq").select(bookmarks.search_problem(F.col("body"))).collect()] == ["refused with status 401", "no valid answer", "no valid answer", "no valid answer", None]
+    assert bookmarks.search_items(bad, strict=False).count() == 0
+    with pytest.raises(Exception, match="bookmark search"):
+        bookmarks.search_items(bad).count()
     assert [(r["url"], r["tags"], r["comment"], r["private"], r["created"]) for r in got] == [("https://a.test", ["y"], "second", False, "1970-01-01T00:00:00+00:00")]
 
 
 def test_notes(spark, tmp_path):
     for name, item in (("b", "1"), ("a", "1"), ("c", "2")):
-        (tmp_path / f"{name}.md").write_text(f'---\nsource_item_id: "{item}"\ntags: [x, "y z"]\nmore:\n  - p\n  - q\n---\nbody\n')
+        (tmp_path / f"{name}.md").write_text(f'---\nsource_item_id: "{item}"\nkind: raw\ntags: [x, "y z"]\nmore:\n  - p\n  - q\n---\nbody\n')
     df = notes.read_notes(spark, str(tmp_path))
     assert df.select(notes.front_list("text", "tags"), notes.front_list("text", "more")).distinct().collect() == [(["x", "y z"], ["p", "q"])]
-    assert sorted(r["item_id"] for r in notes.managed_paths(df).collect()) == ["1", "2"]
+    assert sorted((r["item_id"], r["kind"], r["path"].rsplit("/", 1)[1]) for r in notes.managed_paths(df).collect()) == [("1", "raw", "a.md"), ("2", "raw", "c.md")]
+
+
+def test_preferred_notes_and_what_they_send(spark):
+    note = lambda i, model, at, body: f'---\nraindrop_id: {i}\nsummary_model: {model}\nsummary_generated_at: "{at}"\ntags: [base, Some Tag, x]\n---\n# T\n\n## Summary\n\n{body}\n\n## Other\nrest'
+    df = spark.createDataFrame([("r/a.md", note(1, "m", "2026-01-01T00:00:00Z", "old"), 5), ("r/b.md", note(1, "m", "2026-02-01T00:00:00Z", "new"), 1), ("r/c.md", note(1, "", "", "none"), 9), ("r/d.md", note("x", "m", "", "no id"), 1), ("r/e.md", "no front matter", 1)], "path string, text string, modified long")
+    assert [tuple(r) for r in notes.summaries_to_send(df).collect()] == [(1, "new")]
+    assert sorted((r[0], r[1]) for r in df.select("path", notes.has_summary("text")).collect()) == [("r/a.md", True), ("r/b.md", True), ("r/c.md", False), ("r/d.md", True), ("r/e.md", True)]
+    have = spark.createDataFrame([(1, ["X"])], "key long, tags array<string>")
+    assert [tuple(r) for r in notes.tags_to_send(df, have, ["Base"]).collect()] == [(1, ["some-tag"])]
+
+
+def test_feed_items_of_configured_feeds(spark):
+    xml = "<rss><channel><title>Own title</title><item><title>A</title><link>/a</link><guid isPermaLink='false'>g</guid><category>AI</category><pubDate>Thu, 19 Mar 2026 05:25:42 GMT</pubDate></item></channel></rss>"
+    rows = [("https://f.test/rss.xml", xml, "", None, ["mine", "ai"], "", {"ai": "tech/ai"}), ("https://g.test/", xml, "Named", "Folder", None, "fixed", None), ("https://bad.test/", "<rss", "", "", None, "", None)]
+    df = spark.createDataFrame(rows, "feed_url string, body string, name string, folder string, tags array<string>, route string, routes map<string,string>")
+    got = {r["provider_metadata"]["feed_url"]: r for r in feeds.feed_items(df).collect()}
+    f, g = got["https://f.test/rss.xml"], got["https://g.test/"]
+    assert len(got) == 2 and f["tags"] == ["mine", "ai"] and f["url"] == "https://f.test/a" and f["provider_metadata"]["feed_route"] == "tech/ai" and f["provider_metadata"]["feed_folder"] == "Own title"
+    assert g["provider_metadata"]["feed_title"] == "Named" and g["provider_metadata"]["feed_folder"] == "Folder" and g["provider_metadata"]["feed_route"] == "fixed" and f["source_id"] != g["source_id"]
+    assert sorted((r["feed_url"], r["readable"]) for r in feeds.read_feeds(df).collect()) == [("https://bad.test/", False), ("https://f.test/rss.xml", True), ("https://g.test/", True)]
 
 
 def test_ledger(spark, tmp_path):
@@ -61,9 +88,9 @@ def test_merge_stream(spark, tmp_path):
     run()
     spark.createDataFrame([("a", 3, "y"), ("c", 1, "w")], "k string, n int, v string").write.mode("append").parquet(src)
     run()
-    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(out).collect()) == [("a", "y"), ("b", "z"), ("c", "w")]
+    assert sorted((r["k"], r["v"]) for r in tables.read_table(spark, out).collect()) == [("a", "y"), ("b", "z"), ("c", "w")]
     assert seen[0] == {"insert": 2} and seen[-1].get("insert") == 1 and "update" not in seen[-1]
-    assert incremental.known_skip(spark.createDataFrame([("a",), ("q",)], "k string"), spark.read.parquet(out), "k").collect()[0]["k"] == "q"
+    assert incremental.known_skip(spark.createDataFrame([("a",), ("q",)], "k string"), tables.read_table(spark, out), "k").collect()[0]["k"] == "q"
 
 
 def test_streak_stream_equals_batch(spark, tmp_path):
