@@ -143,8 +143,8 @@ def learn(spark: SparkSession, sf_dir: str) -> tuple[list[int], DataFrame]:
     return [r["node"] for r in rows], runtime.checkpoint(nodes_of_hosts(counted))
 
 
-def judged(texts: DataFrame, nodes: list[int], of_hosts: DataFrame, most_held: int = MOST_HELD) -> DataFrame:
-    """``lines``, the numbers of the furniture lines, of each page of (table_name, record_id, text, host), with its text.
+def judged(texts: DataFrame, nodes: list[int], of_hosts: DataFrame, most_held: int = MOST_HELD, with_text: bool = False) -> DataFrame:
+    """``lines``, the numbers of the furniture lines, of each page of (table_name, record_id, text, host), with its text if asked for.
 
     Null, empty and blank texts, and pages without any article, have none.
     """
@@ -171,13 +171,14 @@ def judged(texts: DataFrame, nodes: list[int], of_hosts: DataFrame, most_held: i
                     own, sure = held.value.get(host, ((), ())) if small else (b.column(4)[i].as_py() or (), b.column(5)[i].as_py() or ())
                     sets[host] = frozenset(own), frozenset(sure)
                 got.append(furniture.furniture_lines(text, tree, *sets[host], host))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(got, pa.list_(pa.int32()))], names=["table_name", "record_id", "text", "lines"])
+            kept = 3 if with_text else 2
+            yield pa.RecordBatch.from_arrays([*b.columns[:kept], pa.array(got, pa.list_(pa.int32()))], names=[*b.schema.names[:kept], "lines"])
 
     texts = texts.select(*RECORD, "text", "host")
     if not small:
         lists = of_hosts.groupBy("host").agg(F.collect_list("node").alias("own"), F.collect_list(F.when(F.col("sure"), F.col("node"))).alias("sure"))
         texts = texts.join(lists, "host", "left").select(*RECORD, "text", "host", "own", "sure")
-    return texts.mapInArrow(run, "table_name string, record_id string, text string, lines array<int>")
+    return texts.mapInArrow(run, "table_name string, record_id string, " + "text string, " * with_text + "lines array<int>")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,6 +194,6 @@ def p2_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     Copies of a record are equal, so one of them is taken by its id, without comparing texts.
     """
     runtime.tune(spark)
-    got = judged(pages(spark, sf_dir).dropDuplicates(RECORD), *learn(spark, sf_dir))
+    got = judged(pages(spark, sf_dir).dropDuplicates(RECORD), *learn(spark, sf_dir), with_text=True)
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("lines", (i + 1).cast("int")))
     return got.select(*RECORD, F.array_join(kept, "\n").alias("main"))
