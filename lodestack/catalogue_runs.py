@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalogue import _canonical_sql, _items, _strip_sql, query
+from .catalogue import NOW, _canonical_sql, _items, _strip_sql, query
 from .functions import text, urls
-from .operators import comments, items, pages
-from .plans import runs
+from .operators import comments, items, pages, source_notes
+from .plans import refresh, runs
 from .runtime import table
 
 # --- fetches --------------------------------------------------------------------------------
@@ -92,6 +92,21 @@ def provider_backlog(spark, d):
     return pages.backlog(own, state, bodies, ["hatena", "rss"])
 
 
+@query(f"""WITH {_CAPTURES}, {_REVISIONS}, st AS (SELECT cap.*, content_markdown AS body, rev.resource_revision_id AS rid, date_diff('microsecond', fetched_at, TIMESTAMP '{NOW}') / 60000000.0 AS age FROM cap LEFT JOIN rev ON cap.resource_id = rev.resource_id),
+due AS (SELECT *, coalesce(CASE WHEN fetched_at IS NULL THEN true WHEN NOT (coalesce(warning, '') <> '' AND http_payload_id IS NULL AND rendered_payload_id IS NULL AND {_blank_sql('body')}) THEN age >= 30 * 1440 WHEN http_status IN (404, 410) THEN false
+WHEN failure_kind IN ('dns', 'timeout') AND consecutive_failures >= 3 THEN false WHEN consecutive_failures = 0 THEN true ELSE age >= least(30.0 * pow(2.0, least(consecutive_failures - 1, 62)), 43200.0) END, false) AS due FROM st)
+SELECT resource_id, row_number() OVER (ORDER BY fetched_at ASC NULLS FIRST, resource_id) AS place FROM due WHERE due AND (rid IS NULL OR {_blank_sql('body')} AND coalesce(warning, '') <> '') AND resource_id NOT IN (SELECT resource_id FROM page_fetch WHERE resource_id IS NOT NULL AND http_status = 200) QUALIFY place <= 200""")
+def backlog_retries(spark, d):
+    """The first 200 resources without a body that a run retries, those aside that it has fetched already."""
+    captures = _captures(spark, d)
+    bodies = _revisions(spark, d, captures).select("resource_id", F.lit(True).alias("revised"), F.col("content_markdown").alias("body"))
+    state = captures.join(bodies, "resource_id", "left").withColumn("has_payload", F.col("http_payload_id").isNotNull() | F.col("rendered_payload_id").isNotNull()).withColumn("failures", F.col("consecutive_failures"))
+    due = refresh.due(state, F.lit(NOW).cast("timestamp"), 30, (404, 410), ("dns", "timeout"), 3, 30, 30)
+    waiting = due.where(F.col("revised").isNull() | (text.is_blank("body") & (F.coalesce("warning", F.lit("")) != ""))).select("resource_id", "fetched_at")
+    handled = table(spark, d, "page_fetch").where("http_status = 200").select("resource_id").distinct()
+    return source_notes.retries(waiting, due.select("resource_id", "due"), handled, 200).select("resource_id", F.col("seq").cast("long").alias("place"))
+
+
 # --- items and comments ------------------------------------------------------------------------
 
 _HASH = "sha256(coalesce(excerpt, '') || '|' || coalesce(comment, '') || '|' || coalesce(updated_at, ''))"

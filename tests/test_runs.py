@@ -109,3 +109,22 @@ def test_collections(spark):
     assert [tuple(r) for r in paged.collections(roots, children).collect()] == [(2, 0, "A"), (1, 0, "B"), (3, 1, "C")]
     ids = spark.createDataFrame([('{"collection":{"$id":7}}',), ("{}",), (None,), ("x",)], "b string").select(paged.collection_id(F.col("b")))
     assert [r[0] for r in ids.collect()] == [7, 0, 0, 0]
+
+
+def test_source_notes(spark):
+    from lodestack.operators import source_notes
+
+    r = spark.createDataFrame([("id-123456789", "Old", "https://a.test/", "m", ("A: title", " says ", ["p1", " "], ["x", "y"], "article")), ("b", None, None, "m", (None, None, None, None, None))], "i string, t string, l string, m string, s struct<note_title: string, summary: string, key_points: array<string>, tags: array<string>, content_type: string>")
+    a, b = (x[0] for x in r.select(source_notes.source_note(F.col("i"), F.col("t"), F.col("l"), F.col("m"), F.col("s"))).collect())
+    assert a.startswith("---\n") and '\ntitle: "A: title"\n' in a and "managed: true" in a
+    assert a.split("---\n", 2)[2] == "\n# A: title\n\n## Summary\n\nsays\n\n## Key Points\n\n- p1\n\n## Tags\n\n#x #y\n\n## Source\n\n- https://a.test/\n- Content type: article\n"
+    assert "# Untitled" in b and "## Key Points" not in b and "## Tags" not in b
+    notes = spark.createDataFrame([("r1", "1", "same", 1), ("r2", "1", "old", 1), ("r3", "1", "kept", 1)], "resource_id string, run_id string, markdown string, created_at int")
+    batch = spark.createDataFrame([("r1", "2", "same", 2), ("r2", "2", "new", 2), ("r4", "2", "first", 2)], "resource_id string, run_id string, markdown string, created_at int")
+    got = {x["resource_id"]: (x["action"], x["markdown"], x["created_at"]) for x in source_notes.put_notes(notes, batch).collect()}
+    assert got == {"r1": ("unchanged", "same", 1), "r2": ("update", "new", 2), "r3": ("keep", "kept", 1), "r4": ("insert", "first", 2)}
+    titles = spark.createDataFrame([("r1", "A/B"), ("r2", None)], "resource_id string, title string")
+    assert sorted(x["path"] for x in source_notes.note_files(notes, titles).collect()) == ["A B - r1.md", "Untitled - r2.md", "Untitled - r3.md"]
+    outcomes = spark.createDataFrame([("a", "r", True), ("b", "r", False), ("c", None, True)], "source_id string, resource_id string, fetched_body boolean")
+    own = spark.createDataFrame([("a", "r", "p"), ("b", "r", "p"), ("z", "r", "other")], "source_id string, resource_id string, provider string")
+    assert sorted(map(tuple, source_notes.audited_items(outcomes, own, ["p"]).collect())) == [("a", "a"), ("a", "b"), ("b", "b"), ("c", "c")]
