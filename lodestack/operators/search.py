@@ -10,9 +10,8 @@ from . import tables
 
 def trigrams(text: Column) -> Column:
     """Distinct runs of three characters of a text in lower case; none for shorter ones."""
-    chars = F.split(F.lower(text), "")  # characters once, so that a place is reached without walking to it
-    last = F.size(chars) - 2
-    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.concat(F.get(chars, i - 1), F.get(chars, i), F.get(chars, i + 1))))).otherwise(F.array().cast("array<string>"))
+    # one pass over the text: an empty match at every place that three characters follow, but not inside a surrogate pair
+    return F.coalesce(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?s)(?![\x{DC00}-\x{DFFF}])(?=(...))"), F.lit(1))), F.array().cast("array<string>"))
 
 
 def build_index(docs: DataFrame, key: str, fields: list[str], only: list[str] | None = None) -> DataFrame:
