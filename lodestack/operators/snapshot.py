@@ -15,7 +15,8 @@ def fingerprint(df: DataFrame) -> DataFrame:
         c = F.col(f"`{name}`")
         cols.append(F.to_json(F.struct(F.sort_array(F.map_entries(c)).alias("m"))) if kind.startswith("map") else c)
     h = F.xxhash64(*cols)
-    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.pmod(h, F.lit(1 << 52))), F.lit(0)).cast("decimal(38,0)").cast("string").alias("content"))
+    part = F.pmod(h, F.lit(1 << 52)).cast("decimal(28,0)")  # sums of longs overflow at some 4,000 rows
+    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(part), F.lit(0)).cast("string").alias("content"))
 
 
 def manifest(tables: dict[str, DataFrame]) -> DataFrame:

@@ -251,6 +251,16 @@ def test_snapshot_round_trip_and_tamper(spark, tmp_path):
         snapshot.restore(spark, folder)
 
 
+def test_fingerprint_of_many_rows(spark):
+    df = spark.range(20_000)
+    h = spark.range(20_000).select(F.pmod(F.xxhash64("id"), F.lit(1 << 52)).alias("h"))
+    want = sum(r["h"] for r in h.collect())
+    assert want > 1 << 63  # more than a long holds
+    assert tuple(snapshot.fingerprint(df).first()) == (20_000, str(want))
+    assert tuple(snapshot.fingerprint(df.repartition(3)).first()) == (20_000, str(want))
+    assert tuple(snapshot.fingerprint(df.limit(0)).first()) == (0, "0")
+
+
 def test_due_table(spark):
     data = [
         ("never", None, "", False, "", None, None, 0, True), ("fresh", "2026-01-30 00:00:00", "", False, "body", 200, None, 0, False), ("old", "2026-01-01 00:00:00", "", False, "body", 200, None, 0, True),
