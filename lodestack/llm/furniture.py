@@ -28,8 +28,10 @@ _BOLD = re.compile(r"^\*\*(.+)\*\*$|^__(.+)__$")
 _LINK = re.compile(r"^\[([^\]]*)\]\(([^)\s]*)\)$")
 _HOST = re.compile(r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 _SPLIT = re.compile(r"\s+[|·»›>/•]\s+|(?<=[.!?])\s+(?=\S)|(?<=。)\s*(?=\S)|\s*\t\s*")
+# the same for lines without 。, from a blank on: a search skips all other places
+_SPLIT_BLANKS = re.compile(r"\s(?:\s*[|·»›>/•]\s+|(?<=[.!?]\s)\s*(?=\S)|\s*\t\s*|(?<=\t)\s*)")
 _BREAD = re.compile(r"\s+[|·»›>/•]\s+")
-_DIGITS = re.compile(r"\d+")
+_DIGITS = re.compile(r"\d\d*")  # a search skips to the first digit
 _NAME = re.compile(r"[A-ZÀ-Þ][A-Za-zÀ-ÿ’']*(?: [A-ZÀ-Þ][A-Za-zÀ-ÿ’']*){0,3}")
 _PREFIX = re.compile(r"^([^:：]{2,30} ?[:：])\s+\S")
 _CJK = re.compile("[ぁ-ヿ一-鿿]")
@@ -71,10 +73,9 @@ def _enough(rest: str) -> bool:
     return len(rest) >= 5 or "©" in rest or len(_CJK.findall(rest)) >= 2
 
 
-def keys(segment: str) -> list[str]:
-    """The forms under which a segment counts: as it is, and with each name masked."""
-    seg = _DIGITS.sub("0", segment)
-    out = [seg]
+def masked(seg: str) -> list[str]:
+    """The further forms under which a segment with digits masked counts: with each name masked."""
+    out: list[str] = []
     if len(seg) > MAX_NODE:
         return out
     for m in _NAME.finditer(seg):
@@ -112,7 +113,26 @@ def parse(line: str) -> tuple[str, str, str]:
 
 
 def segments(body: str) -> list[str]:
-    return [x.strip() for x in _SPLIT.split(body) if x and x.strip()]
+    return [x.strip() for x in (_SPLIT if "。" in body else _SPLIT_BLANKS).split(body) if x and x.strip()]
+
+
+class Line:
+    """A line read once: presentation, body, link target, and its segments with digits masked and their ids, but for the bits of the kind."""
+
+    __slots__ = ("kind", "body", "target", "link", "parts", "firsts", "ids")
+
+    def __init__(self, raw: str) -> None:
+        self.kind, body, self.target = parse(quick(raw))
+        self.body = body
+        self.link = LINK_BIT * bool(self.target)
+        self.parts = [] if not body or self.kind == ">" else [body] if _running(body) else segments(body)
+        self.firsts = [_DIGITS.sub("0", p) for p in self.parts]
+        self.ids = [node_id(f) | self.link for f in self.firsts]
+
+    def nodes(self) -> tuple[int, ...]:
+        """Ids of its nodes as they stand."""
+        bits = KIND_BITS.get(self.kind, 0)
+        return tuple(i | bits for i in self.ids)
 
 
 _MEMO: dict[str, tuple] = {}
@@ -122,17 +142,8 @@ def line_nodes(line: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
     """Ids of the nodes of a line as they stand, and of those with a name masked; lines of furniture recur, so they are kept."""
     got = _MEMO.get(line)
     if got is None:
-        kind, body, target = parse(quick(line))
-        own: list[int] = []
-        masked: list[int] = []
-        if body and kind != ">":
-            bit = LINK_BIT * bool(target)
-            for seg in [body] if _running(body) else segments(body):
-                first, *rest = keys(seg)
-                own.append(node_id(first, kind) | bit)
-                if kind != "#":
-                    masked.extend(node_id(k) | bit for k in rest)
-        got = tuple(own), tuple(masked)
+        read = Line(line)
+        got = read.nodes(), () if read.kind == "#" else tuple(node_id(k) | read.link for f in read.firsts for k in masked(f))
         if len(line) <= MAX_LINE:
             if len(_MEMO) > 100_000:
                 _MEMO.clear()
@@ -153,7 +164,7 @@ def page_nodes(text: str | None) -> tuple[int, list[int], list[int]]:
     if not text:
         return 0, [], []
     own: set[int] = set()
-    masked: set[int] = set()
+    names: set[int] = set()
     least = shortest = None
     fenced = False
     for line in text.split("\n"):
@@ -168,9 +179,9 @@ def page_nodes(text: str | None) -> tuple[int, list[int], list[int]]:
         if not fenced and candidate(line):
             a, b = line_nodes(line)
             own.update(a)
-            masked.update(b)
+            names.update(b)
     h = least if least is not None else shortest or 0
-    return h - (1 << 63), list(own), list(masked)
+    return h - (1 << 63), list(own), list(names)
 
 
 _NONE: frozenset = frozenset()
@@ -181,45 +192,47 @@ class Tree:
 
     def __init__(self, nodes=()) -> None:
         self.nodes = frozenset(nodes)
-        self._judged: dict[str, tuple[int, bool, bool]] = {}
+        self._judged: dict[str, tuple[tuple[int, bool, bool], tuple[int, ...]]] = {}
         self._own: frozenset = _NONE  # nodes of low importance on the host of the line being judged,
         self._sure: frozenset = _NONE  # and those of so low importance that sentences need no neighbour
         self._bits = self._link = 0
 
-    def _known(self, seg: str) -> int:
-        """2 for a node of very low importance or a part of a sentence, 1 for one of low importance, else 0."""
-        first, *masked = keys(seg)
-        h = node_id(first) | self._link
+    def _known(self, first: str, h: int) -> int:
+        """2 for a node of very low importance or a part of a sentence, 1 for one of low importance, else 0; of a segment with digits masked, and its id."""
         if h | self._bits in self._sure:
             return 2
-        if h | self._bits in self._own or self._bits != KIND_BITS["#"] and (h in self.nodes or any(node_id(k) | self._link in self.nodes for k in masked)):
+        if h | self._bits in self._own or self._bits != KIND_BITS["#"] and (h in self.nodes or any(node_id(k) | self._link in self.nodes for k in masked(first))):
             return 1 if h & 1 else 2
         return 0
 
-    def _made_of(self, seg: str) -> int:
+    def _known_words(self, seg: str) -> int:
+        first = _DIGITS.sub("0", seg)
+        return self._known(first, node_id(first) | self._link)
+
+    def _made_of(self, seg: str, first: str | None = None, h: int = 0) -> int:
         """As above, also for a segment of a few such nodes side by side."""
-        known = self._known(seg)
+        known = self._known_words(seg) if first is None else self._known(first, h)
         if known:
             return known
         words = () if seg.endswith(_STOPS) else seg.split()
         if 2 <= len(words) <= 8:
             for i in range(1, len(words)):
-                if self._known(" ".join(words[:i])):
+                if self._known_words(" ".join(words[:i])):
                     rest = " ".join(words[i:])
-                    known = self._known(rest) or len(words) - i > 1 and self._made_of(rest)
+                    known = self._known_words(rest) or len(words) - i > 1 and self._made_of(rest)
                     if known:
                         return known
         return 0
 
-    def _furniture(self, body: str) -> int:
+    def _furniture(self, line: Line, ends: bool) -> int:
         """2 for furniture, 1 for a sentence that is furniture beside other furniture, else 0."""
-        ends = _ends(body)
+        body, parts = line.body, line.parts
         if _running(body):
-            parts, known = [body], self._known(body)
+            known = self._known(line.firsts[0], line.ids[0])
         else:
-            parts, known = segments(body), 2
-            for part in parts:
-                known = min(known, self._made_of(part))
+            known = 2
+            for part in zip(parts, line.firsts, line.ids):
+                known = min(known, self._made_of(*part))
                 if not known:
                     break
             if known and len(parts) > 1:
@@ -241,26 +254,28 @@ class Tree:
         ``sure`` those of very low importance.
         """
         got = self._judged.get(raw)
+        line = None
         if got is None:
-            got = self._judge(raw)
+            line = Line(raw)
+            got = self._judge(line), line.nodes()
             if len(raw) <= MAX_LINE:
                 if len(self._judged) > 100_000:
                     self._judged.clear()
                 self._judged[raw] = got
-        if got[0] < 2 and own and not own.isdisjoint(line_nodes(raw)[0]):
+        if got[0][0] < 2 and own and not own.isdisjoint(got[1]):
             self._own, self._sure = own, sure
             try:
-                return self._judge(raw)
+                return self._judge(line or Line(raw))
             finally:
                 self._own = self._sure = _NONE
-        return got
+        return got[0]
 
-    def _judge(self, raw: str) -> tuple[int, bool, bool]:
-        kind, body, target = parse(quick(raw))
+    def _judge(self, line: Line) -> tuple[int, bool, bool]:
+        kind, body = line.kind, line.body
         self._bits = KIND_BITS.get(kind, 0)
-        self._link = LINK_BIT * bool(target)
+        self._link = line.link
         ends = _ends(body)
-        hit = 0 if kind == ">" or not body else self._furniture(body)
+        hit = 0 if kind == ">" or not body else self._furniture(line, ends)
         if kind == "#":
             return hit, False, ends
         if kind == "li" and ends:

@@ -114,3 +114,10 @@ def test_found_and_restored(spark, archive):
     got = {r["record_id"]: r["restored"] for r in encoding_repair.p5_restored(spark, d).collect()}
     assert got == {"a": SOUND[2], "d": SOUND[2], "f": SOUND[4]}
     assert encoding_repair.p5_found(spark, archive()).count() == 0
+
+
+def test_each_sign_of_a_wrong_encoding_is_seen():
+    for odd in ("Ã©", "é“”", "aÉ", "яЯ", "В«", "‹a", "nít", "Tís", "éèê", "я€", "—Я", "éA", ".é", "aя", "яa", "丄", "弌丐", "›A", "a亜 ", "aα", "αa", " α ", "&amp;", "&#12;", "\\u00e9", "\x9f", "ﾟ"):
+        assert not mojibake.calm(odd) and not mojibake.calm(f"so {odd}"), odd
+    for sound in ("É", "aé", "Я я", "« В »", "nítr", "éè", "€ я", "— a", "aéA", ". é", "a я", "弌", "a亜ア", "αβγ", "& amp", "u00e9", "A—B", "亜亜"):
+        assert mojibake.calm(sound), sound

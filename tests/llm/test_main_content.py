@@ -126,3 +126,20 @@ def test_copies_with_small_edits_teach_nothing(spark, archive):
     pages = [{"page_fetch_id": f"c{i}", "url": "https://one.test/", "text": f"Unheard of line\n{edited(i)}\n{rest}"} for i in range(40)]
     pages += [{"page_fetch_id": f"p{i}", "url": "https://one.test/", "text": _article(i)} for i in range(1, 40)]
     assert main_content.p2_found(spark, archive(page_fetch=pages)).count() == 0
+
+
+def test_every_line_is_read_once(monkeypatch):
+    tree, own = _taught(), frozenset(furniture.line_nodes("Ludoteca Zibu")[0])
+    page = f"{NAV}\n{_article(11)}\nСтрока только этой страницы"
+    read = []
+    quick = furniture.quick
+    monkeypatch.setattr(furniture, "quick", lambda line: read.append(line) or quick(line))
+    assert furniture.furniture_lines(page, tree, own, own) == [1]
+    assert read == [line for line in page.split("\n") if line]
+
+
+def test_segments_split_alike_from_blanks_on():
+    r = random.Random(1)
+    for _ in range(5000):
+        body = "".join(r.choice([" ", "\t", "　", "|", "·", ">", "/", ".", "!", "?", "a", "B"]) for _ in range(r.randint(0, 12)))
+        assert furniture._SPLIT_BLANKS.split(body) == furniture._SPLIT.split(body), body
